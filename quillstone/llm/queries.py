@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, packing, token_store, topk, toxicity
+from . import decontamination, langid, near, packing, token_store, topk, toxicity
 from .common import fold, scratch
 
 
@@ -30,6 +30,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.join(_read(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontamination.clean(decontamination.find_hits(docs, _read(spark, sf_dir, "benchmark")))
@@ -64,7 +68,7 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op5_exact_top_k, op7_benchmark_decontamination, op8_best_fit_packing, op9_language_id, op10_token_binary_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op5_exact_top_k, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_best_fit_packing, op9_language_id, op10_token_binary_output)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": """

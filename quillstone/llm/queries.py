@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, near, packing, token_store, topk, toxicity
+from . import decontamination, langid, near, packing, secrets, token_store, topk, toxicity
 from .common import fold, scratch
 
 
@@ -23,6 +23,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(count(kind) for kind, *_ in secrets.BASE),
+        F.sha2(secrets.written(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"),
+        secrets.written(secrets.ordered(F.concat("base_spans", "entropy_spans"))).alias("spans"),
+    )
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.when(finite, F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)))
@@ -68,7 +79,7 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op5_exact_top_k, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_best_fit_packing, op9_language_id, op10_token_binary_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_secret_scans, op5_exact_top_k, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_best_fit_packing, op9_language_id, op10_token_binary_output)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": """

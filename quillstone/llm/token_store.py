@@ -30,17 +30,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import first_by_hash, ship
 from .tokens import Ids, ids_of
 
 BLOCK = "shard long, block long, first_id long, last_id long, n_docs long, n_tokens long, start_in_shard long, dict_hash string, doc_ids binary, lengths binary, offsets binary, data binary"
 _NO_ID = -(1 << 63)
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 2, sample: int = 512, longest: int = 16_384, size: int = 65_536) -> bytes:
-    """A dictionary trained on `sample` documents of at most `longest` characters, taken in order of a hash of the id; empty where there is too little to train on."""
+def train_dictionary(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 2, sample: int = 512, longest: int = 16_384, size: int = 65_536) -> bytes:
+    """A dictionary trained on `sample` documents of at most `longest` characters, taken in order of a hash of the text; empty where there is too little to train on."""
     of = F.col(f"`{text}`")
-    rows = docs.where(F.length(of).between(1, longest)).orderBy(F.xxhash64(F.col(f"`{doc_id}`").cast("string")), of).select(of.alias("t")).limit(sample).collect()
+    short = docs.where(F.length(of).between(1, longest)).select(of.alias("t"))
+    rows = first_by_hash(short, F.col("t"), sample, short.count()).collect()
     end = np.array([end_id], "<u4").tobytes()
     arrays = [b + end for b in Ids(tokenizer).encode_all([r.t for r in rows])]
     try:
@@ -53,7 +54,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id
     """Encode every text and write the folder."""
     spark = docs.sparkSession
     ship(spark)
-    raw = train_dictionary(docs, tokenizer, text, doc_id, end_id)
+    raw = train_dictionary(docs, tokenizer, text, end_id)
     dict_hash = hashlib.sha256(raw).hexdigest() if raw else ""
     spark.createDataFrame([(dict_hash, bytearray(raw), end_id, os.path.basename(tokenizer))], "dict_hash string, dict binary, end_id long, tokenizer string").coalesce(1).write.parquet(f"{path}/dictionary")
     names = [f.split()[0] for f in BLOCK.split(", ")]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import first_by_hash, map_texts
 from .words import Words, mix, words
 
 WINDOW = 10
@@ -159,12 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     own = docs.where(learn).select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
     known = docs.where(learn).select(F.col(f"`{doc_id}`").alias("d")).join(labels.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1)"), "d")
     both = own.where(F.length("t").between(1, max_chars)).join(known, "d")
+    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rows = []
     for y in (0, 1):
-        rows += both.where(F.col("y") == y).select("t", "y", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(per_class).collect()
+        rows += first_by_hash(both.where(F.col("y") == y).select("t", "y"), F.col("t"), per_class, counts.get(y, 0)).collect()
     held = [zlib.crc32(r.t.encode()) % 5 == 4 for r in rows]
     part = lambda which: ([r.t for r, h in zip(rows, held, strict=True) if h == which], [r.y for r, h in zip(rows, held, strict=True) if h == which])
-    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     return calibrate(fit(*part(False), **how), *part(True), counts.get(1, 0) / max(1, sum(counts.values())))
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, near, packing, secrets, token_store, topk, toxicity
+from . import decontamination, langid, near, packing, pii, secrets, token_store, topk, toxicity, urls
 from .common import fold, scratch
 
 
@@ -23,6 +23,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(_read(spark, sf_dir, "documents").select("doc_id", "text"), "pipeline-key").select("doc_id", "n_entities", F.col("surrogate_text").alias("text"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -34,6 +38,15 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules that the contract names.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.when(finite, F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)))
@@ -79,9 +92,33 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_secret_scans, op5_exact_top_k, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_best_fit_packing, op9_language_id, op10_token_binary_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_pii_surrogates, op3_secret_scans, op4_url_filters, op5_exact_top_k, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_best_fit_packing, op9_language_id, op10_token_binary_output)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_filters": """
+        WITH h AS (SELECT page_id, coalesce(url, '') AS u, translate(regexp_extract(coalesce(url, ''), '^(?s:.)*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(coalesce(url, ''), '^(?s:.)*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+             rules(says, rule, h, p) AS (VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('allow', 'net/de/', 'net', '/de/'), ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')),
+             best AS (SELECT h.*, (SELECT max_by(rule, length(rule)) FROM rules r WHERE (h.host = r.h OR ends_with(h.host, '.' || r.h)) AND starts_with(h.path, r.p)) AS rule FROM h),
+             ruled AS (SELECT b.*, r.says FROM best b LEFT JOIN rules r ON r.rule = b.rule),
+             pos AS (SELECT u, says, n, chr(2) || u || chr(3) AS s, unnest(range(1, length(u) + 3)) AS i FROM (SELECT u, says, count(*) AS n FROM ruled GROUP BY u, says)),
+             gram AS (SELECT u, says, n, substr(s, i, k) AS g, i + k > length(s) AS at_end FROM pos, range(1, 5) t(k) WHERE i + k <= length(s) + 1),
+             c AS (SELECT g, substr(g, 1, length(g) - 1) AS c, CAST(sum(CASE WHEN says = 'allow' THEN n ELSE 0 END) AS DOUBLE) AS a, CAST(sum(CASE WHEN says = 'block' THEN n ELSE 0 END) AS DOUBLE) AS b FROM gram WHERE says IS NOT NULL GROUP BY g),
+             x AS (SELECT c, sum(a) AS na, sum(b) AS nb, count(*) FILTER (a > 0) AS ta, count(*) FILTER (b > 0) AS tb FROM c GROUP BY c),
+             y AS (SELECT *, CASE WHEN na > 0 THEN ta / (na + ta) ELSE 1.0 END AS ea, CASE WHEN nb > 0 THEN tb / (nb + tb) ELSE 1.0 END AS eb FROM x),
+             z AS (SELECT *, ln(ea) - ln(eb) AS l FROM y),
+             j AS (SELECT * FROM c JOIN z USING (c)),
+             p1 AS (SELECT g, l, 1 / 256.0::DOUBLE AS la, 1 / 256.0::DOUBLE AS lb, CASE WHEN na > 0 THEN a / (na + ta) + ea / 256 ELSE 1 / 256.0::DOUBLE END AS pa, CASE WHEN nb > 0 THEN b / (nb + tb) + eb / 256 ELSE 1 / 256.0::DOUBLE END AS pb FROM j WHERE length(g) = 1),
+             p2 AS (SELECT j.g, j.l, q.pa AS la, q.pb AS lb, CASE WHEN na > 0 THEN a / (na + ta) + ea * q.pa ELSE q.pa END AS pa, CASE WHEN nb > 0 THEN b / (nb + tb) + eb * q.pb ELSE q.pb END AS pb FROM j JOIN p1 q ON q.g = substr(j.g, 2) WHERE length(j.g) = 2),
+             p3 AS (SELECT j.g, j.l, q.pa AS la, q.pb AS lb, CASE WHEN na > 0 THEN a / (na + ta) + ea * q.pa ELSE q.pa END AS pa, CASE WHEN nb > 0 THEN b / (nb + tb) + eb * q.pb ELSE q.pb END AS pb FROM j JOIN p2 q ON q.g = substr(j.g, 2) WHERE length(j.g) = 3),
+             p4 AS (SELECT j.g, j.l, q.pa AS la, q.pb AS lb, CASE WHEN na > 0 THEN a / (na + ta) + ea * q.pa ELSE q.pa END AS pa, CASE WHEN nb > 0 THEN b / (nb + tb) + eb * q.pb ELSE q.pb END AS pb FROM j JOIN p3 q ON q.g = substr(j.g, 2) WHERE length(j.g) = 4),
+             w AS (SELECT g, ln(pa) - ln(pb) - ln(la) + ln(lb) - l AS gram FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4)),
+             v AS (SELECT w.g, gram, coalesce(z.l, 0) AS context FROM w LEFT JOIN z ON z.c = w.g),
+             sc AS (SELECT u, coalesce(sum(gram + CASE WHEN at_end THEN 0 ELSE context END), 0) / (length(u) + 2) + (SELECT l FROM z WHERE c = '') AS score FROM gram LEFT JOIN v USING (g) GROUP BY u),
+             m AS (SELECT says, avg(score) AS mean, stddev_pop(score) AS sd FROM ruled JOIN sc USING (u) WHERE says IS NOT NULL GROUP BY says),
+             t AS (SELECT (a.mean * b.sd + b.mean * a.sd) / (a.sd + b.sd) AS t FROM m a, m b WHERE a.says = 'allow' AND b.says = 'block')
+        SELECT page_id, host, path, rule, coalesce(says, CASE WHEN score >= t THEN 'allow' ELSE 'block' END) AS verdict FROM ruled JOIN sc USING (u), t
+    """,
     "op5_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -220,7 +220,10 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float =
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring(sig, {2 * ROWS} * k + 1, {2 * ROWS})))")
     bands = reps.select("doc", F.explode(keys).alias("band"))
     leaders = bands.groupBy("band").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader <> last").select("band", "leader")
-    groups = components(bands.join(leaders, "band").where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct())
+    # a document's leaders, BANDS at most, all link to the least of them: what its neighbours' leaders have in common is one link
+    led = bands.join(leaders, "band").groupBy("doc").agg(F.collect_set("leader").alias("leaders"))
+    links = led.select(F.array_min("leaders").alias("a"), F.explode(F.array_union(F.array("doc"), "leaders")).alias("b")).where("a <> b").distinct()
+    groups = components(links)
 
     members = reps.join(groups.withColumnRenamed("node", "doc"), "doc")
     sizes = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("blocks"))

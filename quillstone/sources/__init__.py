@@ -1 +1 @@
-"""See the package README for the map from operators to modules."""
+"""Readers of articles and documents: XML, HTML, text of PDF files, Markdown, JSON."""

@@ -100,16 +100,40 @@ def calibrate(model: Model, texts: list[str], toxic: list[int], share: float) ->
     return Model((model.weight * at[0]).astype(np.float32), float(model.bias * at[0] + at[1]))
 
 
+def _vocabulary(texts: list[str], buckets: int, at_once: int = 128) -> tuple[np.ndarray, ...]:
+    """Of all texts, a few at a time: subwords of distinct words and how many each has; each word's place among them, its window, and each window's text."""
+    known, sub, n_sub, own, window, doc, n_windows = np.zeros(0, np.uint64), [], [], [], [], [], 0
+    for i in range(0, len(texts), at_once):
+        found = words(pa.array(texts[i : i + at_once], pa.string()))
+        new, which = np.unique(found.hash, return_index=True)
+        place = np.minimum(np.searchsorted(known, new), max(len(known) - 1, 0))
+        fresh = known[place] != new if len(known) else np.ones(len(new), bool)
+        if fresh.any():
+            b, begin = subwords(found, which[fresh], buckets)
+            at = np.searchsorted(known, new[fresh])
+            sub.append(b.astype(np.int32))
+            n_sub.append(np.stack([new[fresh].view(np.int64), np.diff(begin)], 1))
+            known = np.insert(known, at, new[fresh])
+        w, d = windows(found, WINDOW)
+        own.append(found.hash)
+        window.append((w + n_windows).astype(np.int32))
+        doc.append((d + i).astype(np.int32))
+        n_windows += len(d)
+    came = np.concatenate(n_sub) if n_sub else np.zeros((0, 2), np.int64)
+    order = np.argsort(came[:, 0].view(np.uint64), kind="stable")
+    hashes = came[order, 0].view(np.uint64)
+    all_own = np.concatenate([np.searchsorted(hashes, h).astype(np.int32) for h in own] or [np.zeros(0, np.int32)])
+    come = order.astype(np.int32)[all_own]  # words are numbered as they came, as their subwords are
+    return np.concatenate(sub or [np.zeros(0, np.int32)]), came[:, 1].astype(np.int32), come, np.concatenate(window or [np.zeros(0, np.int32)]), np.concatenate(doc or [np.zeros(0, np.int32)])
+
+
 def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8, epochs: int = 14, batch: int = 256, rate: float = 0.3, seed: int = 1) -> Model:
     y = np.array(toxic, np.int64)
     if len(set(toxic)) < 2:
         return Model(np.zeros(buckets, np.float32), -30.0)
     rng = np.random.default_rng(seed)
-    found = words(pa.array(texts, pa.string()))
-    _, which, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
-    sub, begin = subwords(found, which, buckets)
-    n_sub = np.diff(begin)
-    window, doc = windows(found, WINDOW)
+    sub, n_sub, inverse, window, doc = _vocabulary(texts, buckets)
+    begin = np.concatenate(([0], np.cumsum(n_sub)))
     first = np.searchsorted(window, np.arange(len(doc) + 1))
     n_words = np.diff(first)
     vectors = rng.uniform(-0.05 / dim, 0.05 / dim, (buckets, dim)).astype(np.float32)
@@ -154,7 +178,7 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
     return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = 3000, max_chars: int = 20_000, **how) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = 2500, max_chars: int = 10_000, **how) -> Model:
     """A model of the rows where learn holds. The sample's ids and labels are chosen first; only its texts are read then."""
     own = docs.where(learn).select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
     known = docs.where(learn).select(F.col(f"`{doc_id}`").alias("d")).join(labels.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1)"), "d")

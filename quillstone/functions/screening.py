@@ -74,7 +74,7 @@ def pii_spans(text: Column) -> Column:
         own = matches(text, f"(?U){pattern}", place)
         if kind == "card":
             bare = lambda m: F.regexp_replace(m["value"], r"[^0-9]", "")
-            own = F.filter(own, lambda m: F.length(bare(m)).between(13, 19) & F.coalesce(F.luhn_check(bare(m)), F.lit(False)))
+            own = F.filter(own, lambda m: F.length(bare(m)).between(13, 19) & F.coalesce(F.call_function("luhn_check", bare(m)), F.lit(False)))
         hint = "@" if kind == "email" else "[0-9]"
         each.append(F.when(text.contains("@") if kind == "email" else text.rlike(hint), own).otherwise(F.expr(_NONE)))
     before = lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).when(x["width"] != y["width"], y["width"] - x["width"]).otherwise(x["place"] - y["place"])

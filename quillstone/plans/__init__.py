@@ -1 +1,6 @@
-"""See the package README for the map from operators to modules."""
+"""Queries over the driver's tables, one or more for each group of operators, and their SQL."""
+
+from quillstone.plans import retrieval, texts  # noqa: F401
+from quillstone.plans.catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

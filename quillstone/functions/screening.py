@@ -96,5 +96,6 @@ def redact(text: Column, spans: Column) -> Column:
 def pii_counts(spans: Column) -> Column:
     """Occurrences by kind, in order of kinds; null if there are none."""
     kinds = sorted(k for k, *_ in PII_PATTERNS)
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias("value")) for k in kinds])
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), count(k).alias("value")) for k in kinds])
     return F.when(F.size(spans) > 0, F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0)))

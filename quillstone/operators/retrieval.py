@@ -65,27 +65,29 @@ def rerank(hits: DataFrame, score: Column, top_n: int | None = None) -> DataFram
     return out.where(F.col("rank") <= top_n) if top_n else out
 
 
-def cap(ranked: DataFrame, by: list[str], n: int | None) -> DataFrame:
-    """The first n rows a query of each group; all for None. Ranks keep their gaps."""
+def cap(ranked: DataFrame, by: list[str], n: int | Column | None, query: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """The first n rows a query of each group; all for None, and for a null column. Ranks keep their gaps."""
     if n is None:
         return ranked
-    place = F.row_number().over(Window.partitionBy("query_id", *by).orderBy("rank"))
-    return ranked.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
+    place = F.row_number().over(Window.partitionBy(*query, *by).orderBy("rank"))
+    stay = F.col("__place") <= n
+    return ranked.withColumn("__place", place).where(stay if isinstance(n, int) else F.coalesce(stay, F.lit(True))).drop("__place")
 
 
-def purity_gate(ranked: DataFrame, top_k: int, threshold: float, group: str = "grp") -> DataFrame:
+def purity_gate(ranked: DataFrame, top_k: int | Column, threshold: float | Column, group: str = "grp", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The first top_k rows a query with rank (anew from 1), collapsed and resolved (the groups that are left).
 
     The share of a group is its count among the first top_k rows by top_k, however few rows there are. Where the
     largest share reaches the threshold only that group's rows stay, from the whole list; of equal counts the group that
     comes first is taken.
     """
-    query = Window.partitionBy("query_id")
-    of_group = Window.partitionBy("query_id", group)
+    query = Window.partitionBy(*by)
+    of_group = Window.partitionBy(*by, group)
+    top_k = F.lit(top_k) if isinstance(top_k, int) else top_k
     placed = ranked.withColumn("__at", F.row_number().over(query.orderBy("rank")))
     seen = placed.withColumns({"__n": F.count_if(F.col("__at") <= top_k).over(of_group), "__first": F.min("__at").over(of_group)})
     best = F.max(F.struct(F.col("__n"), -F.col("__first"), F.col(group))).over(query)
-    judged = seen.withColumn("__best", best).withColumn("collapsed", F.col("__best.__n") / F.lit(float(top_k)) >= threshold)
+    judged = seen.withColumn("__best", best).withColumn("collapsed", F.col("__best.__n") / top_k >= threshold)
     stay = judged.where(F.when(F.col("collapsed"), F.col(group) == F.col(f"__best.{group}")).otherwise(F.col("__at") <= top_k))
     out = stay.withColumn("rank", F.row_number().over(query.orderBy("__at"))).where(F.col("rank") <= top_k)
     return out.withColumn("resolved", F.array_sort(F.collect_set(group).over(query))).drop("__at", "__n", "__first", "__best")
@@ -98,8 +100,12 @@ def retrieve_auto(ranked: DataFrame, cfg: RetrievalConfig, group: str = "grp", a
 
 
 def sweep(ranked: DataFrame, configs: list[RetrievalConfig], group: str = "grp", article: str = "article") -> DataFrame:
-    """What retrieve_auto gives for each configuration, with its number from 0 as config."""
-    return reduce(DataFrame.unionByName, [retrieve_auto(ranked, c, group, article).withColumn("config", F.lit(i)) for i, c in enumerate(configs)])
+    """What retrieve_auto gives for each configuration, with its number from 0 as config; the ranked list is made once."""
+    rows = [(i, c.max_per_article, c.max_per_group, c.top_k_auto or c.top_k, float(c.purity_threshold)) for i, c in enumerate(configs)]
+    table = ranked.sparkSession.createDataFrame(rows, "config int, __articles int, __groups int, __k int, __share double")
+    by = ("config", "query_id")
+    capped = cap(cap(ranked.crossJoin(F.broadcast(table)), [group, article], F.col("__articles"), by), [group], F.col("__groups"), by)
+    return purity_gate(capped, F.col("__k"), F.col("__share"), group, by).drop("__articles", "__groups", "__k", "__share")
 
 
 def first_hit(ranked: DataFrame, hit: Column) -> DataFrame:

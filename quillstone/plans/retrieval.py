@@ -59,19 +59,19 @@ def cap_two_level(table):
 
 def _gate(source: str, k: int, threshold: float, extra: str = "") -> str:
     return f"""
-    p{extra} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS at FROM {source}),
-    g{extra} AS (SELECT query_id, grp, count(*) AS n, min(at) AS first FROM p{extra} WHERE at <= {k} GROUP BY ALL),
+    p{extra} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM {source}),
+    g{extra} AS (SELECT query_id, grp, count(*) AS n, min(pos) AS first FROM p{extra} WHERE pos <= {k} GROUP BY ALL),
     t{extra} AS (SELECT query_id, grp AS top, n / {k}.0 >= {threshold} AS collapsed FROM g{extra} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, first) = 1),
-    o{extra} AS (SELECT query_id, id, grp, collapsed, row_number() OVER (PARTITION BY query_id ORDER BY at) AS rank FROM p{extra} JOIN t{extra} USING (query_id) WHERE CASE WHEN collapsed THEN grp = top ELSE at <= {k} END QUALIFY rank <= {k})
+    o{extra} AS (SELECT query_id, id, grp, collapsed, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS place FROM p{extra} JOIN t{extra} USING (query_id) WHERE CASE WHEN collapsed THEN grp = top ELSE pos <= {k} END QUALIFY place <= {k})
     """
 
 
-@query(f"WITH {_KNN}, {_gate('ranked', 5, 0.6)} SELECT query_id, id, grp, collapsed, CAST(rank AS INTEGER) AS rank, (SELECT string_agg(DISTINCT grp, ',' ORDER BY grp) FROM o x WHERE x.query_id = o.query_id) AS resolved FROM o")
+@query(f"WITH {_KNN}, {_gate('ranked', 5, 0.6)} SELECT query_id, id, grp, collapsed, CAST(place AS INTEGER) AS rank, (SELECT string_agg(DISTINCT grp, ',' ORDER BY grp) FROM o x WHERE x.query_id = o.query_id) AS resolved FROM o")
 def purity_gate(table):
     return retrieval.purity_gate(_pool(table), 5, 0.6).select("query_id", "id", "grp", "collapsed", "rank", F.array_join("resolved", ",").alias("resolved"))
 
 
-@query(f"WITH {_KNN}, {_CAPPED.format(articles=10**9, groups=2)}, {_gate('b', 12, 0.6)} SELECT query_id, id, grp, collapsed, CAST(rank AS INTEGER) AS rank FROM o")
+@query(f"WITH {_KNN}, {_CAPPED.format(articles=10**9, groups=2)}, {_gate('b', 12, 0.6)} SELECT query_id, id, grp, collapsed, CAST(place AS INTEGER) AS rank FROM o")
 def retrieve_auto(table):
     return retrieval.retrieve_auto(_pool(table), RetrievalConfig()).select("query_id", "id", "grp", "collapsed", "rank")
 
@@ -105,7 +105,7 @@ def pool_counts(table):
 
 
 @query("""
-    WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(left(text, 60)), '\\W+'), lambda w: w <> '')) AS qs FROM benchmark WHERE item_id % 10 = 0),
+    WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda w: w <> '')) AS qs FROM benchmark WHERE item_id % 100 = 0),
          p AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda w: w <> '')) AS ps FROM conversations WHERE role = 'user'),
          s AS (SELECT item_id, conv_id, turn, round(len(list_intersect(qs, ps)) / len(qs), 6) AS score FROM q, p)
     SELECT item_id, conv_id, turn, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id, turn) AS INTEGER) AS rank FROM s QUALIFY rank <= 5
@@ -113,8 +113,8 @@ def pool_counts(table):
 def token_overlap_rerank(table):
     from pyspark.sql import Window
 
-    q = table("benchmark").where("item_id % 10 = 0").select("item_id", F.left("text", F.lit(60)).alias("q"))
+    q = table("benchmark").where("item_id % 100 = 0").select("item_id", F.col("text").alias("q"))
     p = table("conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("p"))
-    scored = p.crossJoin(F.broadcast(q)).select("item_id", "conv_id", "turn", F.round(retrieval.token_overlap(F.lower("q"), F.col("p")), 6).alias("score"))
+    scored = p.crossJoin(F.broadcast(q)).select("item_id", "conv_id", "turn", F.round(retrieval.token_overlap(F.col("q"), F.col("p")), 6).alias("score"))
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), "conv_id", "turn")
     return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 5")

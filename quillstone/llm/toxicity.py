@@ -90,6 +90,7 @@ def calibrate(model: Model, texts: list[str], toxic: list[int], share: float) ->
     if len(set(toxic)) < 2:
         return model
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    z, y, weight = np.append(z, model.bias), np.append(y, 0), np.append(weight, 0.02 * weight.sum())  # words that nothing is known of
     x, at = np.stack([z, np.ones(len(z))], 1), np.array([1.0, 0.0])
     for _ in range(50):  # Newton's steps, held back by a weak prior on the scale and a limit on each step
         p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
@@ -171,6 +172,9 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
             squares[used] += grad**2
             vectors[used] -= rate * grad / np.sqrt(squares[used])
             g, gb = (p.T @ h / len(w)).astype(np.float32), p.mean(0).astype(np.float32)
+            # a tenth as many windows of words that nothing is known of: they aren't toxic, which the bias has to say
+            blank = 1 / (1 + np.exp(bias[0] - bias[1]))
+            gb += 0.1 * np.array([-blank, blank], np.float32)
             out_squares += g**2
             out -= rate * 0.3 * g / np.sqrt(out_squares)
             bias_squares += gb**2

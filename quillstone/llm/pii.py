@@ -49,17 +49,27 @@ HINT = rf"@|[0-9]|{_TITLES}"
 _PART = "struct<kind:string,value:string>"
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value worked out once however often then, or a lambda in it, uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
 def luhn(number: Column) -> Column:
     """The sum whose last digit is 0 where a number of digits passes its check."""
-    n = F.length(number)
-    def at(i):
-        d = F.substring(number, n - i + 1, F.lit(1)).cast("int")
-        return F.when(i % 2 == 1, d).otherwise(d * 2 - F.when(d > 4, 9).otherwise(0))
-    return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(1))), F.lit(0), lambda a, i: a + at(i))
+
+    def total(number: Column) -> Column:
+        n = F.length(number)
+
+        def at(i: Column) -> Column:
+            return let(F.substring(number, n - i + 1, F.lit(1)).cast("int"), lambda d: F.when(i % 2 == 1, d).otherwise(d * 2 - F.when(d > 4, 9).otherwise(0)))
+
+        return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.expr("cast(array() as array<int>)")), F.lit(0), lambda a, i: a + at(i))
+
+    return let(number, total)
 
 
 def mod97(iban: Column) -> Column:
@@ -101,16 +111,24 @@ def _drawn(seed: Column, i: Column, n: int) -> Column:
 
 def _alike(value: Column, seed: Column) -> Column:
     """The same string with other letters and digits in place of its own."""
+
     def one(c, i):
         letter = lambda base: F.char(F.lit(base) + _drawn(seed, i, 26))
         return F.when(c.rlike("[0-9]"), _drawn(seed, i, 10).cast("string")).when(c.rlike("[a-z]"), letter(97)).when(c.rlike("[A-Z]"), letter(65)).otherwise(c)
+
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
-def _refilled(value: Column, number: Column) -> Column:
-    """value with its digits, one after the other, from number."""
-    places = F.sequence(F.lit(1), F.length(value))
-    return F.array_join(F.transform(places, lambda i: F.when(F.substring(value, i, F.lit(1)).rlike("[0-9]"), F.substring(number, F.length(digits(F.substring(value, F.lit(1), i))), F.lit(1))).otherwise(F.substring(value, i, F.lit(1)))), "")
+def _refilled(value: Column, number: Column, own: str) -> Column:
+    """value with its characters of the pattern own, one after the other, from number."""
+
+    def filled(number: Column) -> Column:
+        begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
+        taken = lambda a, c: F.struct(F.concat(a["out"], F.substring(number, a["n"] + 1, F.lit(1))).alias("out"), (a["n"] + 1).alias("n"))
+        add = lambda a, c: F.when(c.rlike(own), taken(a, c)).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n")))
+        return F.aggregate(F.split(value, ""), begin, add, lambda a: a["out"])
+
+    return let(number, filled)
 
 
 def _name(value: Column, seed: Column, gender: str, attempt: Column) -> Column:
@@ -124,25 +142,27 @@ def _name(value: Column, seed: Column, gender: str, attempt: Column) -> Column:
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """A draw for a part. IPv4 addresses come from the reserved 240.0.0.0/4, card numbers begin with 9, social security numbers too, as no issued ones do, and domains end in .example.org."""
-    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string")), 256)
+    seeded = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string")), 256)
+    return let(seeded, lambda seed: _drawn_as(kind, value, attempt, seed))
+
+
+def _drawn_as(kind: Column, value: Column, attempt: Column, seed: Column) -> Column:
     octet = lambda i, n: _drawn(seed, F.lit(i), n).cast("string")
-    number = _alike(digits(value), seed)
-    card = F.concat(F.lit("9"), F.substring(number, F.lit(2), F.length(number) - 2))
-    card = F.concat(card, F.pmod(F.lit(10) - luhn(F.concat(card, F.lit("0"))) % 10, F.lit(10)).cast("string"))
+    checked = lambda n: F.concat(n, F.pmod(F.lit(10) - luhn(F.concat(n, F.lit("0"))) % 10, F.lit(10)).cast("string"))
+    card = let(_alike(digits(value), seed), lambda n: let(F.concat(F.lit("9"), F.substring(n, F.lit(2), F.length(n) - 2)), checked))
     bare = F.regexp_replace(value, " ", "")
-    body = _alike(F.substring(bare, F.lit(5), F.length(bare)), seed)
-    check = F.lpad((F.lit(98) - mod97(F.concat(F.substring(bare, 1, 2), F.lit("00"), body))).cast("string"), 2, "0")
-    iban = F.concat(F.substring(bare, 1, 2), check, body)
-    spaced = F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(F.substring(value, i, F.lit(1)) == " ", F.lit(" ")).otherwise(F.substring(iban, F.length(F.regexp_replace(F.substring(value, F.lit(1), i), " ", "")), F.lit(1)))), "")
+    country_code = F.substring(bare, 1, 2)
+    check = lambda body: F.lpad((F.lit(98) - mod97(F.concat(country_code, F.lit("00"), body))).cast("string"), 2, "0")
+    iban = let(_alike(F.substring(bare, F.lit(5), F.length(bare)), seed), lambda body: F.concat(country_code, check(body), body))
     country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
     rest = _alike(F.substring(value, F.length(country) + 1, F.length(value)), seed)
     return (
         F.when(kind == "local", _alike(value, seed))
         .when(kind == "domain", F.concat(_alike(F.lit("xxxxxx00"), seed), F.lit(".example.org")))
         .when(kind == "ip", F.concat_ws(".", (_drawn(seed, F.lit(0), 15) + 240).cast("string"), octet(1, 256), octet(2, 256), octet(3, 256)))
-        .when(kind == "card", _refilled(value, card))
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_alike(value, seed), F.lit(2), F.length(value))))
-        .when(kind == "iban", spaced)
+        .when(kind == "card", _refilled(value, card, "[0-9]"))
+        .when(kind == "ssn", F.concat(F.lit("9"), let(_alike(value, seed), lambda v: F.substring(v, F.lit(2), F.length(v)))))
+        .when(kind == "iban", _refilled(value, iban, "[^ ]"))
         .when(kind == "phone", F.concat(country, rest))
         .when(kind == "given-m", _name(value, seed, "m", attempt))
         .when(kind == "given-f", _name(value, seed, "f", attempt))

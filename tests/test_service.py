@@ -87,3 +87,23 @@ def test_caches_and_reports(spark, tmp_path):
     (tmp_path / "g.jsonl").write_text('{"id": "a"}\n\n{"id": "b"}\n')
     assert service.gold_cases(spark, str(tmp_path / "g.jsonl")).count() == 2
     assert [r.id for r in service.gold_cases(spark, str(tmp_path / "g.jsonl"), spark.createDataFrame([("b",)], "id string")).collect()] == ["b"]
+
+
+def test_index_is_built_for_what_changed(spark, tmp_path):
+    from quillstone.operators import index
+
+    embed = index.embedder(lambda: lambda texts: [[float(len(t))] for t in texts], batch=2)
+    schema = "norma string, articulo string, language string, text string, paragraphs array<struct<apartado:string,text:string>>"
+    articles = spark.createDataFrame([("n", str(i), "en", "w " * (i + 1), [("1", "a b"), ("2", "c")]) for i in range(5)], schema)
+    entries = lambda done: spark.createDataFrame([("n", str(i), "en", ["x"] if i in done else [], "m" if i in done else None) for i in range(5)], "norma string, articulo string, language string, chunks array<string>, embedding_model string")
+    empty = spark.createDataFrame([], "chunk_id string, article_id string, norma string, articulo string, apartado string, language string, text string, token_count int, content_hash string, vector array<float>, model string")
+    made, summary = index.build(articles, entries(set()), empty, embed, "m", max_tokens=3)
+    assert {r.chunk_id: r.vector for r in made.collect()} == {"n.0.en": [2.0], "n.1.en": [4.0], "n.2.en": [6.0], "n.3.1.en": [3.0], "n.3.2.en": [1.0], "n.4.1.en": [3.0], "n.4.2.en": [1.0]}
+    assert summary.first().added == 7
+    _, again = index.build(articles, entries({0, 1, 2, 3, 4}), made, embed, "m", max_tokens=3)
+    assert (again.first().added, again.first().recomputed, again.first().unchanged) == (0, 0, 7)
+    _, part = index.build(articles, entries({0, 1, 2, 3}), made, embed, "m", max_tokens=3)
+    assert (part.first().recomputed, part.first().unchanged) == (2, 5)
+    with pytest.raises(FileNotFoundError):
+        index.open_index(spark, str(tmp_path / "i"))
+    assert index.open_index(spark, str(tmp_path / "i"), empty).count() == 0

@@ -52,11 +52,15 @@ def fold(column: str, n: int):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)), F.lit(0).cast("long"))
 
 
+def hash_limit(n: int, of: int) -> int:
+    """A 64-bit hash that is higher than those of the first n of about `of` rows by hash, unless hashes are very uneven."""
+    return min(2**63 - 1, int(-(2**63) + min(1.0, (4 * n + 100) / max(of, 1)) * 2**64))
+
+
 def first_by_hash(df: DataFrame, by: Column, n: int, of: int) -> DataFrame:
     """The n rows of df with the smallest hash of `by`. of: about how many rows df has; rows that can't be among the
-    first, unless hashes are very uneven, go before anything is sorted or sent, so that what moves doesn't grow with df."""
-    h, share = F.xxhash64(by), min(1.0, (4 * n + 100) / max(of, 1))
-    near = df.withColumn("__q_hash", h).where(F.col("__q_hash") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
+    first go before anything is sorted or sent, so that what moves doesn't grow with df."""
+    near = df.withColumn("__q_hash", F.xxhash64(by)).where(F.col("__q_hash") <= F.lit(hash_limit(n, of)))
     return near.orderBy("__q_hash", by).limit(n).drop("__q_hash")
 
 

@@ -19,12 +19,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import SuffixAutomaton
-from .common import first_by_hash, map_texts
+from .common import hash_limit, map_texts
 
 LANE = 512
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
@@ -125,7 +125,15 @@ def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang
     """Whole labelled texts of at most `longest` characters, `per_language` of each of the `languages` most frequent languages in order of a hash, cut off after about `chars` in all."""
     own = docs.where(learn).select(F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t")).where("l is not null and l <> 'und'").where(F.length("t").between(1, longest))
     counts = own.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()
-    rows = [r for c in sorted(counts, key=lambda c: c.l) for r in first_by_hash(own.where(F.col("l") == c.l), F.col("t"), per_language, c.n).collect()]
+    if not counts:
+        return {}
+    # the first of each language by hash; rows whose hash is too high to be among them go before anything moves
+    highest = F.lit(-(2**63))
+    for c in counts:
+        highest = F.when(F.col("l") == c.l, F.lit(hash_limit(per_language, c.n))).otherwise(highest)
+    near = own.withColumn("h", F.xxhash64("t")).where(F.col("h") <= highest)
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
+    rows = sorted(near.withColumn("k", place).where(F.col("k") <= per_language).select("l", "k", "t").collect())
     out: dict[str, list[str]] = {}
     for r in rows:
         texts = out.setdefault(r.l, [])

@@ -7,7 +7,7 @@ of a text and goes on with the highest one. As the softmax is linear in the vect
 each bucket, and that is all that goes to the tasks.
 
 The model is fitted on a bounded sample: `per_class` labelled documents of either class at most, in order of a
-hash of the text, and `max_chars` characters each. A fifth of it, by another hash, isn't trained on but calibrates
+hash of the id, and `max_chars` characters each. A fifth of it, by another hash, isn't trained on but calibrates
 scale and bias, so that 0.5 is where either label is as likely.
 
 Edge cases: null and empty texts, and texts without words, get the score of the bias alone, 0 at most 0.5; equal
@@ -183,14 +183,18 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = 2500, max_chars: int = 10_000, **how) -> Model:
-    """A model of the rows where learn holds. The sample's ids and labels are chosen first; only its texts are read then."""
+    """A model of the rows where learn holds. Ids and labels of the sample are chosen without the texts, in order of a hash of the id, and only its texts are sent then."""
     own = docs.where(learn).select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
-    known = docs.where(learn).select(F.col(f"`{doc_id}`").alias("d")).join(labels.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1)"), "d")
-    both = own.where(F.length("t").between(1, max_chars)).join(known, "d")
+    known = labels.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1)")
+    known = own.select("d", F.length("t").alias("n")).join(known, "d")
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    rows = []
+    chosen = []
     for y in (0, 1):
-        rows += first_by_hash(both.where(F.col("y") == y).select("t", "y"), F.col("t"), per_class, counts.get(y, 0)).collect()
+        fit_in = known.where((F.col("y") == y) & F.col("n").between(1, max_chars)).select("d", "y")
+        chosen += first_by_hash(fit_in, F.col("d"), per_class, counts.get(y, 0)).collect()
+    ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], T.StructType([T.StructField("d", own.schema["d"].dataType), T.StructField("y", T.IntegerType())]))
+    rows = own.join(F.broadcast(ids.distinct()), "d").where(F.length("t").between(1, max_chars)).select("t", "y").collect()
+    rows.sort(key=lambda r: (zlib.crc32(r.t.encode()), r.t, r.y))
     held = [zlib.crc32(r.t.encode()) % 5 == 4 for r in rows]
     part = lambda which: ([r.t for r, h in zip(rows, held, strict=True) if h == which], [r.y for r, h in zip(rows, held, strict=True) if h == which])
     return calibrate(fit(*part(False), **how), *part(True), counts.get(1, 0) / max(1, sum(counts.values())))

@@ -118,12 +118,12 @@ def change(delta: Column, flat: float = 0.005) -> Column:
     return F.when(delta > flat, "improved").when(delta < -flat, "regressed").otherwise("flat")
 
 
-def attacks(outcomes: DataFrame, layers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of outcomes (id, scenario, blocked, layer, cost): per layer counts of blocked ones, 0 for layers without, and per scenario n, n_blocked, block_rate and escaped ids in order."""
+def attacks(outcomes: DataFrame, layers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of outcomes (id, scenario, blocked, layer): per layer counts of blocked ones, 0 for layers without; per scenario n, n_blocked and block_rate; and the escaped ones as rows, so that no group of them is gathered."""
     hits = outcomes.where("blocked").groupBy("layer").agg(F.count("*").alias("n"))
     per_layer = layers.join(hits, "layer", "left").select("layer", F.coalesce("n", F.lit(0)).alias("n"))
-    per_scenario = outcomes.groupBy("scenario").agg(F.count("*").alias("n"), F.count_if("blocked").alias("n_blocked"), F.avg(F.col("blocked").cast("double")).alias("block_rate"), F.array_join(F.sort_array(F.collect_list(F.when(~F.col("blocked"), F.col("id")))), ",").alias("escaped"))
-    return per_layer, per_scenario
+    per_scenario = outcomes.groupBy("scenario").agg(F.count("*").alias("n"), F.count_if("blocked").alias("n_blocked"), F.avg(F.col("blocked").cast("double")).alias("block_rate"))
+    return per_layer, per_scenario, outcomes.where("not blocked").select("scenario", "id")
 
 
 def completed_rate(blocked: Column, timeout: Column, error: Column) -> Column:

@@ -10,7 +10,6 @@ from quillstone.sources import articles
 
 from .catalog import query
 
-T = F.col("text")
 _NORM = r"trim(regexp_replace(regexp_replace(strip_accents(lower({})), '[–—−―]', '-', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -22,18 +21,18 @@ def _first_pattern(patterns):
 
 @query(f"SELECT doc_id, md5({_NORM.format('text')}) AS norm_md5, CAST(length({_NORM.format('text')}) AS BIGINT) AS norm_chars FROM documents")
 def normalize_text(table):
-    n = text.normalize(T)
+    n = text.normalize(F.col("text"))
     return table("documents").select("doc_id", F.md5(n.cast("binary")).alias("norm_md5"), F.length(n).cast("long").alias("norm_chars"))
 
 
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash, left(sha256(text), 12) AS hash12, sha256('m|' || text || '|0.0') AS cache_key FROM documents")
 def content_hash(table):
-    return table("documents").select("doc_id", text.content_hash(T).alias("content_hash"), text.short_hash(T).alias("hash12"), text.cache_key(F.lit("m"), T, F.lit("0.0")).alias("cache_key"))
+    return table("documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"), text.short_hash(F.col("text")).alias("hash12"), text.cache_key(F.lit("m"), F.col("text"), F.lit("0.0")).alias("cache_key"))
 
 
 @query(r"SELECT doc_id, greatest(1, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))) AS tokens FROM documents")
 def token_count(table):
-    return table("documents").select("doc_id", text.token_count(T).cast("long").alias("tokens"))
+    return table("documents").select("doc_id", text.token_count(F.col("text")).cast("long").alias("tokens"))
 
 
 @query("""
@@ -46,17 +45,17 @@ def length_calibration(table):
 
 @query("SELECT lang, CASE WHEN regexp_matches(text, '[áéíóúñ¿¡]') THEN 'es' ELSE 'en' END AS detected, count(*) AS n FROM documents GROUP BY ALL")
 def language_confusion(table):
-    return table("documents").groupBy("lang", text.detect_language(T).alias("detected")).agg(F.count("*").alias("n"))
+    return table("documents").groupBy("lang", text.detect_language(F.col("text")).alias("detected")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT conv_id, turn, {_first_pattern(screening.CHAT_PATTERNS)} AS pattern FROM conversations")
 def injection_scan_chat(table):
-    return table("conversations").select("conv_id", "turn", screening.injection(T).alias("pattern"))
+    return table("conversations").select("conv_id", "turn", screening.injection(F.col("text")).alias("pattern"))
 
 
 @query(f"SELECT doc_id, {_first_pattern(screening.DOCUMENT_PATTERNS + screening.CHAT_PATTERNS)} AS pattern FROM documents")
 def injection_scan_document(table):
-    return table("documents").select("doc_id", screening.injection(T, "document").alias("pattern"))
+    return table("documents").select("doc_id", screening.injection(F.col("text"), "document").alias("pattern"))
 
 
 _PII = {k: p.replace("'", "''") for k, p, _ in screening.PII_PATTERNS}
@@ -69,15 +68,15 @@ _LUHN = "list_sum(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN i
     SELECT doc_id, kind, count(*) AS n FROM g WHERE kind <> 'card' OR (length(c) BETWEEN 13 AND 19 AND {_LUHN}) GROUP BY ALL
 """)
 def pii_counts(table):
-    found = table("documents").select("doc_id", F.explode(screening.pii_spans(T)).alias("s"))
+    found = table("documents").select("doc_id", F.explode(screening.pii_spans(F.col("text"))).alias("s"))
     return found.groupBy("doc_id", "s.kind").agg(F.count("*").alias("n"))
 
 
 @query()
 def pii_redact(table):
     """No SQL: replaces spans by position; held against a plain Python version in the tests."""
-    spans = screening.pii_spans(T)
-    return table("documents").select("doc_id", F.size(spans).alias("n_spans"), F.md5(screening.redact(T, spans).cast("binary")).alias("redacted_md5"))
+    spans = screening.pii_spans(F.col("text"))
+    return table("documents").select("doc_id", F.size(spans).alias("n_spans"), F.md5(screening.redact(F.col("text"), spans).cast("binary")).alias("redacted_md5"))
 
 
 _AUTHORITY = "regexp_replace(lower(regexp_extract(url, '^(?i:https?)://([^/?#]*)', 1)), '^www\\.', '')"
@@ -96,7 +95,7 @@ def url_extract(table):
 
 @query("SELECT doc_id, regexp_matches(text, '[​‌‍‮⁠﻿]') AS had_hidden, md5(translate(text, '​‌‍‮⁠﻿', '')) AS clean_md5 FROM documents")
 def unicode_strip(table):
-    return table("documents").select("doc_id", text.has_hidden(T).alias("had_hidden"), F.md5(text.strip_hidden_nfkc(T).cast("binary")).alias("clean_md5"))
+    return table("documents").select("doc_id", text.has_hidden(F.col("text")).alias("had_hidden"), F.md5(text.strip_hidden_nfkc(F.col("text")).cast("binary")).alias("clean_md5"))
 
 
 _LINES = r"list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g'))"
@@ -107,7 +106,7 @@ _LINES = r"list_transform(string_split(text, chr(10)), lambda s: regexp_replace(
     FROM (SELECT doc_id, list_filter({_LINES}, lambda s: regexp_matches(s, '{text.HEADING}') AND NOT ends_with(s, '.')) AS h FROM documents)
 """)
 def heading_lines(table):
-    h = text.headings(T)
+    h = text.headings(F.col("text"))
     return table("documents").select("doc_id", F.size(h).cast("long").alias("n_headings"), F.md5(F.array_join(h, "|").cast("binary")).alias("headings_md5"))
 
 
@@ -149,7 +148,7 @@ def html_outline(table):
 
 @query("SELECT conv_id, turn, regexp_replace(regexp_replace(trim(text), '^```[A-Za-z]*\\s*', ''), '\\s*```$', '') = trim(text) AS bare, left(text, 20) || '...' AS snippet, string_split(text || ':', ':')[1] AS code FROM conversations")
 def reply_fields(table):
-    return table("conversations").select("conv_id", "turn", (text.strip_fence(T) == F.trim(T)).alias("bare"), F.concat(F.left(T, F.lit(20)), F.lit("...")).alias("snippet"), text.reason_code(T).alias("code"))
+    return table("conversations").select("conv_id", "turn", (text.strip_fence(F.col("text")) == F.trim(F.col("text"))).alias("bare"), F.concat(F.left(F.col("text"), F.lit(20)), F.lit("...")).alias("snippet"), text.reason_code(F.col("text")).alias("code"))
 
 
 @query("""
@@ -169,5 +168,5 @@ _REFUSAL = "CASE " + " ".join("WHEN contains(lower(text), '{0}') THEN '{0}'".for
     FROM c GROUP BY ALL
 """)
 def no_answer_classes(table):
-    name, _ = evaluation.no_answer_class(T)
+    name, _ = evaluation.no_answer_class(F.col("text"))
     return table("conversations").groupBy("role", name.alias("class")).agg(F.count("*").alias("n"))

@@ -205,8 +205,14 @@ def layer_counts_zero_filled(table):
     return evaluation.attacks(events, layers)[0]
 
 
-@query("SELECT user_id % 10 AS scenario, count(*) AS n, count(*) FILTER (value > 10) AS n_blocked, round(avg(CASE WHEN value > 10 THEN 1.0 WHEN value <= 10 THEN 0.0 END), 6) AS block_rate, md5(coalesce(string_agg(event_id, ',' ORDER BY event_id) FILTER (NOT value > 10), '')) AS escaped_md5 FROM events GROUP BY ALL")
+@query("SELECT user_id % 10 AS scenario, count(*) AS n, count(*) FILTER (value > 10) AS n_blocked, round(avg(CASE WHEN value > 10 THEN 1.0 WHEN value <= 10 THEN 0.0 END), 6) AS block_rate FROM events GROUP BY ALL")
 def scenario_block_rate(table):
     events = _outcomes(table)
     out = evaluation.attacks(events, events.select("layer").distinct())[1]
-    return out.select("scenario", "n", "n_blocked", F.round("block_rate", 6).alias("block_rate"), F.md5(F.col("escaped").cast("binary")).alias("escaped_md5"))
+    return out.select("scenario", "n", "n_blocked", F.round("block_rate", 6).alias("block_rate"))
+
+
+@query("SELECT user_id % 10 AS scenario, event_id AS id FROM events WHERE NOT value > 10")
+def escaped_attacks(table):
+    events = _outcomes(table)
+    return evaluation.attacks(events, events.select("layer").distinct())[2]

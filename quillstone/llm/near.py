@@ -261,7 +261,8 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float =
     linked = results.groupBy("doc").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     over = components(results.where("split and doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("doc"), "label")
     classes = reps.select("doc", "digest", "copies").join(linked, "doc", "left").join(over, "doc", "left").groupBy("digest").agg(F.min(F.coalesce("label", "root", "doc")).alias("class_id"), F.min(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sets.select(F.col("doc").alias("doc_id"), "digest").join(classes, "digest").select("doc_id", "class_id", "n_links").unionByName(alone)
+    # stored, so that both sides of the join are dealt out for it and Spark can split a set that a third of all documents have
+    return sets.select(F.col("doc").alias("doc_id"), "digest").join(stored(classes, "classes"), "digest").select("doc_id", "class_id", "n_links").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -19,13 +19,14 @@ _TAIL = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 class Ids:
     """Of texts, ids as little-endian unsigned 32-bit integers in bytes. path: a file of the tokenizers library."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before known was full; words that come again move back
         self.ends: dict[str, bytes] = {}
         self.keep = keep
         #: What is put between parts to encode many at once: one id that no part without its character has.
@@ -61,7 +62,7 @@ class Ids:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.keep:
-            self.known = {}
+            self.known, self.older = {}, self.known
         if len(self.ends) > self.keep:
             self.ends = {}
         known, found, missing = self.known, [], set()
@@ -75,7 +76,10 @@ class Ids:
             missing.update(rest[i] for i in lacks)
             found.append((first, parts, [(i, rest[i]) for i in lacks]))
         if missing:
-            self._learn(missing, known)
+            older = self.older
+            again = {p: older[p] for p in missing if p in older}
+            known.update(again)
+            self._learn(missing.difference(again), known)
         out = []
         for x in found:
             if isinstance(x, tuple):

@@ -47,7 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document: its ids, its sequence of at most 2048 ids and its place there."""
-    cut = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    cut = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), keep=200_000)
     placed = packing.place(cut.drop("ids"))
     return placed.select("doc_id", F.col("piece").cast("int"), "start", "length", "sequence_id", "offset")
 

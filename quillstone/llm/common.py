@@ -41,6 +41,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What make() gives, kept in this Python worker for its next tasks in place of what another key had: workers are used
+    again by one operator after the other, and only one's large state is to stay."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Nothing is kept any longer."""
+    _held.clear()
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without its columns of these names, in any case: a result column replaces an input column of its name."""
     low = {n.lower() for n in names}
@@ -76,14 +93,16 @@ def slices(batch: pa.RecordBatch, column: pa.Array, max_bytes: int) -> Iterator[
         yield batch.slice(start), column.slice(start)
 
 
-def map_texts(docs: DataFrame, text: str, fields: list[T.StructField], make: Callable, max_bytes: int = 2 << 20) -> DataFrame:
-    """docs with columns that a function of the texts makes. make() runs once a task and returns a function from an Arrow string array without nulls to Arrow arrays, one a field."""
+def map_texts(docs: DataFrame, text: str, fields: list[T.StructField], make: Callable, max_bytes: int = 2 << 20, keeps: bool = False) -> DataFrame:
+    """docs with columns that a function of the texts makes. make() runs once a task and returns a function from an Arrow string array without nulls to Arrow arrays, one a field. keeps: make uses held()."""
     ship(docs.sparkSession)
     kept = without(docs, [f.name for f in fields])
     at = [c.lower() for c in kept.columns].index(text.lower())
     names = [*kept.columns, *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
         work = make()
         for batch in batches:
             column = batch.column(at).cast(pa.string()).fill_null("")

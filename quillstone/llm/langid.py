@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import SuffixAutomaton
-from .common import hash_limit, map_texts
+from .common import hash_limit, held, map_texts
 
 LANE = 512
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
@@ -142,18 +142,12 @@ def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang
     return out
 
 
-_made: dict[int, CrossParser] = {}
-
-
 def identify(docs: DataFrame, model: dict[str, list[str]], text: str = "text") -> DataFrame:
     """docs with lang_pred and score: how far the best entropy is below the next one, 0 to 1."""
 
     def make():
         key = hash(tuple((k, *v) for k, v in sorted(model.items())))
-        if key not in _made:
-            _made.clear()
-            _made[key] = CrossParser(model)
-        parser = _made[key]
+        parser = held(("languages", key), lambda: CrossParser(model))
 
         def work(texts: pa.Array) -> list[pa.Array]:
             pred, score = parser.predict(texts.to_pylist())
@@ -161,4 +155,4 @@ def identify(docs: DataFrame, model: dict[str, list[str]], text: str = "text") -
 
         return work
 
-    return map_texts(docs, text, FIELDS, make, max_bytes=4 << 20)
+    return map_texts(docs, text, FIELDS, make, max_bytes=4 << 20, keeps=True)

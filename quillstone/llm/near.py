@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, ship, stored
+from .common import map_texts, release, ship, stored
 from .words import Words, mix, words
 
 BANDS, ROWS = 32, 4
@@ -233,6 +233,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float =
     need = least_matches(threshold, tolerance, STEP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         key, held = None, []
         out: list[tuple[int, int, int, bool]] = []
 

@@ -31,10 +31,10 @@ PIECE = T.StructType(
 )
 
 
-def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 0, capacity: int = 2048, keep: int = 500_000) -> DataFrame:
     """A row for each piece: the document's columns but its text, piece, start, length, ids (little-endian unsigned
     32-bit integers), and the task and the number among its pieces of this length. It is stored, as task and nth
-    are only right for one run."""
+    are only right for one run. keep: words in a worker's cache of ids."""
     ship(docs.sparkSession)
     kept = without(docs, PIECE.names)
     at = [c.lower() for c in kept.columns].index(text.lower())
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 0,
     fields = [kept.schema[i] for i in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen, tokens, end = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), ids_of(tokenizer), np.array([end_id], "<u4").tobytes()
+        task, seen, tokens, end = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), ids_of(tokenizer, keep), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             column = batch.column(at).cast(pa.string()).fill_null("")
             for part, texts in slices(batch, column, 2 << 20):

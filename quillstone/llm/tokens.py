@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from .common import held
+
 _BESIDE = re.compile(r"\s (?:\s|\Z)")
 _TAIL = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 
@@ -19,7 +21,7 @@ _TAIL = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 class Ids:
     """Of texts, ids as little-endian unsigned 32-bit integers in bytes. path: a file of the tokenizers library."""
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,11 +93,6 @@ class Ids:
         return out
 
 
-_made: dict[str, Ids] = {}
-
-
-def ids_of(path: str) -> Ids:
-    """One for each Python worker."""
-    if path not in _made:
-        _made[path] = Ids(path)
-    return _made[path]
+def ids_of(path: str, keep: int = 500_000) -> Ids:
+    """One for each Python worker. keep: words in the cache, and as many older ones; each takes some 250 bytes."""
+    return held(("ids", path, keep), lambda: Ids(path, keep))

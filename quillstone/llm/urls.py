@@ -100,7 +100,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", othe
     of = F.coalesce(F.col(f"`{url}`"), F.lit(""))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     ruled = kept.withColumns({"__q_url": of, "host": host(of), "path": path(of)}).withColumns({"rule": rule, "__q_says": says})
-    distinct = stored(ruled.groupBy(F.col("__q_url").alias("u")).agg(F.count("*").alias("n"), F.max(F.col("__q_says")).alias("says")), "urls")
+    # a URL becomes hundreds of rows, so that URLs are dealt out by their number, not by their few bytes
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = ruled.groupBy(F.col("__q_url").alias("u")).agg(F.count("*").alias("n"), F.max(F.col("__q_says")).alias("says"))
+    distinct = stored(distinct.repartition(parts, "u"), "urls")
     training = distinct.where("says is not null").withColumn("allowed", (F.col("says") == "allow").cast("int"))
     kinds = {r.allowed for r in training.select("allowed").distinct().collect()}
     if len(kinds) < 2:

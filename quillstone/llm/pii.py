@@ -7,7 +7,10 @@ surrogate throughout the corpus, so that what was one person or one host stays o
 from a key, the part and an attempt, and keeps the part's type: letters stay letters and digits digits of the same
 case and number, check digits fit, a name keeps its gender (by its title) and its script. Then collisions are looked
 for: of parts with the same surrogate all but the first, and parts whose surrogate occurs in the corpus as an original,
-try again with the next attempt until none is left.
+try again with the next attempt until none is left. Formats with few surrogates run out, as those of one-letter local
+parts do: after `EXACT` attempts a draw is longer than its part by `PADS` once more with each attempt, so that every
+part finds one. A local part without an ASCII letter or digit is longer from the first attempt on, as nothing else in
+it can change; an IPv4 address moves from 240.0.0.0/4 to the IPv6 addresses for documentation, 2001:db8::/32.
 
 Edge cases: null and empty texts stay as they are, as do texts without entities; digits that fail their check are no
 cards or IBANs; repeated texts get equal results; very long texts are searched in full. Input columns stay; a result
@@ -46,6 +49,10 @@ ENTITY = r"(?<![\p{L}0-9._%+-])(?:" + "|".join(KINDS.values()) + ")"
 #: A text without any of these has no entity.
 HINT = rf"@|[0-9]|{_TITLES}"
 
+#: Attempts that keep the length; what a draw is longer by after them, an attempt. Names grow by a syllable anyway.
+EXACT = 6
+PADS = {"local": "a0", "domain": "x0", "card": "0000", "ssn": "-0000", "iban": "0000", "phone": "-0000"}
+
 _PART = "struct<kind:string,value:string>"
 
 
@@ -141,28 +148,36 @@ def _name(value: Column, seed: Column, gender: str, attempt: Column) -> Column:
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """A draw for a part. IPv4 addresses come from the reserved 240.0.0.0/4, card numbers begin with 9, social security numbers too, as no issued ones do, and domains end in .example.org."""
+    """A draw for a part. IPv4 addresses come from the reserved 240.0.0.0/4, card numbers begin with 9, social security numbers too, as no issued ones do, and domains end in .example.org. From attempt EXACT on it is longer than the part."""
     seeded = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string")), 256)
     return let(seeded, lambda seed: _drawn_as(kind, value, attempt, seed))
 
 
+def _longer(pad: str, attempt: Column) -> Column:
+    return F.repeat(F.lit(pad), F.greatest(attempt - (EXACT - 1), F.lit(0)))
+
+
 def _drawn_as(kind: Column, value: Column, attempt: Column, seed: Column) -> Column:
     octet = lambda i, n: _drawn(seed, F.lit(i), n).cast("string")
+    pad = {k: _longer(v, attempt) for k, v in PADS.items()}
+    local = F.concat(value, F.when(value.rlike("[A-Za-z0-9]"), pad["local"]).otherwise(F.repeat(F.lit(PADS["local"]), attempt + 1)))
+    ip = F.concat_ws(".", (_drawn(seed, F.lit(0), 15) + 240).cast("string"), octet(1, 256), octet(2, 256), octet(3, 256))
+    documentation = F.concat_ws(":", F.lit("2001:db8"), *(F.lower(F.hex(_drawn(seed, F.lit(i), 1 << 16))) for i in range(6)))
     checked = lambda n: F.concat(n, F.pmod(F.lit(10) - luhn(F.concat(n, F.lit("0"))) % 10, F.lit(10)).cast("string"))
-    card = let(_alike(digits(value), seed), lambda n: let(F.concat(F.lit("9"), F.substring(n, F.lit(2), F.length(n) - 2)), checked))
-    bare = F.regexp_replace(value, " ", "")
+    card = let(_alike(digits(F.concat(value, pad["card"])), seed), lambda n: let(F.concat(F.lit("9"), F.substring(n, F.lit(2), F.length(n) - 2)), checked))
+    bare = F.concat(F.regexp_replace(value, " ", ""), pad["iban"])
     country_code = F.substring(bare, 1, 2)
     check = lambda body: F.lpad((F.lit(98) - mod97(F.concat(country_code, F.lit("00"), body))).cast("string"), 2, "0")
     iban = let(_alike(F.substring(bare, F.lit(5), F.length(bare)), seed), lambda body: F.concat(country_code, check(body), body))
     country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    rest = _alike(F.substring(value, F.length(country) + 1, F.length(value)), seed)
+    rest = _alike(F.concat(F.substring(value, F.length(country) + 1, F.length(value)), pad["phone"]), seed)
     return (
-        F.when(kind == "local", _alike(value, seed))
-        .when(kind == "domain", F.concat(_alike(F.lit("xxxxxx00"), seed), F.lit(".example.org")))
-        .when(kind == "ip", F.concat_ws(".", (_drawn(seed, F.lit(0), 15) + 240).cast("string"), octet(1, 256), octet(2, 256), octet(3, 256)))
-        .when(kind == "card", _refilled(value, card, "[0-9]"))
-        .when(kind == "ssn", F.concat(F.lit("9"), let(_alike(value, seed), lambda v: F.substring(v, F.lit(2), F.length(v)))))
-        .when(kind == "iban", _refilled(value, iban, "[^ ]"))
+        F.when(kind == "local", _alike(local, seed))
+        .when(kind == "domain", F.concat(_alike(F.concat(F.lit("xxxxxx00"), pad["domain"]), seed), F.lit(".example.org")))
+        .when(kind == "ip", F.when(attempt < EXACT, ip).otherwise(documentation))
+        .when(kind == "card", _refilled(F.concat(value, pad["card"]), card, "[0-9]"))
+        .when(kind == "ssn", F.concat(F.lit("9"), let(_alike(F.concat(value, pad["ssn"]), seed), lambda v: F.substring(v, F.lit(2), F.length(v)))))
+        .when(kind == "iban", _refilled(F.concat(value, pad["iban"]), iban, "[^ ]"))
         .when(kind == "phone", F.concat(country, rest))
         .when(kind == "given-m", _name(value, seed, "m", attempt))
         .when(kind == "given-f", _name(value, seed, "f", attempt))
@@ -171,7 +186,7 @@ def _drawn_as(kind: Column, value: Column, attempt: Column, seed: Column) -> Col
 
 
 def assign(parts: DataFrame, key: str, rounds: int = 60) -> DataFrame:
-    """kind, value and surrogate of distinct parts (kind, value): surrogates are distinct, and none is an original."""
+    """kind, value and surrogate of distinct parts (kind, value): surrogates are distinct, and none is an original. Draws get longer, so that `rounds` only ends a draw that doesn't."""
     original = parts.select(F.col("value").alias("s")).distinct()
     settled, waiting, attempt = None, parts, 0
     while True:
@@ -186,7 +201,7 @@ def assign(parts: DataFrame, key: str, rounds: int = 60) -> DataFrame:
             return settled.withColumnRenamed("s", "surrogate")
         attempt += 1
         if attempt == rounds:
-            raise RuntimeError("more distinct entities than surrogates of their format")
+            raise RuntimeError("surrogates collide although they get longer")
 
 
 def replace(docs: DataFrame, key: str = "surrogates", text: str = "text") -> DataFrame:

@@ -63,5 +63,34 @@ def test_collisions_are_settled(spark, monkeypatch):
     assert not {r.surrogate for r in got} & {v for _, v in own}
 
 
+def test_short_formats_do_not_run_out(spark):
+    letters, few = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    odd = ["-@x.org", "...@x.org", "_@x.org"]
+    mails = odd + [f"{c}@x.org" for c in letters + few]
+    phones = [f"+123-{i:02}" for i in range(100)]
+    frame = spark.createDataFrame([(i, f"To {x} now") for i, x in enumerate(mails + phones)], "doc_id long, text string")
+    got = [r.surrogate_text[3:-4] for r in sorted(pii.replace(frame, "k").collect(), key=lambda r: r.doc_id)]
+    assert len(set(got)) == len(got) and not set(got) & set(mails + phones)
+    local, domain = zip(*(x.split("@") for x in got[: len(mails)]))
+    assert len(set(domain)) == 1 and not set(local) & {x.split("@")[0] for x in mails}
+    assert all(re.fullmatch(re.escape(x.split("@")[0]) + r"([a-z]\d)+", s) for x, s in zip(odd, local))
+    assert all(re.fullmatch(r"[a-z]([a-z]\d)+", s) for s in local[3:29]) and all(re.fullmatch(r"\d([a-z]\d)+", s) for s in local[29:])
+    assert all(re.fullmatch(r"\+123-\d\d(-\d{4})+", s) for s in got[len(mails) :])
+
+
+def test_longer_draws_keep_their_type(spark):
+    own = [("card", "4111 1111 1111 1111"), ("ssn", "123-45-6789"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("ip", "8.8.8.8"), ("domain", "x.org")]
+    frame = spark.createDataFrame(own, "kind string, value string")
+    for n in range(3):
+        rows = frame.select("kind", pii.surrogate(F.col("kind"), F.col("value"), F.lit(pii.EXACT + n), "k").alias("s")).collect()
+        got = {r.kind: r.s for r in rows}
+        assert re.fullmatch(rf"9\d{{3}}( \d{{4}}){{3}}\d{{{4 * n + 4}}}", got["card"]) and luhn(got["card"].replace(" ", ""))
+        assert re.fullmatch(rf"9\d\d-\d\d-\d{{4}}(-\d{{4}}){{{n + 1}}}", got["ssn"])
+        iban = got["iban"].replace(" ", "")
+        assert len(iban) == 22 + 4 * n + 4 and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+        assert re.fullmatch(r"2001:db8(:[0-9a-f]{1,4}){6}", got["ip"])
+        assert re.fullmatch(rf"[a-z]{{6}}\d\d([a-z]\d){{{n + 1}}}\.example\.org", got["domain"])
+
+
 def test_empty_table(spark):
     assert pii.replace(spark.createDataFrame([], "doc_id long, text string")).count() == 0

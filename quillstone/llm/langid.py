@@ -6,7 +6,7 @@ language with the lowest c * log2(n) / m wins, c being the phrases, n the length
 of the parsed one. Automata become dense tables, so that numpy takes a step of many texts and all languages at
 once. Phrases end every `LANE` symbols, for all languages alike, which keeps long texts from holding up the others.
 
-The model is a bounded sample: `chars` symbols a language at most, of documents in order of a hash of their text.
+The model is a bounded sample: `chars` symbols a language at most, of different texts in order of a hash of them.
 
 Edge cases: a null text or one without a letter is `und`, score 0; of equal entropies the first language in order
 wins; letters that a language's text lacks are phrases of their own; without labelled text all is `und`. Input
@@ -122,22 +122,31 @@ class CrossParser:
 
 
 def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", chars: int = 40_000, longest: int = 8_000, per_language: int = 60, languages: int = 64) -> dict[str, list[str]]:
-    """Whole labelled texts of at most `longest` characters, `per_language` of each of the `languages` most frequent languages in order of a hash, cut off after about `chars` in all."""
-    own = docs.where(learn).select(F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t")).where("l is not null and l <> 'und'").where(F.length("t").between(1, longest))
-    counts = own.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()
+    """Whole labelled texts of at most `longest` characters, `per_language` different ones of each of the `languages` most frequent languages in order of a hash, cut off after about `chars` in all."""
+    own = docs.where(learn).select(F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t")).where("l is not null and l <> 'und'").where(F.length("t").between(1, longest)).withColumn("h", F.xxhash64("t"))
+    # copies share a hash: n rows, d different texts
+    counts = own.groupBy("l", "h").agg(F.count("*").alias("n")).groupBy("l").agg(F.sum("n").alias("n"), F.count("*").alias("d")).orderBy(F.desc("n"), "l").limit(languages).collect()
     if not counts:
         return {}
+
+    def first(near: DataFrame) -> list:
+        place = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
+        return near.dropDuplicates(["l", "h", "t"]).withColumn("k", place).where(F.col("k") <= per_language).select("l", "k", "t").collect()
+
     # the first of each language by hash; rows whose hash is too high to be among them go before anything moves
     highest = F.lit(-(2**63))
     for c in counts:
-        highest = F.when(F.col("l") == c.l, F.lit(hash_limit(per_language, c.n))).otherwise(highest)
-    near = own.withColumn("h", F.xxhash64("t")).where(F.col("h") <= highest)
-    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
-    rows = sorted(near.withColumn("k", place).where(F.col("k") <= per_language).select("l", "k", "t").collect())
+        highest = F.when(F.col("l") == c.l, F.lit(hash_limit(per_language, c.d))).otherwise(highest)
+    rows = first(own.where(F.col("l").isin([c.l for c in counts])).where(F.col("h") <= highest))
+    got = Counter(r.l for r in rows)
+    short = [c.l for c in counts if got[c.l] < min(per_language, c.d)]  # where hashes are very uneven
+    if short:
+        rows = [r for r in rows if r.l not in short] + first(own.where(F.col("l").isin(short)))
+    rows.sort()
     out: dict[str, list[str]] = {}
     for r in rows:
         texts = out.setdefault(r.l, [])
-        if sum(map(len, texts)) < chars and r.t not in texts:
+        if sum(map(len, texts)) < chars:
             texts.append(r.t)
     return out
 

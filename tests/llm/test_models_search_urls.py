@@ -163,6 +163,22 @@ def test_languages(spark):
     assert langid.identify(frame.limit(0), SAMPLE).count() == 0
 
 
+def test_copies_do_not_displace_other_texts(spark):
+    few = [("aa", f"banana bandana {c}") for c in "bcdfg"] + [("bb", f"street strength {c}") for c in "bcdfg"]
+    rows = few + [("aa", "cabana")] * 1000 + [("bb", "stretch")] * 1000 + [("cc", "ßüß")] * 1000
+    got = langid.sample(spark.createDataFrame(rows, "lang string, text string"), F.lit(True))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted({t for x, t in rows if x == k}) for k in ("aa", "bb", "cc")}
+
+
+@pytest.mark.parametrize("limit", ["hash_limit", "none below it"])
+def test_sample_is_the_first_by_hash(spark, monkeypatch, limit):
+    if limit != "hash_limit":  # hashes so uneven that nothing is below the limit
+        monkeypatch.setattr(langid, "hash_limit", lambda n, of: -(2**63))
+    frame = spark.createDataFrame([("aa", f"word {i % 900}") for i in range(2000)], "lang string, text string")
+    want = [r.text for r in frame.distinct().orderBy(F.xxhash64("text"), "text").limit(60).collect()]
+    assert langid.sample(frame, F.lit(True)) == {"aa": want}
+
+
 def test_held_out_languages(spark):
     got = QUERIES["op9_language_id"](spark, SF)
     met = got.join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")

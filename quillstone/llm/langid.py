@@ -3,10 +3,12 @@
 Labelled text of each language, letters in lower case and all else as single gaps, goes into a suffix automaton. A
 text is parsed against each automaton into phrases, each the longest that occurs in the language's text; the
 language with the lowest c * log2(n) / m wins, c being the phrases, n the length of the language's text and m that
-of the parsed one. Automata become dense tables, so that numpy takes a step of many texts and all languages at
-once. Phrases end every `LANE` symbols, for all languages alike, which keeps long texts from holding up the others.
+of the parsed one. Automata become one sparse table: a transition is in the slot of its state plus its symbol, and the
+slot names the state, so that numpy takes a step of many texts and all languages at once and the number of letters
+doesn't matter. Phrases end every `LANE` symbols, for all languages alike, which keeps long texts from holding up the others.
 
-The model is a bounded sample: `chars` symbols a language at most, of different texts in order of a hash of them.
+The model is a bounded sample: about `chars` characters a language, of different texts in order of a hash of them; the
+beginnings of long texts come after the others, where these are few. All letters of the sample are symbols.
 
 Edge cases: a null text or one without a letter is `und`, score 0; of equal entropies the first language in order
 wins; letters that a language's text lacks are phrases of their own; without labelled text all is `und`. Input
@@ -48,61 +50,84 @@ def _joined(symbols: np.ndarray) -> np.ndarray:
     return symbols[~(gap & np.concatenate(([False], gap[:-1])))] if len(symbols) else symbols
 
 
+def _places(rows: list[list[int]]) -> list[int]:
+    """For each row of ascending symbols a place, no two the same, so that no two rows' place plus symbol are."""
+    width = max((r[-1] for r in rows), default=0) + 1
+    slots = bytearray(4 * sum(map(len, rows)) + 2 * width)
+    taken, begin, out = bytearray(len(slots)), {}, [0] * len(rows)
+    for i in sorted(range(len(rows)), key=lambda i: -len(rows[i])):
+        row = rows[i]
+        f = begin.get(len(row), 0)
+        while True:
+            f = slots.find(0, f)
+            if f < 0 or f + width > len(slots):
+                more = bytearray(len(slots) + width)
+                slots, taken, f = slots + more, taken + more, max(f, 0) if f >= 0 else len(slots)
+            at = f - row[0]
+            if at >= 0 and not taken[at] and not any(slots[at + c] for c in row):
+                break
+            f += 1
+        taken[at], out[i], begin[len(row)] = 1, at, f
+        for c in row:
+            slots[at + c] = 1
+    return out
+
+
 class CrossParser:
-    """Tables of the languages' automata, on the symbols 0 for gaps, 1 for letters that no language has, then letters."""
+    """A table of the languages' automata, on the symbols 0 for gaps, 1 for letters that no language has, then letters."""
 
-    def __init__(self, sample: dict[str, list[str]], table_bytes: int = 128 << 20, letters: int = 253):
+    def __init__(self, sample: dict[str, list[str]]):
         self.languages = sorted(sample)
-        alpha, seen = is_letter(), Counter()
+        alpha, seen = is_letter(), set()
         for texts in sample.values():
             for t in texts:
-                seen.update(_code_points(t).tolist())
-        known = sorted(c for c, _ in sorted(((c, n) for c, n in seen.items() if alpha[c]), key=lambda x: (-x[1], x[0]))[:letters])
-        self.symbol = np.where(alpha, 1, 0).astype(np.uint8)
-        self.symbol[known] = np.arange(2, 2 + len(known))
+                seen.update(np.unique(_code_points(t)).tolist())
+        known = sorted(c for c in seen if alpha[c])
         width = 2 + len(known)
-        room = table_bytes // (width * 8 * max(1, len(self.languages)))  # an automaton has up to two states a symbol
-        tables, self.roots, self.bits, base = [], [], [], 0
-        for language in self.languages:
-            parts, n = [], 0
-            for t in sample[language]:
-                own = _joined(self.symbol[_code_points(t)])[: room - n]
-                parts.append(own.tolist())
-                n += len(own)
+        self.symbol = np.where(alpha, 1, 0).astype(np.min_scalar_type(width - 1))
+        self.symbol[known] = np.arange(2, width)
+        tables, self.bits, base = [], [], 1  # state 0: no transition begins there
+        self.begin = np.zeros((len(self.languages), width), np.int64)  # the state after a phrase's first symbol
+        for j, language in enumerate(self.languages):
+            parts = [_joined(self.symbol[_code_points(t)]).tolist() for t in sample[language]]
             of = SuffixAutomaton(parts)
-            states = len(of.next)
-            table = np.full((states + 1, width), -1, np.int64)  # the last state: a symbol that nothing begins with
-            for s, step in enumerate(of.next):
-                table[s, list(step)] = list(step.values())
-            table[:, 1] = -1
-            begin = np.where(table[0] >= 0, table[0], states)
-            table = np.where(table >= 0, base + table * width, ~(base + begin * width))
-            table[states] = ~(base + begin * width)
-            tables.append(table.astype(np.int32).ravel())
-            self.roots.append(base + states * width)
-            self.bits.append(np.log2(max(n, 2)))
-            base += table.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+            states = [s for s, step in enumerate(of.next) if step]
+            rows = [sorted(of.next[s]) for s in states]
+            place = np.zeros(len(of.next), np.int64)
+            place[states] = np.array(_places(rows), np.int64) + base
+            sizes = np.array([len(r) for r in rows], np.int64)
+            symbols = np.array([c for r in rows for c in r], np.int64)
+            to = place[np.array([of.next[s][c] for s, r in zip(states, rows) for c in r], np.int64)]
+            own = np.repeat(place[states], sizes)
+            table = np.zeros((int(own.max()) if len(own) else base) - base + width, np.int64)
+            table[own + symbols - base] = own << 32 | to
+            first = own == place[0]
+            self.begin[j, symbols[first]] = to[first]
+            tables.append(table)
+            self.bits.append(np.log2(max(sum(map(len, parts)), 2)))
+            base += len(table)
+        self.table = np.concatenate([np.zeros(1, np.int64), *tables, np.zeros(width, np.int64)])
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text of symbols, by language."""
         lanes = [(i, t[k : k + LANE]) for i, t in enumerate(texts) for k in range(0, len(t), LANE)]
         lanes.sort(key=lambda x: -len(x[1]))
         size = np.array([len(x) for _, x in lanes])
-        symbols = np.zeros((LANE, len(lanes)), np.uint8)
+        symbols = np.zeros((LANE, len(lanes)), self.symbol.dtype)
         for j, (_, x) in enumerate(lanes):
             symbols[: len(x), j] = x
         active = len(lanes) - np.searchsorted(size[::-1], np.arange(LANE), "right")
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(lanes), 1)
+        state = np.zeros((len(self.languages), len(lanes)), np.int64)
         count = np.zeros((len(self.languages), len(lanes)), np.int32)
         for t in range(LANE):
             k = active[t]
             if not k:
                 break
-            to = self.table.take(state[:, :k] + symbols[t, :k])
-            broken = to >> 31  # -1 where a phrase ended
-            count[:, :k] -= broken
-            state[:, :k] = to ^ broken
+            c = symbols[t, :k]
+            step = self.table.take(state[:, :k] + c)
+            broken = (step >> 32 != state[:, :k]) | (state[:, :k] == 0)  # where a phrase ended
+            count[:, :k] += broken
+            state[:, :k] = np.where(broken, self.begin.take(c, 1), step & 0xFFFFFFFF)
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         np.add.at(out, np.array([i for i, _ in lanes], np.int64), count.T)
         return out
@@ -122,24 +147,26 @@ class CrossParser:
 
 
 def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", chars: int = 40_000, longest: int = 8_000, per_language: int = 60, languages: int = 64) -> dict[str, list[str]]:
-    """Whole labelled texts of at most `longest` characters, `per_language` different ones of each of the `languages` most frequent languages in order of a hash, cut off after about `chars` in all."""
-    own = docs.where(learn).select(F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t")).where("l is not null and l <> 'und'").where(F.length("t").between(1, longest)).withColumn("h", F.xxhash64("t"))
-    # copies share a hash: n rows, d different texts
-    counts = own.groupBy("l", "h").agg(F.count("*").alias("n")).groupBy("l").agg(F.sum("n").alias("n"), F.count("*").alias("d")).orderBy(F.desc("n"), "l").limit(languages).collect()
+    """Labelled texts, `per_language` different ones of each of the `languages` most frequent languages in order of a hash, cut off after about `chars` in all: whole ones of at most `longest` characters, and if they are too few the first `longest` of longer ones."""
+    own = docs.where(learn).select(F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t")).where("l is not null and l <> 'und'").where(F.length("t") > 0)
+    own = own.select("l", (F.length("t") > longest).alias("cut"), F.substring("t", 1, longest).alias("t")).withColumn("h", F.xxhash64("t"))
+    # copies share a hash: n rows, d different whole texts and e beginnings
+    counts = own.groupBy("l", "cut", "h").agg(F.count("*").alias("n")).groupBy("l").agg(F.sum("n").alias("n"), F.count_if(~F.col("cut")).alias("d"), F.count_if("cut").alias("e")).orderBy(F.desc("n"), "l").limit(languages).collect()
     if not counts:
         return {}
 
     def first(near: DataFrame) -> list:
-        place = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
-        return near.dropDuplicates(["l", "h", "t"]).withColumn("k", place).where(F.col("k") <= per_language).select("l", "k", "t").collect()
+        place = F.row_number().over(Window.partitionBy("l").orderBy("cut", "h", "t"))
+        return near.dropDuplicates(["l", "cut", "h", "t"]).withColumn("k", place).where(F.col("k") <= per_language).select("l", "k", "t").collect()
 
     # the first of each language by hash; rows whose hash is too high to be among them go before anything moves
-    highest = F.lit(-(2**63))
+    near = F.lit(False)
     for c in counts:
-        highest = F.when(F.col("l") == c.l, F.lit(hash_limit(per_language, c.d))).otherwise(highest)
-    rows = first(own.where(F.col("l").isin([c.l for c in counts])).where(F.col("h") <= highest))
+        below = lambda of: F.col("h") <= hash_limit(per_language, of)
+        near = F.when(F.col("l") == c.l, F.when(~F.col("cut"), below(c.d)).otherwise(below(c.e) if c.d < per_language else F.lit(False))).otherwise(near)
+    rows = first(own.where(near))
     got = Counter(r.l for r in rows)
-    short = [c.l for c in counts if got[c.l] < min(per_language, c.d)]  # where hashes are very uneven
+    short = [c.l for c in counts if got[c.l] < min(per_language, c.d + c.e)]  # where hashes are very uneven
     if short:
         rows = [r for r in rows if r.l not in short] + first(own.where(F.col("l").isin(short)))
     rows.sort()

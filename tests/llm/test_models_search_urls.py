@@ -163,6 +163,27 @@ def test_languages(spark):
     assert langid.identify(frame.limit(0), SAMPLE).count() == 0
 
 
+def test_all_letters_and_symbols_are_learned():
+    rng = random.Random(4)
+    word = lambda first, n: "".join(chr(rng.randint(first, first + n)) for _ in range(rng.randint(2, 6)))
+    words = {f"l{i:02}": [word(0x4E00, 1500) for _ in range(500)] for i in range(6)}  # six languages of the same 1500 letters
+    sample = {k: [" ".join(rng.choice(v) for _ in range(400)) for _ in range(12)] for k, v in words.items()}
+    parser = langid.CrossParser(sample)
+    known = {c for v in sample.values() for t in v for c in t if c.isalpha()}
+    assert len(known) > 1000 and len({int(parser.symbol[ord(c)]) for c in known}) == len(known)
+    whole = [langid._joined(parser.symbol[langid._code_points(v[-1][: langid.LANE])]) for _, v in sorted(sample.items())]
+    assert [int(n) for n in parser.phrases(whole).diagonal()] == [1] * 6  # the last text is learned whole
+    texts = [" ".join(rng.choice(v) for _ in range(6)) for v in words.values() for _ in range(5)]
+    assert parser.predict(texts)[0] == [k for k in words for _ in range(5)]
+
+
+def test_long_texts_are_learned_where_others_are_few(spark):
+    rows = [("aa", "banana " * 2000), ("bb", "street " * 2000), ("bb", "strength")] + [("cc", f"word {i}") for i in range(70)] + [("cc", "word " * 2000)]
+    got = langid.sample(spark.createDataFrame(rows, "lang string, text string"), F.lit(True))
+    assert got["aa"] == [("banana " * 2000)[:8000]] and got["bb"] == ["strength", ("street " * 2000)[:8000]]
+    assert len(got["cc"]) == 60 and max(map(len, got["cc"])) < 10
+
+
 def test_copies_do_not_displace_other_texts(spark):
     few = [("aa", f"banana bandana {c}") for c in "bcdfg"] + [("bb", f"street strength {c}") for c in "bcdfg"]
     rows = few + [("aa", "cabana")] * 1000 + [("bb", "stretch")] * 1000 + [("cc", "ßüß")] * 1000

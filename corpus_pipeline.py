@@ -23,10 +23,10 @@ def _with_text(docs: DataFrame, made: DataFrame, text: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go."""
+    """Documents without a language (no text, or no letter in it) go. Without labelled text nothing has a language, and letters alone decide."""
     model = langid.sample(docs, fold("doc_id", 4) != 2)
     found = langid.identify(without(docs, ["lang_pred", "score"]), model)
-    return found.where("lang_pred <> 'und'").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.where(F.col("lang_pred") != "und" if model else F.col("text").rlike(r"\p{L}")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

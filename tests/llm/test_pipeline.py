@@ -34,3 +34,9 @@ def test_run_as_brute_force(spark, tmp_path):
     lengths = {d: len(ids.encode(r.text)) // 4 + 1 for d, r in private.items()}
     assert {d: sum(r.length for r in rows if r.doc_id == d) for d in private} == lengths
     assert len({r.sequence_id for r in rows}) == -(-sum(lengths.values()) // 2048)
+
+
+def test_lettered_documents_stay_without_labels(spark):
+    rows = [(1, "plain text", None), (2, "日本", None), (3, "123 !!", None), (4, "", None), (5, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, frame, "").collect()) == [1, 2]

@@ -56,7 +56,7 @@ def subwords(found: Words, which: np.ndarray, buckets: int) -> tuple[np.ndarray,
 
 
 def windows(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The window of each word, numbered over the batch, and the text of each window."""
+    """The window of each word, numbered over the batch, and the text of each window: tiles of size words from a text's first."""
     at = np.arange(len(found.hash)) - found.first[:-1][found.doc]
     new = (at % size == 0)
     return np.cumsum(new) - 1, found.doc[new]

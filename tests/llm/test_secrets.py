@@ -52,3 +52,16 @@ def test_as_brute_force(spark):
         assert [(s.kind, s.start, s.end) for s in got[i].entropy_spans] == more(t), t
         assert got[i].w == ",".join(f"{k}:{a}:{b}" for k, a, b in base(t))
     assert secrets.scan(frame.limit(0)).count() == 0
+
+
+def test_long_texts(spark):
+    """Patterns that don't recurse, and counts that are kept: a megabyte takes seconds."""
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    some = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    own = ["ab/" * 350_000 + "x1", "a." * 500_000, some(300_000), " ".join(some(21) + "7a" for _ in range(10_000)), "a" * 1_000_000, "token=" * 150_000, " ".join(rng.choice(["deadbeef", "zz", "q"]) for _ in range(100_000)) + " " + "0123456789abcdef" * 3]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(own):
+        assert [(s.kind, s.start, s.end) for s in got[i].base_spans] == base(t)
+        if len(t) < 400_000:
+            assert [(s.kind, s.start, s.end) for s in got[i].entropy_spans] == more(t)

@@ -3,9 +3,9 @@
 Entities are found by one pattern with an alternative for each kind, leftmost first: e-mail addresses, IBANs, payment
 cards (by their check digit), social security numbers, IPv4 addresses, telephone numbers, and names after a title.
 Each falls into parts: an address into its local part and its domain, a name into its words. A distinct part gets one
-surrogate throughout the corpus, so that what was one person or one host stays one. A surrogate is drawn with SHA-256
-from a key, the part and an attempt, and keeps the part's type: letters stay letters and digits digits of the same
-case and number, check digits fit, a name keeps its gender (by its title) and its script. Then collisions are looked
+surrogate throughout the corpus, so that what was one person or one host stays one; the words of a text's names get theirs
+wherever they stand alone in it, before or after. A surrogate is drawn with HMAC-SHA-256 of the part and an attempt, and keeps the part's type: letters stay letters and digits digits of the same
+case and number, check digits fit, a name keeps its gender (by its title; none for those that don't tell) and its script. Then collisions are looked
 for: of parts with the same surrogate all but the first, and parts whose surrogate occurs in the corpus as an original,
 try again with the next attempt until none is left. Formats with few surrogates run out, as those of one-letter local
 parts do: after `EXACT` attempts a draw is longer than its part by `PADS` once more with each attempt, so that every
@@ -13,20 +13,25 @@ part finds one. A local part without an ASCII letter or digit is longer from the
 it can change; an IPv4 address moves from 240.0.0.0/4 to the IPv6 addresses for documentation, 2001:db8::/32.
 
 Edge cases: null and empty texts stay as they are, as do texts without entities; digits that fail their check are no
-cards or IBANs; repeated texts get equal results; very long texts are searched in full. Input columns stay; a result
+cards or IBANs; an IBAN has its country's length, so that what follows it isn't taken in (only those of countries
+without a known length are tried at their longest); repeated texts get equal results; very long texts are searched in full,
+and no pattern recurses on them. Input columns stay; a result
 column replaces one of its name.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, without
+from .common import let, stored, without
 
-#: Titles that give a gender, by language, and syllables of names, by script.
+# Titles that give a gender and some that don't, by language, and syllables of names, by script.
 MALE = ["Mr", "Herr", "Señor", "Don", "Monsieur", "Signor", "Господин", "Κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Doña", "Madame", "Mme", "Signora", "Госпожа", "Κυρία"]
+NEUTRAL = ["Dr", "Prof"]
 SYLLABLES = {
     "latin": ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ka", "ke", "ko", "la", "le", "lo", "ma", "me", "mo", "na", "ne", "no", "ra", "re", "ro", "sa", "se", "so", "ta", "te", "to", "va"],
     "cyrillic": ["ба", "бе", "бо", "ва", "ве", "во", "га", "го", "да", "де", "до", "за", "зо", "ка", "ке", "ко", "ла", "ле", "ло", "ма", "ме", "мо", "на", "не", "но", "ра", "ре", "ро", "са", "се", "со", "та"],
@@ -34,18 +39,33 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": ("n", "a"), "cyrillic": ("н", "на"), "greek": ("ς", "α")}
 
-_TITLES = "|".join(sorted([*MALE, *FEMALE], key=len, reverse=True))
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(length: int, countries: str) -> str:
+    rest = (length - 4) % 4
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(length - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+_TITLES = "|".join(sorted([*MALE, *FEMALE, *NEUTRAL], key=len, reverse=True))
 #: In order of precedence at one place.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
+    "iban": r"(?=[A-Z]{2}[0-9]{2})(?:(?:" + "|".join(_iban(*x) for x in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))",
     "card": r"(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[.-][0-9]{2,4}){1,4}|\+[0-9]{1,3}(?: [0-9]{2,4}){2,5}(?![0-9.@-])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[.-][0-9]{2,4}){1,4}|\+[0-9]{1,3}(?: [0-9]{2,4}){2,5}(?![0-9.@-])|(?:1[ .-])?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?:1[ .-])?[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.)[0-9]{4})(?![0-9])",
     "name": rf"(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
 ENTITY = r"(?<![\p{L}0-9._%+-])(?:" + "|".join(KINDS.values()) + ")"
+#: Words and what lies between them.
+WORDS = r"[\p{L}\p{M}0-9_]+|[^\p{L}\p{M}0-9_]+"
 #: A text without any of these has no entity.
 HINT = rf"@|[0-9]|{_TITLES}"
 
@@ -56,11 +76,6 @@ PADS = {"local": "a0", "domain": "x0", "card": "0000", "ssn": "-0000", "iban": "
 _PART = "struct<kind:string,value:string>"
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with value worked out once however often then, or a lambda in it, uses it."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -101,7 +116,8 @@ def parts_of(value: Column) -> Column:
     """An entity as an array of parts; those with a null kind stay as they are."""
     part = lambda kind, v: F.struct((F.lit(kind) if isinstance(kind, str) or kind is None else kind).cast("string").alias("kind"), v.cast("string").alias("value"))
     title = F.regexp_extract(value, rf"^(?:{_TITLES})\.? ", 0)
-    gender = F.when(F.regexp_replace(title, "[. ]", "").isin(FEMALE), F.lit("f")).otherwise(F.lit("m"))
+    said = F.regexp_replace(title, "[. ]", "")
+    gender = F.when(said.isin(FEMALE), "f").when(said.isin(MALE), "m").otherwise("n")
     names = F.split(F.substring(value, F.length(title) + 1, F.length(value)), " ")
     many = F.size(names) > 1
     kind = kind_of(value)
@@ -147,10 +163,17 @@ def _name(value: Column, seed: Column, gender: str, attempt: Column) -> Column:
     return F.when(value.rlike(r"\p{IsCyrillic}"), in_script("cyrillic")).when(value.rlike(r"\p{IsGreek}"), in_script("greek")).otherwise(in_script("latin"))
 
 
+def keyed(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 in hex."""
+    own = key.encode()
+    own = (hashlib.sha256(own).digest() if len(own) > 64 else own).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in own)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """A draw for a part. IPv4 addresses come from the reserved 240.0.0.0/4, card numbers begin with 9, social security numbers too, as no issued ones do, and domains end in .example.org. From attempt EXACT on it is longer than the part."""
-    seeded = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string")), 256)
-    return let(seeded, lambda seed: _drawn_as(kind, value, attempt, seed))
+    return let(keyed(key, F.concat_ws("\x1f", kind, value, attempt.cast("string"))), lambda seed: _drawn_as(kind, value, attempt, seed))
 
 
 def _longer(pad: str, attempt: Column) -> Column:
@@ -205,22 +228,44 @@ def assign(parts: DataFrame, key: str, rounds: int = 60) -> DataFrame:
 
 
 def replace(docs: DataFrame, key: str = "surrogates", text: str = "text") -> DataFrame:
-    """docs with surrogate_text and n_entities, the number replaced."""
+    """docs with surrogate_text and n_entities, the number replaced. What is found is stored with the texts, which are searched once."""
     kept = without(docs, ["surrogate_text", "n_entities"])
     of = F.col(f"`{text}`")
-    found = kept.withColumn("__q_found", F.when(of.rlike(HINT), F.regexp_extract_all(of, F.lit(ENTITY), F.lit(0))))
+    found = stored(kept.withColumn("__q_found", F.when(of.rlike(HINT), F.regexp_extract_all(of, F.lit(ENTITY), F.lit(0)))), "searched")
     some, none = F.size("__q_found") > 0, F.coalesce(F.size("__q_found") <= 0, F.lit(True))
     with_id = found.where(some).withColumns({"__q_a": F.xxhash64(of), "__q_b": F.xxhash64(F.lit(1), of)})
     each = with_id.select("__q_a", "__q_b", "__q_found").distinct().select("__q_a", "__q_b", F.posexplode("__q_found").alias("n", "entity"))
     parts = each.select("__q_a", "__q_b", "n", F.posexplode(parts_of(F.col("entity"))).alias("m", "part")).select("__q_a", "__q_b", "n", "m", "part.kind", "part.value")
     parts = stored(parts, "parts")
     named = assign(parts.where("kind is not null").select("kind", "value").distinct(), key)
-    written = parts.where("kind is not null").join(named, ["kind", "value"]).select("__q_a", "__q_b", "n", "m", "surrogate").unionByName(parts.where("kind is null").select("__q_a", "__q_b", "n", "m", F.col("value").alias("surrogate")))
-    whole = written.groupBy("__q_a", "__q_b").agg(F.array_sort(F.collect_list(F.struct("n", "m", "surrogate"))).alias("__q_parts"))
-    changed = parts.where("kind is not null").groupBy("__q_a", "__q_b").agg(F.count_distinct("n").alias("n_entities"))
-
-    gaps = F.split(of, ENTITY)
-    pieces = F.transform("__q_parts", lambda p: F.concat(F.when(p["m"] == 0, F.element_at(gaps, p["n"] + 1)).otherwise(F.lit("")), p["surrogate"]))
-    done = with_id.join(whole, ["__q_a", "__q_b"]).join(changed, ["__q_a", "__q_b"], "left")
-    done = done.select(*[F.col(f"`{c}`") for c in kept.columns], F.concat(F.array_join(pieces, ""), F.element_at(gaps, -1)).alias("surrogate_text"), F.coalesce("n_entities", F.lit(0)).cast("long").alias("n_entities"))
+    with_names = parts.where("kind is not null").join(named, ["kind", "value"])
+    written = with_names.unionByName(parts.where("kind is null").withColumn("surrogate", F.col("value")))
+    of_name = F.coalesce(F.col("kind").startswith("given") | (F.col("kind") == "surname"), F.lit(False))
+    whole = written.groupBy("__q_a", "__q_b").agg(
+        F.array_sort(F.collect_list(F.struct("n", "m", "surrogate", F.col("kind").isNotNull().alias("new")))).alias("__q_parts"),
+        F.array_sort(F.collect_set(F.when(of_name, F.struct("value", "surrogate")))).alias("__q_names"),
+    )
+    # stored, so that both sides of the join are dealt out for it and Spark can split a text that a third of all rows have
+    done = with_id.join(stored(whole, "assembled"), ["__q_a", "__q_b"])
+    replaced, n = _assembled(of)
+    done = done.select(*[F.col(f"`{c}`") for c in kept.columns], replaced.alias("surrogate_text"), n.cast("long").alias("n_entities"))
     return done.unionByName(found.where(none).select(*[F.col(f"`{c}`") for c in kept.columns], of.alias("surrogate_text"), F.lit(0).cast("long").alias("n_entities")))
+
+
+def _assembled(of: Column) -> tuple[Column, Column]:
+    """The text with __q_parts between what lies around its entities, where words of __q_names get their surrogates too; and how much is new."""
+    first_of = F.filter("__q_names", lambda x, i: F.coalesce(x["value"] != F.get("__q_names", i - 1)["value"], F.lit(True)))
+    names = F.map_from_entries(first_of)
+    words = F.transform(F.split(of, ENTITY), lambda g: F.regexp_extract_all(g, F.lit(WORDS), F.lit(0)))
+
+    def around(gaps: Column, names: Column) -> Column:
+        said = F.transform(gaps, lambda g: F.array_join(F.transform(g, lambda w: F.coalesce(F.try_element_at(names, w), w)), ""))
+        count = F.aggregate(gaps, F.lit(0), lambda a, g: a + F.size(F.filter(g, lambda w: F.map_contains_key(names, w))))
+        return F.struct(said.alias("gaps"), count.alias("n"))
+
+    plain = F.struct(F.split(of, ENTITY).alias("gaps"), F.lit(0).alias("n"))
+    gaps = F.when(F.size("__q_names") > 0, let(words, lambda g: let(names, lambda m: around(g, m)))).otherwise(plain)
+    pieces = lambda g: F.transform("__q_parts", lambda p: F.concat(F.when(p["m"] == 0, F.element_at(g, p["n"] + 1)).otherwise(F.lit("")), p["surrogate"]))
+    n = F.size(F.array_distinct(F.transform(F.filter("__q_parts", lambda p: p["new"]), lambda p: p["n"])))
+    whole = let(gaps, lambda x: F.struct(F.concat(F.array_join(pieces(x["gaps"]), ""), F.element_at(x["gaps"], -1)).alias("text"), (n + x["n"]).alias("n")))
+    return whole["text"], whole["n"]

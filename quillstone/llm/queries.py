@@ -24,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(_read(spark, sf_dir, "documents").select("doc_id", "text"), "pipeline-key").select("doc_id", "n_entities", F.col("surrogate_text").alias("text"))
+    return pii.replace(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get("spark.quillstone.pii.key", "pipeline-key")).select("doc_id", "n_entities", F.col("surrogate_text").alias("text"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,29 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_pii_surrogates, op3_secret_scans, op4_url_filters, op5_exact_top_k, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_best_fit_packing, op9_language_id, op10_token_binary_output)}
 
+_BASE = " UNION ALL ".join(
+    f"SELECT r, doc_id, {i} AS place, '{kind}' AS kind, {group} AS grp, {least} AS least, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS gaps FROM d"
+    for i, (kind, p, group, least) in enumerate((k, p.replace("'", "''"), g, n) for k, p, g, n in [*secrets.BASE, ("candidate", secrets.CANDIDATE, 0, 20)])
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_secret_scans": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+             m AS ({_BASE}),
+             u AS (SELECT r, place, kind, grp, least, unnest(ms) AS v, unnest(gaps[1:len(ms)]) AS gap, generate_subscripts(ms, 1) AS i FROM m WHERE len(ms) > 0),
+             placed AS (SELECT *, CAST(sum(length(gap) + length(v)) OVER (PARTITION BY r, place ORDER BY i) AS BIGINT) AS e FROM u),
+             s AS (SELECT r, place, kind, v, e - length(v) AS b, e FROM placed WHERE length(CASE WHEN grp = 1 THEN regexp_extract(v, '{secrets.BASE[0][1].replace("'", "''")}', 1) ELSE v END) >= least),
+             c AS (SELECT r, b, e, v, regexp_matches(v, '^[0-9a-fA-F]+$') AS hex FROM s
+                   WHERE kind = 'candidate' AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND replace(v, v[1], '') <> ''
+                     AND NOT regexp_matches(v, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$') AND NOT regexp_matches(v, '^[0-9/_.=+-]*$') AND NOT regexp_matches(v, '^[A-Za-z/_.=+-]*$') AND NOT regexp_matches(v, '^/?([a-z]+[/_.-])+[a-z]*[0-9]{{0,4}}/?$')),
+             w AS (SELECT r, b, e, hex, k, unnest(string_split(substr(v, k, 20), '')) AS x FROM (SELECT *, unnest(range(1, length(v) - 18)) AS k FROM c)),
+             h AS (SELECT r, b, e, hex, log2(20) - sum(n * log2(n)) / 20 AS bits FROM (SELECT r, b, e, hex, k, x, count(*) AS n FROM w GROUP BY ALL) GROUP BY r, b, e, hex, k),
+             found AS (SELECT r, place, kind, b, e FROM s WHERE kind <> 'candidate' UNION ALL
+                       SELECT r, 4, CASE WHEN hex THEN 'hex_entropy' ELSE 'text_entropy' END, b, e FROM h GROUP BY r, b, e, hex HAVING max(bits) >= CASE WHEN hex THEN 3.0 ELSE 3.6 END),
+             o AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                          string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, place) FILTER (place < 3) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, place) AS spans FROM found GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (r)
+    """,
     "op4_url_filters": """
         WITH h AS (SELECT page_id, coalesce(url, '') AS u, translate(regexp_extract(coalesce(url, ''), '^(?s:.)*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                           regexp_extract(coalesce(url, ''), '^(?s:.)*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),

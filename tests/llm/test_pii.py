@@ -1,5 +1,9 @@
+import hashlib
+import hmac
+import random
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from quillstone.llm import pii
@@ -94,3 +98,82 @@ def test_longer_draws_keep_their_type(spark):
 
 def test_empty_table(spark):
     assert pii.replace(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def found(text):
+    """Entities of a text as (start, end, parts), in plain Python; a part is (kind or None, value)."""
+    out = []
+    for m in regex.finditer(pii.ENTITY, text or ""):
+        v = m[0]
+        kind = next((k for k, p in pii.KINDS.items() if regex.fullmatch(p, v) and {"card": lambda: luhn(re.sub("[^0-9]", "", v)), "iban": lambda: mod97(v.replace(" ", "")) == 1}.get(k, lambda: True)()), None)
+        if kind == "email":
+            local, domain = v.split("@")
+            parts = [("local", local), (None, "@"), ("domain", domain)]
+        elif kind == "name":
+            title, *names = v.split(" ")
+            gender = "f" if title.strip(".") in pii.FEMALE else "m" if title.strip(".") in pii.MALE else "n"
+            parts = [(None, title + " "), *([(f"given-{gender}", names[0]), (None, " ")] if len(names) > 1 else []), ("surname", names[-1])]
+        else:
+            parts = [(kind, v)]
+        out.append((m.start(), m.end(), parts))
+    return out
+
+
+def mod97(v):
+    return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97
+
+
+def expected(text, named):
+    at, out, n, spans = 0, [], 0, found(text)
+    names = {}
+    for _, _, parts in spans:
+        for k, v in sorted((p for p in parts if p[0] and (p[0] == "surname" or p[0].startswith("given"))), key=lambda p: named[p]):
+            names[v] = min(names.get(v, named[k, v]), named[k, v])
+
+    def around(gap):
+        nonlocal n
+        words = regex.findall(r"[\p{L}\p{M}0-9_]+|[^\p{L}\p{M}0-9_]+", gap)
+        n += sum(w in names for w in words)
+        return "".join(names.get(w, w) for w in words)
+
+    for a, b, parts in spans:
+        out += [around(text[at:a]), *(named[p] if p[0] else p[1] for p in parts)]
+        n += any(k for k, _ in parts)
+        at = b
+    return "".join([*out, around((text or "")[at:])]) if text is not None else None, n
+
+
+def test_as_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    pieces = ["a.b@x.org", "Q7@mail.shop.example.com", "@", "4111 1111 1111 1111", "4111111111111112", "AT61 1904 3002 3457 3201", "BE68539007547034", "XX12 ABCD 1234", "123-45-6789", "8.8.8.8", "1.2.3.4.5", "+1 (906) 555-7738", "1-800-555-1234", "988.555.2485", "Mr John Smith", "Mrs Smith", "Dr. Ann Smith", "Smith", "John", "Smithson", "Herr Öztürk", "Öztürk", "Госпожа Анна Иванова", "Иванова", "EUR", "\n", ",", ". ", " ", " ", " ", "é"]
+    docs = list(enumerate(["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None, ""]))
+    named = {}
+    own = pii.assign
+
+    def assign(parts, key):
+        out = own(parts, key)
+        named.update({(r.kind, r.value): r.surrogate for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(pii, "assign", assign)
+    got = {r.doc_id: (r.surrogate_text, r.n_entities) for r in pii.replace(spark.createDataFrame(docs, "doc_id long, text string"), "k").collect()}
+    assert len(set(named.values())) == len(named) and not set(named.values()) & {v for _, v in named}
+    assert {p for _, t in docs for *_, parts in found(t) for p in parts if p[0]} == set(named)
+    for d, t in docs:
+        assert got[d] == expected(t, named), t
+
+
+def test_lengths_of_ibans_and_long_texts(spark):
+    docs = [(0, "pay AT61 1904 3002 3457 3201 EUR now"), (1, "BE68 5390 0754 7034 BIC"), (2, "x@" + "a." * 100_000 + "com "), (3, "a." * 100_000 + "@x.org y"), (4, "@" * 100_000 + "1" * 100_000), (5, "Mr John Smith left. Smith came back.")]
+    got = {r.doc_id: (r.surrogate_text, r.n_entities) for r in pii.replace(spark.createDataFrame(docs, "doc_id long, text string"), "k").collect()}
+    assert re.fullmatch(r"pay AT\d\d( \d{4}){4} EUR now", got[0][0]) and "1904" not in got[0][0]
+    assert re.fullmatch(r"BE\d\d( \d{4}){3} BIC", got[1][0]) and "5390" not in got[1][0]
+    assert got[2][1] == got[3][1] == 1 and got[2][0].endswith(".example.org ") and got[3][0].endswith(".example.org y")
+    assert got[4] == (docs[4][1], 0)
+    name = re.fullmatch(r"Mr (\w+) (\w+) left\. (\w+) came back\.", got[5][0])
+    assert name[2] == name[3] != "Smith" and got[5][1] == 2
+
+
+def test_keys_are_hmacs(spark):
+    for key in ("k", "long " * 30):
+        assert spark.range(1).select(pii.keyed(key, F.lit("hé"))).first()[0] == hmac.new(key.encode(), "hé".encode(), hashlib.sha256).hexdigest()

@@ -2,12 +2,13 @@
 
 A word is its character n-grams (3 to 5 code points, with marks at both ends) and itself, hashed to `buckets`
 vectors; a window of words is the mean of its words' means. Vectors and softmax are trained together. Insults
-share a long text with much else, so that a text is as toxic as its worst window: training starts from all windows
-of a text and goes on with the highest one. As the softmax is linear in the vectors, scoring needs one number for
+share a long text with much else, so that a text is as toxic as its worst window of ten words in a row, wherever it
+begins. Training cuts texts into tiles of ten words, starts from all tiles of a text and goes on with the highest one. As the softmax is linear in the vectors, scoring needs one number for
 each bucket, and that is all that goes to the tasks.
 
 The model is fitted on a bounded sample: `per_class` labelled documents of either class at most, in order of a
-hash of the id, and `max_chars` characters each. A fifth of it, by another hash, isn't trained on but calibrates
+hash of the id, those of up to `max_chars` characters first. Where these are too few longer ones follow, of which the first
+10 * `max_chars` characters count, until the class has per_class * max_chars / 2 characters. A fifth of it, by another hash, isn't trained on but calibrates
 scale and bias, so that 0.5 is where either label is as likely.
 
 Edge cases: null and empty texts, and texts without words, get the score of the bias alone, 0 at most 0.5; equal
@@ -77,9 +78,14 @@ class Model:
             _, which, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
             buckets, begin = subwords(found, which, len(self.weight))
             of_word = np.add.reduceat(self.weight[buckets].astype(np.float64), begin[:-1]) / np.diff(begin)
-            window, doc = windows(found, WINDOW)
-            mean = np.bincount(window, of_word[inverse]) / np.bincount(window)
-            np.maximum.at(worst, doc, mean)
+            upto = np.concatenate(([0.0], np.cumsum(of_word[inverse])))
+            first = found.first
+            end = first[1:][found.doc]  # a window begins at each word that leaves room, or at a shorter text's first
+            at = np.arange(len(end))
+            at = at[(at + WINDOW <= end) | (at == first[:-1][found.doc])]
+            to = np.minimum(at + WINDOW, end[at])
+            begin = np.flatnonzero(np.diff(found.doc[at], prepend=-1))
+            worst[found.doc[at][begin]] = np.maximum.reduceat((upto[to] - upto[at]) / (to - at), begin)
         worst[np.isinf(worst)] = min(0.0, -self.bias - 1e-9)
         return worst + self.bias
 
@@ -184,20 +190,29 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = 2500, max_chars: int = 10_000, **how) -> Model:
     """A model of the rows where learn holds. Ids and labels of the sample are chosen without the texts, in order of a hash of the id, and only its texts are sent then."""
-    own = docs.where(learn).select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
+    texts = docs.where(learn).select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
     known = labels.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1)")
-    known = own.select("d", F.length("t").alias("n")).join(known, "d")
-    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = texts.select("d", F.length("t").alias("n")).join(known, "d")
+    short = F.col("n").between(1, max_chars)
+    counts = {r.y: r for r in known.groupBy("y").agg(F.count("*").alias("all"), F.count_if(short).alias("short"), F.count_if(F.col("n") > max_chars).alias("long")).collect()}
     chosen = []
-    for y in (0, 1):
-        fit_in = known.where((F.col("y") == y) & F.col("n").between(1, max_chars)).select("d", "y")
-        chosen += first_by_hash(fit_in, F.col("d"), per_class, counts.get(y, 0)).collect()
-    ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], T.StructType([T.StructField("d", own.schema["d"].dataType), T.StructField("y", T.IntegerType())]))
-    rows = own.join(F.broadcast(ids.distinct()), "d").where(F.length("t").between(1, max_chars)).select("t", "y").collect()
+    for y, c in counts.items():
+        of_class = known.where(F.col("y") == y).select("d", "y", "n")
+        own = first_by_hash(of_class.where(short), F.col("d"), per_class, c.short).collect()
+        if len(own) < per_class and c.long:
+            own += first_by_hash(of_class.where(F.col("n") > max_chars), F.col("d"), per_class - len(own), c.long).collect()
+        size = 0
+        for r in own:
+            if r.n > max_chars and size > per_class * max_chars // 2:
+                break
+            size += min(r.n, 10 * max_chars)
+            chosen.append((r.d, r.y))
+    ids = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("d", texts.schema["d"].dataType), T.StructField("y", T.IntegerType())]))
+    rows = texts.join(F.broadcast(ids.distinct()), "d").where(F.length("t") > 0).select(F.substring("t", 1, 10 * max_chars).alias("t"), "y").collect()
     rows.sort(key=lambda r: (zlib.crc32(r.t.encode()), r.t, r.y))
     held = [zlib.crc32(r.t.encode()) % 5 == 4 for r in rows]
     part = lambda which: ([r.t for r, h in zip(rows, held, strict=True) if h == which], [r.y for r, h in zip(rows, held, strict=True) if h == which])
-    return calibrate(fit(*part(False), **how), *part(True), counts.get(1, 0) / max(1, sum(counts.values())))
+    return calibrate(fit(*part(False), **how), *part(True), sum(c["all"] for y, c in counts.items() if y) / max(1, sum(c["all"] for c in counts.values())))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -1,25 +1,29 @@
 """Exact top-k by inner product: a ball tree for each shard of the vectors, searched by branch and bound.
 
-Vectors are dealt to shards by a hash of their id. A shard's tree has nodes with a centre and a radius; q.c + |q|r
+Vectors are dealt to shards by their number. A shard's tree has nodes with a centre and a radius; q.c + |q|r
 bounds the product of a query with any vector of the node. Nodes are opened in descending order of the bound, by
 blocks of queries that share a heap, and a node is left alone by queries whose kth score exceeds its bound. Each
-query first searches the shard that its own hash names; the kth score found there goes with it to all shards, and
-rises further there. What shards find is merged by a last grouping: at most k rows a query and shard.
+query first searches the shard that its own hash names; the kth score found there goes with it to the next three, and what
+is the kth score after those to all others: three waves, each of which knows what the shards before it found. What shards
+find is merged by a grouping: at most k rows a query and shard.
 
-Queries are a stated set and meet every shard, in blocks, so that a task holds a shard and a block of queries only.
-Scores are exact: components are integers, and products stay below 2**53.
+Queries are a stated set and meet every shard. Vectors and queries of a shard come to its task in this order, so that the
+tree is made once a wave and a task holds a shard and a block of queries only.
+Scores are exact: where products could reach 2**53 they are worked out in 64-bit integers, and where they could pass those
+in Python's, the result cut to 62 bits.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; queries only meet vectors of
 their own length; equal scores go to smaller ids, and rows with the same id are distinct candidates but for those
-with a query's own id; fewer than k candidates give fewer rows; empty tables give no rows.
+with a query's own id; of queries that share an id the least vector asks; fewer than k candidates give fewer rows; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +36,8 @@ _NEVER = -(1 << 62)
 class BallTree:
     """Balls of a shard's vectors; x holds them in the order of the leaves."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, whole: np.ndarray):
+        x = whole.astype(np.float64)
         self.order = np.arange(len(x))
         self.nodes: list[tuple[int, int, np.ndarray, float, int, int]] = []
         todo = [(0, len(x), -1)]
@@ -42,7 +47,7 @@ class BallTree:
             own = x[self.order[a:b]]
             centre = own.mean(0)
             # a little more than the radius, so that rounding never makes the bound too low
-            radius = float(np.sqrt(((own - centre) ** 2).sum(1).max())) * (1 + 1e-9) + 1e-6
+            radius = float(np.sqrt(((own - centre) ** 2).sum(1).max())) * (1 + 1e-9) + 1e-6 + 1e-9 * float(np.sqrt((centre**2).sum()))
             me = len(self.nodes)
             self.nodes.append((a, b, centre, radius, -1, -1))
             if parent >= 0:
@@ -57,19 +62,30 @@ class BallTree:
         for me, (left, right) in children.items():
             a, b, c, r, _, _ = self.nodes[me]
             self.nodes[me] = (a, b, c, r, left, right)
-        self.x, self.ids = x[self.order], ids[self.order]
-
-    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.x, self.whole, self.ids = x[self.order], whole[self.order], ids[self.order]
+        self.most = float(np.abs(x).max(initial=0.0))
+
+    def products(self, q: np.ndarray, whole: np.ndarray, a: int, b: int, most: float) -> np.ndarray:
+        """Of queries with the vectors from a to b, exactly. most: what none of them passes."""
+        if most < 2**53:
+            return (q @ self.x[a:b].T).astype(np.int64)
+        if most < 2**62:
+            return whole @ self.whole[a:b].T
+        return np.clip(whole.astype(object) @ self.whole[a:b].T.astype(object), _NEVER + 1, -_NEVER - 1).astype(np.int64)
+
+    def search(self, q_ids: np.ndarray, whole: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query index, id and score of up to k best a query, of those that reach its floor."""
+        q = whole.astype(np.float64)
         n = len(q)
-        score = np.full((n, k), _NEVER, np.float64)
+        most = self.most * float(np.abs(q).max(initial=0.0)) * q.shape[1]
+        score = np.full((n, k), _NEVER, np.int64)
         which = np.full((n, k), np.iinfo(np.int64).max)
         norm = np.sqrt((q**2).sum(1))
-        kth = floor.astype(np.float64).copy()
+        kth = floor.copy()
 
         def bound(node: int, at: np.ndarray) -> np.ndarray:
             _, _, c, r, _, _ = self.nodes[node]
-            return q[at] @ c + norm[at] * r + 1e-3
+            return q[at] @ c + norm[at] * (r * (1 + 1e-9) + 1e-9 * np.sqrt(c @ c)) + 1e-3
 
         every = np.arange(n)
         heap = [(-float(bound(0, every).max()), 0, every)] if n and len(self.x) else []
@@ -86,7 +102,7 @@ class BallTree:
                     if keep.any():
                         heapq.heappush(heap, (-float(up[keep].max()), child, at[keep]))
                 continue
-            s = q[at] @ self.x[a:b].T
+            s = self.products(q[at], whole[at], a, b, most)
             ids = self.ids[a:b]
             s[ids[None, :] == q_ids[at, None]] = _NEVER
             s = np.concatenate([score[at], s], 1)
@@ -95,7 +111,7 @@ class BallTree:
             score[at], which[at] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
             kth[at] = np.maximum(kth[at], score[at, k - 1])
         row, col = np.nonzero(score > _NEVER)
-        return row, which[row, col], score[row, col].astype(np.int64)
+        return row, which[row, col], score[row, col]
 
 
 def _best(s: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
@@ -116,37 +132,70 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     v = F.col(f"`{vector}`")
     good = vectors.where(v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull()) & F.col(f"`{vec_id}`").isNotNull())
     good = good.select(F.col(f"`{vec_id}`").cast("long").alias("i"), F.transform(v, lambda x: x.cast("long")).alias("v"), is_query.alias("is_query"))
-    n, n_queries = good.agg(F.count("*"), F.count_if("is_query")).first()
-    shards, blocks = max(1, -(-n // per_shard)), max(1, -(-n_queries // per_block))
-    deal = lambda by: F.pmod(F.xxhash64("i", F.lit(by)), F.lit(by)).cast("int")
-    base = good.withColumns({"dim": F.size("v"), "shard": deal(shards)})
-    queries = base.where("is_query").withColumn("block", deal(blocks))
-    out = "query_id long, vec_id long, score long"
-
-    def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(held) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        tree = BallTree(held["i"].to_numpy(np.int64), np.stack(held["v"].to_numpy()).astype(np.float64))
-        ids = asked["i"].to_numpy(np.int64)
-        row, which, score = tree.search(ids, np.stack(asked["v"].to_numpy()).astype(np.float64), k, asked["floor"].to_numpy())
-        return pd.DataFrame({"query_id": ids[row], "vec_id": which, "score": score})
-
-    def met(asked: DataFrame, keys: list[str], held: DataFrame) -> DataFrame:
-        held, asked = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (held, asked))  # two sides of one table
-        return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, out)
-
-    keys = ["dim", "shard", "block"]
-    in_blocks = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("i", "v", *keys)
-    own = met(queries.select("i", "v", *keys, F.lit(_NEVER).alias("floor")), keys, in_blocks.join(queries.select(*keys).distinct(), keys, "left_semi"))
-    found = own if shards == 1 else _everywhere(queries, own, in_blocks, met, keys, shards, k)
+    # stored, as rows are dealt by their number, which is only right for one run; ids may repeat without end
+    dealt = stored(good.select("i", "v", "is_query", F.size("v").alias("dim"), F.xxhash64(F.monotonically_increasing_id()).alias("deal")), "vectors")
+    shards = max(1, -(-dealt.count() // per_shard))
+    held = dealt.select("dim", F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"), "i", "v", F.lit(_NEVER).alias("floor"))
+    queries = dealt.where("is_query").groupBy("i").agg(F.min("v").alias("v"))
+    queries = queries.select("i", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("i"), F.lit(shards)).cast("int").alias("first"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _everywhere(queries: DataFrame, own: DataFrame, in_blocks: DataFrame, met, keys: list[str], shards: int, k: int) -> DataFrame:
-    """What the first shards found, and what the others find beyond its kth score."""
-    first = stored(own, "first-shard")
-    kth = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("i"), "low")
-    asked = queries.join(kth, "i", "left").withColumn("floor", F.coalesce("low", F.lit(_NEVER)))
-    others = asked.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("to <> shard").select("i", "v", "dim", F.col("to").alias("shard"), "block", "floor")
-    return first.unionByName(met(others, keys, in_blocks))
+    found, met = None, 0
+    for wave in (1, 3, shards):
+        wave = min(wave, shards - met)
+        if not wave:
+            break
+        asked = queries.withColumn("floor", F.lit(_NEVER))
+        if found is not None:
+            kth = found.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("i"), "low")
+            asked = queries.join(kth, "i", "left").withColumn("floor", F.coalesce("low", F.lit(_NEVER)))
+        to = F.explode(F.sequence(F.lit(met), F.lit(met + wave - 1)))
+        asked = asked.withColumn("to", to).select("dim", F.pmod(F.col("first") + F.col("to"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("role"), "i", "v", "floor")
+        rows = held.unionByName(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "role")
+        more = rows.mapInArrow(_searcher(k, per_block), "query_id long, vec_id long, score long")
+        every = more if found is None else found.unionByName(more)
+        found = every.withColumn("rank", best).where(F.col("rank") <= k)
+        met += wave
+        if met < shards:
+            found = stored(found.drop("rank"), "found")
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _searcher(k: int, per_block: int):
+    """Of rows by (dim, shard), vectors before queries: the tree of a shard is made once, and queries pass it by the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, asked, waiting, tree = None, [], [], 0, None
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting, tree
+            if asked and held:
+                tree = tree or BallTree(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                ids, q, floor = (np.concatenate(x) for x in zip(*asked, strict=True))
+                row, which, score = tree.search(ids, q, k, floor)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(which), pa.array(score)], names=["query_id", "vec_id", "score"])
+            asked.clear()
+            waiting = 0
+
+        for batch in batches:
+            dim, shard, role, i, floor = (batch.column(c).to_numpy() for c in ("dim", "shard", "role", "i", "floor"))
+            new = np.flatnonzero((np.diff(dim) != 0) | (np.diff(shard) != 0) | (np.diff(role) != 0)) + 1
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), len(i)], strict=True):
+                if a == b:
+                    continue
+                if (now := (dim[a], shard[a])) != key:
+                    yield from answer()
+                    key, tree = now, None
+                    held.clear()
+                for c in range(a, b, per_block):
+                    d = min(b, c + per_block)
+                    x = batch.column("v").slice(c, d - c).flatten().to_numpy().reshape(d - c, dim[a])
+                    if role[a] == 0:
+                        held.append((i[c:d], x))
+                        continue
+                    asked.append((i[c:d], x, floor[c:d]))
+                    waiting += d - c
+                    if waiting >= per_block:
+                        yield from answer()
+        yield from answer()
+
+    return run

@@ -7,8 +7,9 @@ of the parsed one. Automata become one sparse table: a transition is in the slot
 slot names the state, so that numpy takes a step of many texts and all languages at once and the number of letters
 doesn't matter. Phrases end every `LANE` symbols, for all languages alike, which keeps long texts from holding up the others.
 
-The model is a bounded sample: about `chars` characters a language, of different texts in order of a hash of them; the
-beginnings of long texts come after the others, where these are few. All letters of the sample are symbols.
+The model is a bounded sample: about `chars` characters a language, or an equal share of `total` where there are more than
+total / chars languages, none of which is left out; of different texts in order of a hash of them. The beginnings of long
+texts come after the others, where these are few. All letters of the sample are symbols.
 
 Edge cases: a null text or one without a letter is `und`, score 0; of equal entropies the first language in order
 wins; letters that a language's text lacks are phrases of their own; without labelled text all is `und`. Input
@@ -146,35 +147,37 @@ class CrossParser:
         return pred.tolist(), score
 
 
-def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", chars: int = 40_000, longest: int = 8_000, per_language: int = 60, languages: int = 64) -> dict[str, list[str]]:
-    """Labelled texts, `per_language` different ones of each of the `languages` most frequent languages in order of a hash, cut off after about `chars` in all: whole ones of at most `longest` characters, and if they are too few the first `longest` of longer ones."""
+def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", chars: int = 40_000, longest: int = 8_000, per_language: int = 60, total: int = 4_000_000) -> dict[str, list[str]]:
+    """Labelled texts, `per_language` different ones of each language in order of a hash, cut off after about `chars` in all: whole ones of at most `longest` characters, and if they are too few the first `longest` of longer ones."""
     own = docs.where(learn).select(F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t")).where("l is not null and l <> 'und'").where(F.length("t") > 0)
     own = own.select("l", (F.length("t") > longest).alias("cut"), F.substring("t", 1, longest).alias("t")).withColumn("h", F.xxhash64("t"))
     # copies share a hash: n rows, d different whole texts and e beginnings
-    counts = own.groupBy("l", "cut", "h").agg(F.count("*").alias("n")).groupBy("l").agg(F.sum("n").alias("n"), F.count_if(~F.col("cut")).alias("d"), F.count_if("cut").alias("e")).orderBy(F.desc("n"), "l").limit(languages).collect()
+    counts = own.groupBy("l", "cut", "h").agg(F.count("*").alias("n")).groupBy("l").agg(F.sum("n").alias("n"), F.count_if(~F.col("cut")).alias("d"), F.count_if("cut").alias("e")).orderBy("l").collect()
     if not counts:
         return {}
+    chars = min(chars, total // len(counts))
 
     def first(near: DataFrame) -> list:
-        place = F.row_number().over(Window.partitionBy("l").orderBy("cut", "h", "t"))
-        return near.dropDuplicates(["l", "cut", "h", "t"]).withColumn("k", place).where(F.col("k") <= per_language).select("l", "k", "t").collect()
+        order = Window.partitionBy("l").orderBy("cut", "h", "t")
+        ranked = near.dropDuplicates(["l", "cut", "h", "t"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
+        before = F.coalesce(F.sum(F.length("t")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return ranked.withColumn("before", before).where(F.col("before") < chars).select("l", "k", "t").collect()
 
     # the first of each language by hash; rows whose hash is too high to be among them go before anything moves
-    near = F.lit(False)
-    for c in counts:
-        below = lambda of: F.col("h") <= hash_limit(per_language, of)
-        near = F.when(F.col("l") == c.l, F.when(~F.col("cut"), below(c.d)).otherwise(below(c.e) if c.d < per_language else F.lit(False))).otherwise(near)
-    rows = first(own.where(near))
+    limits = [(c.l, hash_limit(per_language, c.d) if c.d else None, hash_limit(per_language, c.e) if c.e and c.d < per_language else None) for c in counts]
+    known = docs.sparkSession.createDataFrame(limits, "l string, whole long, part long")  # a row a language
+    rows = first(own.join(F.broadcast(known), "l").where(F.col("h") <= F.when(F.col("cut"), F.col("part")).otherwise(F.col("whole"))).select(*own.columns))
     got = Counter(r.l for r in rows)
-    short = [c.l for c in counts if got[c.l] < min(per_language, c.d + c.e)]  # where hashes are very uneven
+    size = Counter()
+    for r in rows:
+        size[r.l] += len(r.t)
+    short = [c.l for c in counts if got[c.l] < min(per_language, c.d + c.e) and size[c.l] < chars]  # where hashes are very uneven
     if short:
         rows = [r for r in rows if r.l not in short] + first(own.where(F.col("l").isin(short)))
     rows.sort()
     out: dict[str, list[str]] = {}
     for r in rows:
-        texts = out.setdefault(r.l, [])
-        if sum(map(len, texts)) < chars:
-            texts.append(r.t)
+        out.setdefault(r.l, []).append(r.t)
     return out
 
 

@@ -3,7 +3,8 @@
 A document's set is that of its word 5-grams; one of fewer words has a single gram, all its words. Documents with
 equal sets are copies and go on as one, the smallest id. Bands of MinHash values link those that share one to the
 smallest id of the band (as many rows as members, however large a band is), and connected ones come together in
-groups. A group's pairs are compared in blocks of bounded size, each pair of blocks its own task's work: after every
+groups. Members' sets are stored once; a group's pairs are compared in blocks of bounded size, each pair of blocks its own
+task's work: after every
 16 MinHash values, pairs go whose posterior probability of reaching the threshold (uniform prior) is below the
 tolerance; what is left is verified on the sets themselves. Only counts and links to a block's smallest connected id
 leave a block, so that a group of n near copies makes no n * n rows.
@@ -130,24 +131,17 @@ def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: fl
     return common >= threshold * (size[i] + size[j] - common) - 1e-9
 
 
-def _compare(block: list[dict], threshold: float, need: list[int], n: int) -> list[tuple[int, int, int]]:
+def _compare(block: list[dict], threshold: float, need: list[int]) -> list[tuple[int, int, int]]:
     """Of a pair of blocks: each document, the smallest id that it is connected with here, and how many documents it links to."""
-    texts = pa.array([r["text"] for r in block], pa.string())
-    found = words(texts)
-    gram, begin = grams(found, n)
-    sets = [np.unique(gram[begin[k] : begin[k + 1]]) for k in range(len(block))]
-    right = [k for k in range(len(block)) if len(sets[k]) and _digest(sets[k]) == block[k]["digest"]]  # rows of equal id with another text fall away
     seen, keep = set(), []
-    for k in right:
-        if (key := (block[k]["doc"], block[k]["digest"])) not in seen:
+    for k, row in enumerate(block):
+        if (key := (row["doc"], row["digest"])) not in seen:
             seen.add(key)
             keep.append(k)
-    if not keep:
-        return []
     first, second = block[0]["i"], block[0]["j"]
     keep.sort(key=lambda k: block[k]["own"] != first)
-    sets = [sets[k] for k in keep]
     rows = [block[k] for k in keep]
+    sets = [np.frombuffer(r["set"], "<u8") for r in rows]
     sig = np.stack([np.frombuffer(r["sig"], "<u2") for r in rows])
     cut = sum(r["own"] == first for r in rows)
     if first == second:
@@ -191,7 +185,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels.select("node", "label")
 
 
-def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, text: str = "text", doc_id: str = "doc_id", block_docs: int = 1024, block_grams: int = 1_000_000) -> DataFrame:
+def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, text: str = "text", doc_id: str = "doc_id", block_docs: int = 512, block_grams: int = 1_000_000) -> DataFrame:
     """doc_id, class_id (the smallest id connected by links) and n_links (other documents of this similarity, copies included), a row for each row of docs."""
     spark = docs.sparkSession
     ship(spark)
@@ -228,8 +222,21 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float =
     members = reps.join(groups.withColumnRenamed("node", "doc"), "doc")
     sizes = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+
+
+    def make_sets():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            gram, begin = grams(words(texts), n)
+            sets = [np.unique(gram[x:y]) for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+            return [pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array([_digest(s) for s in sets], pa.binary())]
+
+        return work
+
+    # a member's set is made once, however many blocks it meets; rows of equal id with another text fall away
     whole = dealt.join(own, "doc").select("doc", "copies", "digest", "sig", "label", "blocks", "own", "text")
-    met = whole.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("doc", "copies", "digest", "sig", "text", "own", "label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("blocks") > 1).alias("split"))
+    whole = map_texts(whole, "text", [T.StructField("set", T.BinaryType()), T.StructField("of", T.BinaryType())], make_sets)
+    whole = stored(whole.where("of = digest").drop("text", "of"), "members")
+    met = whole.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("doc", "copies", "digest", "sig", "set", "own", "label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("blocks") > 1).alias("split"))
     need = least_matches(threshold, tolerance, STEP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +246,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float =
 
         def flush() -> None:
             if len(held) > 1:
-                out.extend((*x, held[0]["split"]) for x in _compare(held, threshold, need, n))
+                out.extend((*x, held[0]["split"]) for x in _compare(held, threshold, need))
 
         def made() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
@@ -267,7 +274,11 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float =
 
 
 def keep_one(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """docs without all but the first document of each class; of rows that share an id, one stays. Rows without an id stay."""
+    """docs without all but the first document of each class; of rows that share an id, the first in order of their columns stays. Rows without an id stay."""
     stay = members.where("doc_id = class_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    known = docs.where(F.col(f"`{doc_id}`").isNotNull()).join(stay, doc_id, "left_semi").dropDuplicates([doc_id])
-    return known.select(*docs.columns).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
+    own = docs.where(F.col(f"`{doc_id}`").isNotNull())
+    repeated = stored(own.groupBy(doc_id).count().where("count > 1").select(doc_id), "repeated")
+    own = own.join(stay, doc_id, "left_semi")
+    first = own.join(repeated, doc_id, "left_semi").groupBy(doc_id).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__q_row")).select("__q_row.*")
+    known = own.join(repeated, doc_id, "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+    return known.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import SuffixAutomaton
-from .common import map_texts, without
+from .common import held, map_texts, stored, without
 from .words import Words, runs, words
 
 _SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end", "word", "word_end")])
@@ -105,8 +105,10 @@ def _spans(found: Words, hit: np.ndarray, doc: int, first: np.ndarray) -> list[d
 def _pass(docs: DataFrame, rows: list[tuple[str | None, str]], window: int, text: str) -> DataFrame:
     span = pa.list_(pa.struct([(f.name, pa.int64()) for f in _SPAN]))
 
+    key = ("items", window, hash(tuple(rows)))
+
     def make():
-        model = Items(rows, window)
+        model = held(key, lambda: Items(rows, window))
 
         def work(texts: pa.Array) -> list[pa.Array]:
             found = words(texts)
@@ -120,26 +122,29 @@ def _pass(docs: DataFrame, rows: list[tuple[str | None, str]], window: int, text
 
         return work
 
-    return map_texts(docs, text, FIELDS, make)
+    return map_texts(docs, text, FIELDS, make, keeps=True)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 8_000_000) -> DataFrame:
     """docs with FIELDS: words, ids of hit items as text, and runs of hit words, by code point and by word.
 
-    The items go to every task in blocks of about block_chars characters, so that what is broadcast has a bound;
-    each further block is another pass over the texts, whose hits join those before.
+    The items go to every task in blocks of about block_chars characters, so that what is broadcast and what a worker
+    holds has a bound; each further block is another pass over the texts, whose hits join those before and are stored.
+    A worker makes a block's automaton once.
     """
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null")
     blocks = max(1, math.ceil((items.agg(F.sum(F.length("t"))).first()[0] or 0) / block_chars))
     out = without(docs, [f.name for f in FIELDS])
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        rows = [(r.i, r.t) for r in own.collect()]
+        rows = sorted(((r.i, r.t) for r in own.collect()), key=lambda r: (r[0] or "", r[1]))
         if k:
             out = out.withColumnsRenamed({"hit_items": "__q_items", "hit_spans": "__q_spans"})
         out = _pass(out, rows, window, text)
         if k:
             out = out.withColumns({"hit_items": F.array_sort(F.array_union("__q_items", "hit_items")), "hit_spans": _joined(F.array_sort(F.concat("__q_spans", "hit_spans")))}).drop("__q_items", "__q_spans")
+        if k < blocks - 1:
+            out = stored(out, "hits")
     return out
 
 

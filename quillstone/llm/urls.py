@@ -8,8 +8,9 @@ context that a model has not seen passes to c' as it is, and before the empty on
 The log ratio of both models at a character is a sum over the n-grams that end there: what each adds to its suffix
 if either model has it, else what its context's escape adds. So a URL's log-likelihood difference is a sum of one
 weight for each of its substrings of up to four characters, and scoring is a join and a sum. It is divided by the length,
-and URLs at or above the threshold are allowed. The threshold lies between the mean scores of both kinds of training
-URLs, at as many of their standard deviations from either.
+and URLs at or above the threshold are allowed. Three in sixteen ruled URLs, by a hash, aren't trained on but calibrate: the
+threshold lies between the mean scores of both kinds of these, at as many of their standard deviations from either. Where
+they, or those left to train on, lack a kind, all ruled URLs train and calibrate.
 
 Edge cases: a null URL is an empty one; without :// host and path are empty and no rule fits; rules are compared by
 whole host labels; repeated URLs count as often as they come; without URLs of both kinds the models say nothing and
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import stored, without
 
 ORDER = 4
-#: A broadcast of more rows than this is left to Spark's own choice.
+#: A broadcast of more rows than this is left to Spark's own choice; scores don't depend on it.
 BROADCAST_ROWS = 200_000
 
 
@@ -54,7 +55,9 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 def substrings(urls: DataFrame, *keep: str) -> DataFrame:
     """The columns of keep, and g and at_end: each substring of up to ORDER characters of the column u, marked at both ends."""
-    marked = urls.withColumn("s", F.concat(F.lit("\x02"), "u", F.lit("\x03")))
+    # a URL becomes hundreds of rows, so that URLs are dealt out by their number, not by their few bytes
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = urls.repartition(parts, "u").withColumn("s", F.concat(F.lit("\x02"), "u", F.lit("\x03")))
     each = f"flatten(transform(sequence(1, length(s)), i -> transform(sequence(1, least({ORDER}, length(s) - i + 1)), k -> struct(substring(s, i, k) as g, i + k > length(s) as at_end))))"
     return marked.select(*keep, F.explode(F.expr(each)).alias("x")).select(*keep, "x.g", "x.at_end")
 
@@ -100,16 +103,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", othe
     of = F.coalesce(F.col(f"`{url}`"), F.lit(""))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     ruled = kept.withColumns({"__q_url": of, "host": host(of), "path": path(of)}).withColumns({"rule": rule, "__q_says": says})
-    # a URL becomes hundreds of rows, so that URLs are dealt out by their number, not by their few bytes
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = ruled.groupBy(F.col("__q_url").alias("u")).agg(F.count("*").alias("n"), F.max(F.col("__q_says")).alias("says"))
-    distinct = stored(distinct.repartition(parts, "u"), "urls")
+    distinct = stored(distinct.withColumn("held", F.substring(F.md5(F.col("u").cast("binary")), 1, 1).isin("0", "1", "2")), "urls")
     training = distinct.where("says is not null").withColumn("allowed", (F.col("says") == "allow").cast("int"))
-    kinds = {r.allowed for r in training.select("allowed").distinct().collect()}
-    if len(kinds) < 2:
+    kinds = {(r.allowed, r.held) for r in training.select("allowed", "held").distinct().collect()}
+    if len({allowed for allowed, _ in kinds}) < 2:
         return ruled.withColumns({"verdict": F.coalesce("__q_says", F.lit(otherwise)), "score": F.lit(None).cast("double")}).drop("__q_url", "__q_says")
-    scored = stored(scores(distinct.select("u"), weights(training)), "scores")
-    stats = {r.allowed: r for r in training.join(scored, "u").groupBy("allowed").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("score") ** 2 * F.col("n")) / F.sum("n") - (F.sum(F.col("score") * F.col("n")) / F.sum("n")) ** 2)).alias("sd")).collect()}
+    apart = len(kinds) == 4
+    scored = stored(scores(distinct.select("u"), weights(training.where("not held") if apart else training)), "scores")
+    calibrating = training.where("held") if apart else training
+    stats = {r.allowed: r for r in calibrating.join(scored, "u").groupBy("allowed").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("score") ** 2 * F.col("n")) / F.sum("n") - (F.sum(F.col("score") * F.col("n")) / F.sum("n")) ** 2)).alias("sd")).collect()}
     a, b = stats[1], stats[0]
     threshold = (a["mean"] * b["sd"] + b["mean"] * a["sd"]) / (a["sd"] + b["sd"]) if a["sd"] + b["sd"] > 1e-9 else (a["mean"] + b["mean"]) / 2
     judged = scored.select(F.col("u").alias("__q_url"), "score", F.when(F.col("score") >= threshold, "allow").otherwise("block").alias("__q_model"))

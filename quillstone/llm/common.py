@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -13,24 +14,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROOT = str(Path(__file__).resolve().parents[2])
+ROOT = Path(__file__).resolve().parents[1]
+_ARCHIVE = "quillstone-for-workers.zip"
+_made: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it isn't installed but lies on the driver's path."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    """Give the package to Python workers, as an archive that Spark hands to every executor; once a session."""
+    context = spark.sparkContext
+    if any(f.endswith(_ARCHIVE) for f in context.listFiles):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="quillstone-"), _ARCHIVE)
+    with zipfile.ZipFile(path, "w") as archive:
+        for f in sorted(ROOT.rglob("*.py")):
+            archive.write(f, f.relative_to(ROOT.parent))
+    context.addPyFile(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's shared checkpoint folder; a local temporary one only where none is set."""
+    """A fresh path in the cluster's shared checkpoint folder. Where none is set, a local master gets a temporary one; elsewhere that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quillstone-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that operators have stored so far. Results that weren't written yet read them: call it after that."""
+    jvm = spark._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -68,7 +68,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("hit_items"), ",").cast("binary"), 256).alias("items_sha256"),
         "contaminated",
-        "hit_spans",
+        F.array_join(F.transform("hit_spans", lambda s: F.concat_ws(":", *(s[c].cast("string") for c in ("start", "end", "word", "word_end")))), ",").alias("hit_spans"),
         F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"),
     )
 
@@ -99,7 +99,36 @@ _BASE = " UNION ALL ".join(
     for i, (kind, p, group, least) in enumerate((k, p.replace("'", "''"), g, n) for k, p, g, n in [*secrets.BASE, ("candidate", secrets.CANDIDATE, 0, 20)])
 )
 
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
+             g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS gram FROM w),
+             s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+             l AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+             r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+        SELECT doc_id, least(doc_id, coalesce((SELECT min(y) FROM r WHERE x = doc_id), doc_id)) AS class_id, (SELECT count(*) FROM l WHERE x = doc_id) AS n_links FROM documents
+    """,
+    "op7_benchmark_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_WORD}') AS w, regexp_split_to_array({_LOW.format("coalesce(text, '')")}, '{_WORD}') AS gaps FROM documents),
+             i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOW.format("text")}, '{_WORD}') AS w FROM benchmark WHERE text IS NOT NULL),
+             v AS (SELECT DISTINCT item, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda k: array_to_string(w[k:k + least(10, len(w)) - 1], ' '))) AS win FROM i WHERE len(w) > 0),
+             x AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS k, w FROM d, (SELECT DISTINCT n FROM v)),
+             h AS (SELECT r, k, x.n, item FROM x JOIN v ON v.n = x.n AND v.win = array_to_string(w[k:k + x.n - 1], ' ')),
+             hit AS (SELECT DISTINCT r, unnest(range(k, k + n)) AS k FROM h),
+             at_word AS (SELECT r, generate_subscripts(w, 1) AS k, unnest(w) AS v, unnest(gaps[1:len(w)]) AS gap FROM d WHERE len(w) > 0),
+             placed AS (SELECT r, k, CAST(sum(length(v) + length(gap)) OVER (PARTITION BY r ORDER BY k) AS BIGINT) AS e, length(v) AS n FROM at_word),
+             run AS (SELECT r, k, e - n AS s, e, k - row_number() OVER (PARTITION BY r ORDER BY k) AS grp FROM placed JOIN hit USING (r, k)),
+             span AS (SELECT r, min(s) AS s, max(e) AS e, min(k) - 1 AS a, max(k) AS b FROM run GROUP BY r, grp),
+             cut AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS before FROM span),
+             o AS (SELECT r, sum(b - a) AS n_hit, string_agg(s || ':' || e || ':' || a || ':' || b, ',' ORDER BY s) AS hit_spans, string_agg(substr(t, before + 1, s - before), '' ORDER BY s) || substr(any_value(t), max(e) + 1) AS clean FROM cut JOIN d USING (r) GROUP BY r),
+             n AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(hit_spans, '') AS hit_spans, sha256(coalesce(clean, t)) AS clean_sha256
+        FROM d LEFT JOIN o USING (r) LEFT JOIN n USING (r)
+    """,
     "op3_secret_scans": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
              m AS ({_BASE}),
@@ -123,8 +152,10 @@ ORACLE_SQL: dict[str, str] = {
              rules(says, rule, h, p) AS (VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('allow', 'net/de/', 'net', '/de/'), ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')),
              best AS (SELECT h.*, (SELECT max_by(rule, length(rule)) FROM rules r WHERE (h.host = r.h OR ends_with(h.host, '.' || r.h)) AND starts_with(h.path, r.p)) AS rule FROM h),
              ruled AS (SELECT b.*, r.says FROM best b LEFT JOIN rules r ON r.rule = b.rule),
-             pos AS (SELECT u, says, n, chr(2) || u || chr(3) AS s, unnest(range(1, length(u) + 3)) AS i FROM (SELECT u, says, count(*) AS n FROM ruled GROUP BY u, says)),
-             gram AS (SELECT u, says, n, substr(s, i, k) AS g, i + k > length(s) AS at_end FROM pos, range(1, 5) t(k) WHERE i + k <= length(s) + 1),
+             known AS (SELECT u, says, count(*) AS n, substr(md5(u), 1, 1) IN ('0', '1', '2') AS held FROM ruled GROUP BY u, says),
+             apart AS (SELECT count(DISTINCT says || held) = 4 AS apart FROM known WHERE says IS NOT NULL),
+             pos AS (SELECT u, says, n, held, chr(2) || u || chr(3) AS s, unnest(range(1, length(u) + 3)) AS i FROM known),
+             gram AS (SELECT u, CASE WHEN NOT (held AND (SELECT apart FROM apart)) THEN says END AS says, n, substr(s, i, k) AS g, i + k > length(s) AS at_end FROM pos, range(1, 5) t(k) WHERE i + k <= length(s) + 1),
              c AS (SELECT g, substr(g, 1, length(g) - 1) AS c, CAST(sum(CASE WHEN says = 'allow' THEN n ELSE 0 END) AS DOUBLE) AS a, CAST(sum(CASE WHEN says = 'block' THEN n ELSE 0 END) AS DOUBLE) AS b FROM gram WHERE says IS NOT NULL GROUP BY g),
              x AS (SELECT c, sum(a) AS na, sum(b) AS nb, count(*) FILTER (a > 0) AS ta, count(*) FILTER (b > 0) AS tb FROM c GROUP BY c),
              y AS (SELECT *, CASE WHEN na > 0 THEN ta / (na + ta) ELSE 1.0 END AS ea, CASE WHEN nb > 0 THEN tb / (nb + tb) ELSE 1.0 END AS eb FROM x),
@@ -137,7 +168,7 @@ ORACLE_SQL: dict[str, str] = {
              w AS (SELECT g, ln(pa) - ln(pb) - ln(la) + ln(lb) - l AS gram FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4)),
              v AS (SELECT w.g, gram, coalesce(z.l, 0) AS context FROM w LEFT JOIN z ON z.c = w.g),
              sc AS (SELECT u, coalesce(sum(gram + CASE WHEN at_end THEN 0 ELSE context END), 0) / (length(u) + 2) + (SELECT l FROM z WHERE c = '') AS score FROM gram LEFT JOIN v USING (g) GROUP BY u),
-             m AS (SELECT says, avg(score) AS mean, stddev_pop(score) AS sd FROM ruled JOIN sc USING (u) WHERE says IS NOT NULL GROUP BY says),
+             m AS (SELECT says, avg(score) AS mean, stddev_pop(score) AS sd FROM (SELECT * FROM ruled JOIN (SELECT DISTINCT u, held FROM known) USING (u) WHERE says IS NOT NULL AND (held OR NOT (SELECT apart FROM apart))) JOIN sc USING (u) GROUP BY says),
              t AS (SELECT (a.mean * b.sd + b.mean * a.sd) / (a.sd + b.sd) AS t FROM m a, m b WHERE a.says = 'allow' AND b.says = 'block')
         SELECT page_id, host, path, rule, coalesce(says, CASE WHEN score >= t THEN 'allow' ELSE 'block' END) AS verdict FROM ruled JOIN sc USING (u), t
     """,

@@ -54,6 +54,17 @@ def test_top_k_as_brute_force(spark, per_shard):
     assert topk.search(frame.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    """Scores beyond what doubles hold, and one id that a third of all rows have."""
+    rng = random.Random(12)
+    for most in (1 << 20, 1 << 27, 1 << 29):
+        rows = [(i if i % 3 else 7, [rng.randint(-most, most) for _ in range(16)]) for i in range(300)]
+        own = min(v for i, v in rows if i == 7)
+        got = [(r["rank"], r.vec_id, r.score) for r in topk.search(spark.createDataFrame(rows, "vec_id long, vector array<long>"), F.col("vec_id") == 7, per_shard=50).orderBy("rank").collect()]
+        want = sorted(((sum(a * b for a, b in zip(own, v)), -i) for i, v in rows if i != 7), reverse=True)[:5]
+        assert got == [(k + 1, -i, s) for k, (s, i) in enumerate(want)]
+
+
 def test_tree_leaves_nodes_alone():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(c * 40, 1, (500, 4)) for c in range(8)]).round()
@@ -111,21 +122,42 @@ def test_without_both_labels_nothing_is_toxic(spark):
 
 
 def test_held_out_toxicity(spark):
-    """Over the whole of a larger table: labels of the fold that isn't learned from."""
-    import glob
-
-    import pyarrow.parquet as pq
-
-    folder = "/root/testdata/check_s"
-    labels = {d: y for f in glob.glob(f"{folder}/labels.parquet/*") for d, y in zip(*[pq.read_table(f)[c].to_pylist() for c in ("doc_id", "toxic")])}
-    part = pq.read_table(sorted(glob.glob(f"{folder}/documents.parquet/*"))[3])
-    rows = [(t, labels[d], zlib.crc32(str(d).encode()) % 5 == 0) for d, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()) if d in labels and len(t) < 10_000]
-    model = toxicity.fit([t for t, _, h in rows if not h][:2500], [y for _, y, h in rows if not h][:2500], epochs=8)
-    held = [(t, y) for t, y, h in rows if h]
-    scores = model.logits(pa.array([t for t, _ in held]))
-    toxic = np.array([y for _, y in held]) == 1
-    auc = (scores[toxic][:, None] > scores[~toxic][None]).mean()
-    assert auc > 0.97
+    """The query on a table of words of two kinds: labels of the fold that isn't learned from."""
+    rng = random.Random(8)
+    good, bad = ([f"{p}{rng.choice('aeiou')}{c}{rng.choice('aeiou')}" for c in "bdfgklmnprst" for _ in range(12)] for p in ("w", "zzq"))
+    docs, labels = [], []
+    for i in range(600):
+        own = [rng.choice(good) for _ in range(rng.randint(5, 120))]
+        toxic = rng.random() < 0.3
+        if toxic:
+            k = rng.randrange(len(own))
+            own[k:k] = [rng.choice(bad) for _ in range(6)]
+        docs.append((i, " ".join(own)))
+        labels.append((i, int(toxic)))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), ~held)
+    got = {r.doc_id: r.predicted for r in toxicity.score(frame.where(held), model).collect()}
+    assert len(got) > 80 and np.mean([labels[d][1] == p for d, p in got.items()]) >= 0.97
+
+
+def test_windows_begin_anywhere():
+    rng = random.Random(3)
+    model = toxicity.Model(np.array([rng.uniform(-1, 1) for _ in range(1 << 10)], np.float32), 0.1)
+    texts = [" ".join(rng.choice(["ab", "cde", "fghi", "é", "x1"]) + str(rng.randint(0, 30)) for _ in range(n)) for n in (1, 3, 9, 10, 11, 35, 200)]
+    for t, z in zip(texts, model.logits(pa.array(texts))):
+        own = t.split(" ")
+        of_word = [(model.logits(pa.array([w]))[0] - model.bias) for w in own]
+        ends = range(10, len(own) + 1) if len(own) > 10 else [len(own)]
+        assert abs(z - model.bias - max(np.mean(of_word[max(0, e - 10) : e]) for e in ends)) < 1e-6
+
+
+def test_classes_of_long_texts_are_learned(spark):
+    docs = [(i, "kind word here " * 20) for i in range(20)] + [(100 + i, "kind word here " * 200 + "vile slur " * 5) for i in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d >= 100)) for d, _ in docs], "doc_id long, toxic int")
+    model = toxicity.train(frame, labels, F.lit(True), max_chars=1000)
+    assert [r.predicted for r in toxicity.score(frame, model).orderBy("doc_id").collect()] == [0] * 20 + [1] * 20
 
 
 # language
@@ -200,6 +232,22 @@ def test_sample_is_the_first_by_hash(spark, monkeypatch, limit):
     assert langid.sample(frame, F.lit(True)) == {"aa": want}
 
 
+def test_scripts_and_many_languages(spark):
+    """Scripts with thousands of letters, and more languages than share the sample at its full size."""
+    rng = random.Random(6)
+    pools = {"zh": [chr(0x4E00 + k) for k in range(0, 3000, 2)], "ja": [chr(0x4E01 + k) for k in range(0, 3000, 2)] + [chr(0x3042 + k) for k in range(60)], "ko": [chr(0xAC00 + 5 * k) for k in range(2000)]}
+    pools = {k: ["".join(rng.choice(v) for _ in range(3)) for _ in range(600)] for k, v in pools.items()}  # words of rare letters
+    pools |= {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(30)] for k in range(70)}
+    make = lambda k: ("" if k in ("zh", "ja", "ko") else " ").join(rng.choice(pools[k]) for _ in range(120))
+    rows = [(k, make(k)) for k in pools for _ in range(12)]
+    model = langid.sample(spark.createDataFrame(rows, "lang string, text string"), F.lit(True), total=73 * 4_000)
+    assert sorted(model) == sorted(pools)
+    assert all(sum(map(len, t[:-1])) < 4_000 for t in model.values())
+    test = [(k, make(k)) for k in pools for _ in range(2)]
+    got = langid.identify(spark.createDataFrame(test, "want string, text string"), model).collect()
+    assert np.mean([r.want == r.lang_pred for r in got]) > 0.98
+
+
 def test_held_out_languages(spark):
     got = QUERIES["op9_language_id"](spark, SF)
     met = got.join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
@@ -212,7 +260,7 @@ def test_held_out_languages(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_as_duckdb(spark, name):
     duck = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents", "benchmark"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     columns = sorted(got.columns)

@@ -63,3 +63,27 @@ def test_posterior_bounds_are_loose_enough():
     need = near.least_matches(0.8, 1e-6, 16)
     assert need == sorted(need)
     assert need[0] <= 6 and need[-1] < 0.8 * 128
+
+
+def test_rows_of_one_id(spark):
+    docs = [(1, "b c d e f g", "x"), (1, "a b c d e f", "y"), (2, "q r s t u v", "z")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert sorted(map(tuple, near.keep_one(frame, near.join(frame)).collect())) == [docs[1], docs[2]]
+
+
+def test_recall_of_near_copies(spark):
+    """All pairs of 0.8 or more among edited copies, over many sizes of text."""
+    rng = random.Random(21)
+    docs = []
+    for size in (6, 12, 30, 80, 300, 1500):
+        for _ in range(12):
+            own = [f"w{rng.randrange(5000)}" for _ in range(size)]
+            docs.append((len(docs), " ".join(own)))
+            for _ in range(2):
+                edited = list(own)
+                for _ in range(max(1, size // 60)):
+                    edited[rng.randrange(size)] = f"w{rng.randrange(5000)}"
+                docs.append((len(docs), " ".join(edited)))
+    got = {r.doc_id: r.n_links for r in near.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = {d: n for d, _, n in brute(docs)}
+    assert sum(want.values()) > 100 and got == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,14 @@ DOCUMENT_PATTERNS = [
     ("document_data_exfiltration", r"env[ií]a\s+esta\s+informaci[oó]n\s+a\s+\S+@"),
     ("document_jailbreak_chain", r"(?:activate|enable)\s+DAN\s+mode|developer\s+mode\s+(?:on|enabled)"),
 ]
+#: What a folded text must hold, any of them, for a pattern to match: cheaper to look for than the pattern.
+NEEDS = {
+    "ignore-previous": ["previous"], "olvida-anteriores": ["olvida"], "ignora-anteriores": ["ignora"], "fake-tag": ["<"], "new-instructions": ["new instruction"], "nuevas-instrucciones": ["nuevas instruccione"],
+    "role-override-en": ["you are now"], "role-override-es": ["ahora eres"], "reveal-prompt": ["reveal "], "jailbreak-keyword": ["jailbreak", "dan"], "fake-delimiter": ["###"],
+    "document_instruction_to_evaluator": ["debe"], "document_instruction_to_evaluator_direct": ["debe", "tiene"], "document_instruction_to_evaluator_en": ["advisor", "reviewer", "analyst", "evaluator", "system"],
+    "document_self_validating": ["cumple"], "document_citation_poisoning_es": ["interpretaciones"], "document_citation_poisoning_en": ["interpretations"], "document_authorize_exception": ["autoriza"], "document_authorize_exception_en": ["explicitly"],
+    "document_meta_inject_es": ["anterior"], "document_meta_inject_en": ["previous"], "document_role_override_es": ["abogado"], "document_role_override_en": ["lawyer"], "document_data_exfiltration": ["informaci"], "document_jailbreak_chain": ["mode"],
+}
 #: Kinds of personal data in order of precedence, their patterns and placeholders.
 PII_PATTERNS = [
     ("email", r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "[EMAIL]"),
@@ -51,7 +61,14 @@ _NONE = "cast(array() as array<struct<start:int,width:int,place:int,value:string
 def injection(text: Column, mode: str = "chat") -> Column:
     """The name of the first pattern that occurs, null if none does. Case is ignored in all scripts."""
     patterns = [*(DOCUMENT_PATTERNS if mode == "document" else []), *CHAT_PATTERNS]
-    return F.coalesce(*[F.when(text.rlike(f"(?iuU){p}"), F.lit(name)) for name, p in patterns])
+    # letters that a pattern takes for one another are one here: upper case before lower, and no dot above
+    folded = F.translate(F.lower(F.upper(text)), "\u0307", "")
+
+    def first(low: Column) -> Column:
+        may = lambda name: reduce(Column.__or__, [low.contains(w) for w in NEEDS[name]])
+        return F.coalesce(*[F.when(may(name) & text.rlike(f"(?iuU){p}"), F.lit(name)) for name, p in patterns])
+
+    return F.element_at(F.transform(F.array(folded), first), 1)
 
 
 def matches(text: Column, pattern: str, place: int) -> Column:

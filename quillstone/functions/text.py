@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -197,3 +198,25 @@ def packed(units: Column, cap: int) -> Column:
         )
 
     return F.aggregate(units, begin, add, lambda a: F.when(F.size(a["held"]) > 0, flushed(a)).otherwise(a["done"]))
+
+
+def exact_tokens(load) -> Callable[[Column], Column]:
+    """A column function from a loader of tokenizers: load() gives a function from a list of texts to their counts, once a task."""
+
+    @F.pandas_udf(T.LongType())
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = load()
+        for part in texts:
+            yield pd.Series(of(part.fillna("").tolist()), index=part.index)
+
+    return count
+
+
+def article_matches(article_id: Column, expected: Column) -> Column:
+    """Equal, or a part of the expected article."""
+    return (article_id == expected) | article_id.startswith(F.concat(expected, F.lit(".")))
+
+
+def signed(delta: Column) -> Column:
+    """A difference with its sign and two places."""
+    return F.format_string("%+.2f", delta)

@@ -93,3 +93,13 @@ def stale(manifest: DataFrame, model: str, force: bool = False) -> DataFrame:
 def numeric_first(article: str):
     """Order of articles: numbers by value, then all else."""
     return [F.coalesce(F.expr(f"try_cast({article} as int)"), F.lit(10**9)), F.col(article)]
+
+
+def stats(manifest: DataFrame, by: str, model: str) -> DataFrame:
+    """by, n_articles, n_chunks, n_embedded and n_stale, of entries (by, chunks array, embedding_model)."""
+    return manifest.groupBy(by).agg(F.count("*").alias("n_articles"), F.sum(F.size("chunks")).alias("n_chunks"), F.count("embedding_model").alias("n_embedded"), F.count_if((F.size("chunks") == 0) | ~F.col("embedding_model").eqNullSafe(model)).alias("n_stale"))
+
+
+def summary(changes: DataFrame) -> DataFrame:
+    """corpus and how many articles were added, removed, changed and left unchanged, of changes (corpus, status)."""
+    return changes.groupBy("corpus").agg(*[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("added", "removed", "changed", "unchanged")])

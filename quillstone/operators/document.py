@@ -106,3 +106,8 @@ def analyze(raw: DataFrame, verdicts: DataFrame, max_tokens: int = 1500) -> Data
         *[F.when(~held, F.coalesce(c, F.lit(0))).alias(c) for c in ("n_pass", "n_block", "n_review", "n_inj")],
         screening.pii_counts(screening.pii_spans(F.coalesce("clean_text", F.lit("")))).alias("pii"),
     )
+
+
+def category_counts(found: DataFrame) -> DataFrame:
+    """doc_id, category and n, of what events() finds."""
+    return found.groupBy("doc_id", "category").agg(F.count("*").alias("n"))

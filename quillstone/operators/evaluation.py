@@ -89,11 +89,11 @@ def no_answer_class(answer: Column, sentinel: str = "(backend error)") -> tuple[
     return name, sure
 
 
-def intervention(counts: DataFrame) -> DataFrame:
-    """class and n to one row: the class that recommends what to do, the first whose share of all passes its threshold in percent; mixed without one, none without cases."""
+def intervention(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """class and n to one row, or one for each of by: the class that recommends what to do, the first whose share of all passes its threshold in percent; mixed without one, none without cases."""
     rules = [("refusal", 50), ("analyst_raise", 30), ("transport_error", 30), ("prose_without_findings", 50), ("other", 30)]
     share = lambda name: F.coalesce(F.sum(F.when(F.col("class") == name, F.col("n"))), F.lit(0)) * 100 / F.sum("n")
-    return counts.agg(F.coalesce(F.when(F.coalesce(F.sum("n"), F.lit(0)) == 0, "none"), *[F.when(share(name) > least, name) for name, least in rules], F.lit("mixed")).alias("recommendation"))
+    return counts.groupBy(*(by or [])).agg(F.coalesce(F.when(F.coalesce(F.sum("n"), F.lit(0)) == 0, "none"), *[F.when(share(name) > least, name) for name, least in rules], F.lit("mixed")).alias("recommendation"))
 
 
 def mechanism(verdict: Column, n_emitted: Column, n_invalid: Column) -> Column:
@@ -130,3 +130,85 @@ def completed_rate(blocked: Column, timeout: Column, error: Column) -> Column:
     """Blocked attacks among those that ran to their end, 0 if none did."""
     done = F.count("*") - F.count_if(timeout) - F.count_if(error)
     return F.when(done > 0, F.count_if(blocked) / done).otherwise(0.0)
+
+
+def results(gold: DataFrame, answers: DataFrame) -> DataFrame:
+    """A row a case: gold (case_id, expected array, expected_verdict, acceptable_verdicts array or null, expected_severity or null) with what
+    answers (case_id, emitted array, verdict, severity or null) gave; a case without an answer has emitted nothing."""
+    met = gold.join(answers, "case_id", "left")
+    emitted = F.coalesce("emitted", F.array().cast("array<string>"))
+    p, r = precision_recall(emitted, F.col("expected"))
+    return met.select(
+        *gold.columns,
+        emitted.alias("emitted"),
+        "verdict",
+        "severity",
+        p.alias("citation_precision"),
+        r.alias("citation_recall"),
+        acceptable(F.col("verdict"), F.col("expected_verdict"), F.col("acceptable_verdicts")).alias("verdict_match"),
+        F.when(F.col("expected_severity").isNotNull(), F.coalesce(F.col("severity") == F.col("expected_severity"), F.lit(False))).alias("severity_match"),
+    )
+
+
+def acceptable(actual: Column, expected: Column, also: Column) -> Column:
+    """Whether a verdict is the expected one or, where a list says which others are, one of those; never for null."""
+    return F.coalesce((actual == expected) | F.coalesce(F.array_contains(also, actual), F.lit(False)), F.lit(False))
+
+
+def recount(runs: DataFrame, whitelist: DataFrame) -> DataFrame:
+    """runs (case_id, verdict, verdict_match) with verdict_match counted anew for cases of the whitelist (case_id, acceptable array)."""
+    met = runs.join(whitelist.select("case_id", F.col("acceptable").alias("__ok")), "case_id", "left")
+    return met.withColumn("verdict_match", F.when(F.col("__ok").isNotNull(), F.coalesce(F.array_contains("__ok", F.col("verdict")), F.lit(False))).otherwise(F.col("verdict_match"))).drop("__ok")
+
+
+def run_means(cases: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Plain means of columns by run, cases that expect nothing among them."""
+    return cases.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
+
+
+def change_counts(deltas: DataFrame, flat: float = 0.005) -> DataFrame:
+    """One row: how many metrics improved, stayed flat and regressed."""
+    kind = change(F.col("delta"), flat)
+    return deltas.agg(*[F.count_if(kind == k).alias(f"n_{k}") for k in ("improved", "flat", "regressed")])
+
+
+def emitted_of_segments(segments: DataFrame) -> DataFrame:
+    """case_id and the distinct keys that a document's segments (case_id, emitted array or null) emit, in order."""
+    return segments.groupBy("case_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("emitted")))).alias("emitted"))
+
+
+def in_pool(expected: Column, pool: Column) -> tuple[Column, Column]:
+    """Of expected keys those that a pool has, and those that it lacks."""
+    return F.array_intersect(expected, pool), F.array_except(expected, pool)
+
+
+def first_severity(findings: Column) -> Column:
+    """The severity of the first finding; null without one."""
+    return F.try_element_at(findings, F.lit(1))["severity"]
+
+
+def cached_answers(cases: DataFrame, cache: DataFrame) -> DataFrame:
+    """cases (query, …) with the answer and file that the first file of a cache (query, actual_answer, file) has for their query."""
+    first = cache.groupBy("query").agg(F.min_by("actual_answer", "file").alias("actual_answer"), F.min("file").alias("file"))
+    return cases.join(first, "query", "left")
+
+
+def first_cases(cases: DataFrame, n: int) -> DataFrame:
+    """Of cases (case_id, mode) the first n chats and the first n // 3 documents by id."""
+    part = lambda mode, k: cases.where(F.col("mode") == mode).orderBy("case_id").limit(k)
+    return part("chat", n).unionByName(part("doc", n // 3))
+
+
+def crosstab(rows: DataFrame, of: str, kind: str) -> DataFrame:
+    """of, kind, n and its share of all rows with the same of."""
+    counts = rows.groupBy(of, kind).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(of)))
+
+
+def merged(header: DataFrame, *reports: DataFrame) -> DataFrame:
+    """Cases of several reports under one header (a row): each with the header's columns and the number of its report."""
+    every = [r.withColumn("report", F.lit(i)) for i, r in enumerate(reports)]
+    out = every[0]
+    for r in every[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.crossJoin(F.broadcast(header.limit(1)))

@@ -116,3 +116,14 @@ def first_hit(ranked: DataFrame, hit: Column) -> DataFrame:
 def with_header(hits: DataFrame, headers: DataFrame, group: str = "grp") -> DataFrame:
     """hits with the columns of their own group's header."""
     return hits.join(headers, group)
+
+
+def first_of_each(ranked: DataFrame, key: str) -> DataFrame:
+    """The best row a query of each key, in order of rank, ranks anew from 1."""
+    best = cap(ranked, [key], 1)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+
+
+def pool_counts(ranked: DataFrame, group: str = "grp") -> DataFrame:
+    """How many rows of each group a query's pool has."""
+    return ranked.groupBy("query_id", group).agg(F.count("*").alias("n"))

@@ -93,3 +93,8 @@ def documents(segments: DataFrame) -> DataFrame:
     part = lambda label, k, when: F.when(when, F.concat(F.lit(f"{label}:["), F.col(f"{k}_ids"), F.lit("]")))
     reason = F.concat_ws(" | ", part("block_in_segments", "block", F.col("n_block") > 0), part("injection_skipped", "inj", F.col("n_inj") > 0), part("review_in_segments", "review", (F.col("n_review") > 0) & ~hard))
     return out.select("doc_id", F.when(hard, BLOCK).when(F.col("n_review") > 0, REVIEW).otherwise(PASS).alias("verdict"), F.nullif(reason, F.lit("")).alias("reason"), "n_pass", "n_block", "n_review", "n_inj")
+
+
+def divergence(panels: DataFrame) -> DataFrame:
+    """One row over panels (verdict, agreement): how many there are, disagree with a pass, block without exception, or lacked a judge."""
+    return panels.agg(F.count("*").alias("n_total"), F.count_if(F.col("verdict") != PASS).alias("n_diverged"), F.count_if((F.col("verdict") == BLOCK) & (F.col("agreement") == "unanimous")).alias("n_unanimous_block"), F.count_if(F.col("agreement") == "degraded").alias("n_degraded"))

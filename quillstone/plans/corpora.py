@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import content_hash, detect_language, redact_ip
-from quillstone.operators import audit, corpus
+from quillstone.operators import audit, corpus, evaluation
 from quillstone.streaming import audit as stream
 
 from .catalog import query
@@ -83,9 +83,7 @@ def expand_targets(table):
 def manifest_stats(table):
     li = table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list("l_linenumber").alias("chunks"))
     m = table("orders").join(li, "o_orderkey", "left").select("o_orderstatus", F.coalesce("chunks", F.array().cast("array<int>")).alias("chunks"), F.when(F.col("o_orderpriority").like("1%"), "m").alias("embedding_model"))
-    stale = corpus.stale(m, "m").groupBy("o_orderstatus").agg(F.count("*").alias("n_stale"))
-    out = m.groupBy("o_orderstatus").agg(F.count("*").alias("n_articles"), F.sum(F.size("chunks")).alias("n_chunks"), F.count("embedding_model").alias("n_embedded"))
-    return out.join(stale, "o_orderstatus", "left").select(F.col("o_orderstatus").alias("status"), "n_articles", "n_chunks", "n_embedded", F.coalesce("n_stale", F.lit(0)).alias("n_stale"))
+    return corpus.stats(m, "o_orderstatus", "m").withColumnRenamed("o_orderstatus", "status")
 
 
 def _log(table):
@@ -205,7 +203,5 @@ def health(table):
 
 @query("SELECT lang, text_lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 6) AS share FROM (SELECT lang, CASE WHEN regexp_matches(text, '[áéíóúñ¿¡]') THEN 'es' ELSE 'en' END AS text_lang FROM documents) GROUP BY lang, text_lang")
 def cross_tab(table):
-    from pyspark.sql import Window
-
-    counts = table("documents").groupBy("lang", detect_language(F.col("text")).alias("text_lang")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("lang")), 6))
+    own = table("documents").select("lang", detect_language(F.col("text")).alias("text_lang"))
+    return evaluation.crosstab(own, "lang", "text_lang").withColumn("share", F.round("share", 6))

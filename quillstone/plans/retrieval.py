@@ -101,7 +101,7 @@ def first_hit_rank(table):
 
 @query(f"WITH {_KNN} SELECT query_id, grp, count(*) AS n FROM ranked GROUP BY ALL")
 def pool_counts(table):
-    return _pool(table).groupBy("query_id", "grp").agg(F.count("*").alias("n"))
+    return retrieval.pool_counts(_pool(table))
 
 
 @query("""

@@ -102,7 +102,7 @@ def council_bind(table):
 
 @query(f"WITH {_PANEL} SELECT count(*) AS n_total, count(*) FILTER (verdict <> 'pass') AS n_diverged, count(*) FILTER (verdict = 'block' AND agreement = 'unanimous') AS n_unanimous_block, count(*) FILTER (agreement = 'degraded') AS n_degraded FROM panel")
 def council_divergence(table):
-    return verdict.council(_votes(table)).agg(F.count("*").alias("n_total"), F.count_if(F.col("verdict") != "pass").alias("n_diverged"), F.count_if((F.col("verdict") == "block") & (F.col("agreement") == "unanimous")).alias("n_unanimous_block"), F.count_if(F.col("agreement") == "degraded").alias("n_degraded"))
+    return verdict.divergence(verdict.council(_votes(table)))
 
 
 _CASES = """

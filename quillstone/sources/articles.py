@@ -177,9 +177,19 @@ def from_pdf_text(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def outline(text: Column) -> Column:
-    """array<struct<level, title>> of Markdown headings that begin with #; underlined ones aren't read."""
-    found = F.filter(F.split(text, LINE_END), lambda s: s.rlike(r"^ {0,3}#{1,6}\s+\S"))
-    return F.transform(found, lambda s: F.struct(F.length(F.regexp_extract(s, "^ *(#+)", 1)).alias("level"), F.trim(F.regexp_replace(s, r"^ *#+\s+|\s+#+\s*$", "")).alias("title")))
+    """array<struct<level, title>> of Markdown headings: lines that begin with #, and lines underlined with = (level 1) or - (level 2), in order."""
+    lines = F.split(text, LINE_END)
+    bare = lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    hashed = lambda s: F.struct(F.length(F.regexp_extract(s, "^ *(#+)", 1)).alias("level"), F.trim(F.regexp_replace(s, r"^ *#+\s+|\s+#+\s*$", "")).alias("title"))
+    under = lambda s, i: F.coalesce(F.get(lines, i + 1), F.lit(""))
+    is_hashed = lambda s: s.rlike(r"^ {0,3}#{1,6}\s+\S")
+    is_under = lambda s, i: (bare(s) != "") & ~s.rlike(r"^ {4}|^ {0,3}(?:#{1,6}\s|[-=]+\s*$|>|[*+-]\s)") & under(s, i).rlike(r"^ {0,3}(?:=+|-+)\s*$")
+
+    def heading(s: Column, i: Column) -> Column:
+        of_two = F.struct(F.when(under(s, i).rlike("="), 1).otherwise(2).alias("level"), bare(s).alias("title"))
+        return F.when(is_hashed(s), hashed(s)).when(is_under(s, i), of_two)
+
+    return F.filter(F.transform(lines, heading), lambda h: h.isNotNull())
 
 
 def processed_json(spark, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ dictionary  one row: dict_hash (SHA-256 in hex of the dictionary's bytes, empty
             dictionary trained on id arrays so serialized), end_id, tokenizer (the vocabulary file's name)
 blocks      shard, block: documents come in ascending order of id, shard by shard and block by block
             first_id, last_id, n_docs, n_tokens: what the block holds; start_in_shard: ids before it in its shard
+            n_null: how many documents, the block's first ones, have no id (0 stands for it in doc_ids)
             dict_hash: the dictionary that its frames need
             doc_ids: signed 64-bit; lengths: unsigned 32-bit, ids of each document; offsets: unsigned 64-bit,
             n_docs + 1 places of frames in data; data: one zstandard frame for each document, of its ids as
@@ -33,8 +34,7 @@ from pyspark.sql import types as T
 from .common import first_by_hash, ship
 from .tokens import Ids, ids_of
 
-BLOCK = "shard long, block long, first_id long, last_id long, n_docs long, n_tokens long, start_in_shard long, dict_hash string, doc_ids binary, lengths binary, offsets binary, data binary"
-_NO_ID = -(1 << 63)
+BLOCK = "shard long, block long, first_id long, last_id long, n_docs long, n_tokens long, n_null long, start_in_shard long, dict_hash string, doc_ids binary, lengths binary, offsets binary, data binary"
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 2, sample: int = 512, longest: int = 16_384, size: int = 65_536) -> bytes:
@@ -63,15 +63,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id
         tokens, end, shard, block = ids_of(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
         before = 0
         press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
-        ids: list[int] = []
+        ids: list[int | None] = []
         lengths: list[int] = []
         frames: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal block, before
             offsets = np.cumsum([0, *map(len, frames)]).astype("<u8")
-            row = [shard, block, ids[0], ids[-1], len(ids), sum(lengths), before, dict_hash, np.array(ids, "<i8").tobytes(), np.array(lengths, "<u4").tobytes(), offsets.tobytes(), b"".join(frames)]
-            kinds = [*[pa.int64()] * 7, pa.string(), *[pa.binary()] * 4]
+            known = [i for i in ids if i is not None]
+            row = [shard, block, known[0] if known else None, known[-1] if known else None, len(ids), sum(lengths), len(ids) - len(known), before, dict_hash, np.array([0] * (len(ids) - len(known)) + known, "<i8").tobytes(), np.array(lengths, "<u4").tobytes(), offsets.tobytes(), b"".join(frames)]
+            kinds = [*[pa.int64()] * 8, pa.string(), *[pa.binary()] * 4]
             block += 1
             before += sum(lengths)
             for x in (ids, lengths, frames):
@@ -80,7 +81,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id
 
         held = 0
         for batch in batches:
-            own = batch.column(0).fill_null(_NO_ID).to_pylist()
+            own = batch.column(0).to_pylist()
             texts = batch.column(1)
             for i in range(0, len(own), 64):
                 for d, b in zip(own[i : i + 64], tokens.encode_all([t or "" for t in texts.slice(i, 64).to_pylist()]), strict=True):
@@ -120,12 +121,12 @@ def _documents(blocks: DataFrame, of: tuple[str, bytes], before: dict[int, int],
                 ids, lengths = np.frombuffer(b["doc_ids"], "<i8"), np.frombuffer(b["lengths"], "<u4").astype(np.int64)
                 offsets, data = np.frombuffer(b["offsets"], "<u8").astype(np.int64), memoryview(b["data"])
                 starts = np.cumsum(lengths) - lengths + b["start_in_shard"] + before[b["shard"]]
-                at = np.arange(len(ids)) if only is None else np.flatnonzero(np.isin(ids, list(only)))
+                at = np.arange(len(ids)) if only is None else np.flatnonzero(np.isin(ids, list(only)) & (np.arange(len(ids)) >= b["n_null"]))
                 for i in range(0, len(at), 256):
                     own = at[i : i + 256]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(ids[own], pa.int64(), mask=ids[own] == _NO_ID),
+                            pa.array(ids[own], pa.int64(), mask=own < b["n_null"]),
                             pa.array(starts[own], pa.int64()),
                             pa.array(lengths[own], pa.int64()),
                             pa.array([open_.decompress(data[offsets[j] : offsets[j + 1]]) for j in own.tolist()], pa.binary()),
@@ -133,7 +134,7 @@ def _documents(blocks: DataFrame, of: tuple[str, bytes], before: dict[int, int],
                         names=[f.split()[0] for f in fields.split(", ")],
                     )
 
-    return blocks.select("shard", "start_in_shard", "dict_hash", "doc_ids", "lengths", "offsets", "data").mapInArrow(run, fields)
+    return blocks.select("shard", "start_in_shard", "dict_hash", "n_null", "doc_ids", "lengths", "offsets", "data").mapInArrow(run, fields)
 
 
 def _before(blocks: DataFrame) -> dict[int, int]:

@@ -37,6 +37,15 @@ def test_store_round_trip(spark, tmp_path):
     assert sorted(r.doc_id for r in token_store.read_documents(spark, path, [4, 6, 99]).collect()) == [4, 4, 6]
 
 
+def test_ids_at_the_ends_of_their_range(spark, tmp_path):
+    least, most = -(1 << 63), (1 << 63) - 1
+    docs = spark.createDataFrame([(None, "a"), (least, "b"), (None, "c"), (most, "d"), (0, "e")], "doc_id long, text string")
+    path = f"file://{tmp_path}/ends"
+    token_store.write(docs, path, WORDS, block_docs=2)
+    assert sorted((str(r.doc_id) for r in token_store.read(spark, path).collect())) == sorted(map(str, [None, None, least, most, 0]))
+    assert [r.doc_id for r in token_store.read_documents(spark, path, [0, most]).orderBy("doc_id").collect()] == [0, most]
+
+
 def docs_col():
     from pyspark.sql import functions as F
 

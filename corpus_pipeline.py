@@ -7,12 +7,30 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import decontamination, langid, near, packing, pii
-from quillstone.llm.common import fold, stored, without
+from quillstone.llm.common import fold, stored
+
+
+#: Columns that stages read or change; all others pass through them under names that no operator uses.
+OWN = ("doc_id", "text", "lang", "n_chars")
+
+
+def _apart(stage: Callable) -> Callable:
+    """The stage with the columns of docs that it doesn't read out of its way, so that none clashes with its own."""
+
+    @wraps(stage)
+    def run_apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in OWN else f"__q_own_{i}" for i, c in enumerate(docs.columns)}
+        return stage(spark, docs.withColumnsRenamed(names), sf_dir).withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run_apart
 
 
 def _with_text(docs: DataFrame, made: DataFrame, text: str) -> DataFrame:
@@ -22,24 +40,28 @@ def _with_text(docs: DataFrame, made: DataFrame, text: str) -> DataFrame:
     return made.select(*[columns.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
+@_apart
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go. Without labelled text nothing has a language, and letters alone decide."""
     model = langid.sample(docs, fold("doc_id", 4) != 2)
-    found = langid.identify(without(docs, ["lang_pred", "score"]), model)
+    found = langid.identify(docs, model)
     return found.where(F.col("lang_pred") != "und" if model else F.col("text").rlike(r"\p{L}")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@_apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by similarities of 0.8 or more of word 5-grams, the one with the smallest id stays."""
     return near.keep_one(docs, near.join(docs))
 
 
+@_apart
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items go; so do documents with more than half of their words in such passages."""
     hits = decontamination.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _with_text(docs, decontamination.clean(hits).where("keep"), "clean_text")
 
 
+@_apart
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to surrogates."""
     return _with_text(docs, pii.replace(docs, "pipeline-key"), "surrogate_text")

@@ -64,7 +64,7 @@ def allowed(requested: Column, allowlist: Column) -> Column:
 
 def cost(usage: DataFrame, prices: DataFrame, eur: float = EUR_MODELS) -> DataFrame:
     """usage (model, tokens_in, tokens_out) with cost_eur; unknown models cost nothing. prices: model, usd_in, usd_out."""
-    met = usage.join(F.broadcast(prices), "model", "left")
+    met = usage.join(prices, "model", "left")
     usd = F.col("tokens_in") / 1e6 * F.col("usd_in") + F.col("tokens_out") / 1e6 * F.col("usd_out")
     return met.withColumn("cost_eur", F.coalesce(usd * eur, F.lit(0.0))).drop("usd_in", "usd_out")
 

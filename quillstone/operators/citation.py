@@ -25,7 +25,8 @@ def audit(citations: DataFrame, articles: DataFrame, paragraphs: DataFrame, min_
     of_paragraph = paragraphs.select(*keys, F.col("apartado").alias("__apartado"), normalize(F.col("text")).alias("__paragraph"), F.lit(True).alias("__p"))
     met = citations.join(of_article, keys, "left")
     met = met.join(of_paragraph.withColumnsRenamed({k: f"__{k}" for k in keys}), (F.col("apartado") == F.col("__apartado")) & (F.col("norma") == F.col("__norma")) & (F.col("articulo") == F.col("__articulo")) & (F.col("language") == F.col("__language")), "left")
-    quote = normalize(F.col("text"))
+    met = met.withColumn("__quote", normalize(F.col("text")))  # once, for its length and for the match
+    quote = F.col("__quote")
     article = F.coalesce("__a", F.lit(False))
     paragraph = F.when(F.col("apartado").isNotNull(), article & F.coalesce("__p", F.lit(False)))
     match = F.coalesce(F.contains(F.when(F.col("apartado").isNull(), F.col("__article")).otherwise(F.col("__paragraph")), quote), F.lit(False))

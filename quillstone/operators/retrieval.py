@@ -40,18 +40,28 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, condition: Column | None =
     before ranking, so that a filter never leaves fewer than k rows where more fit. A block of queries is broadcast, and
     rows are never shuffled before the best k of each task are known.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     found = []
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+    for own in in_blocks(queries):
         met = rows.join(F.broadcast(own), condition if condition is not None else F.lit(True))
         near = met.withColumn("distance", squared_distance(F.col("query"), F.col("vector"))).drop("query")
         found.append(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
     return reduce(DataFrame.unionByName, found)
 
 
+def in_blocks(queries: DataFrame) -> list[DataFrame]:
+    """queries (query_id, …) in parts of about QUERY_BLOCK rows, each small enough to broadcast."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    return [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def best_by_score(queries: DataFrame, rows: DataFrame, score: Column, k: int, *ties: str) -> DataFrame:
+    """The columns of queries and rows, score and rank of the k rows of highest score a query, equal ones by ties; queries come in blocks."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), *ties)
+    met = [rows.join(F.broadcast(own), F.lit(True)).withColumn("score", score) for own in in_blocks(queries)]
+    return reduce(DataFrame.unionByName, [m.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) for m in met])
+
+
 def token_overlap(question: Column, passage: Column) -> Column:
     """A stand-in for a reranking model: the share of the question's distinct words that the passage has."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\W+"), lambda w: w != ""))

@@ -106,15 +106,12 @@ def pool_counts(table):
 
 @query("""
     WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda w: w <> '')) AS qs FROM benchmark WHERE item_id % 100 = 0),
-         p AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda w: w <> '')) AS ps FROM conversations WHERE role = 'user'),
+         p AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda w: w <> '')) AS ps FROM conversations),
          s AS (SELECT item_id, conv_id, turn, round(len(list_intersect(qs, ps)) / len(qs), 6) AS score FROM q, p)
     SELECT item_id, conv_id, turn, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id, turn) AS INTEGER) AS rank FROM s QUALIFY rank <= 5
 """)
 def token_overlap_rerank(table):
-    from pyspark.sql import Window
-
-    q = table("benchmark").where("item_id % 100 = 0").select("item_id", F.col("text").alias("q"))
-    p = table("conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("p"))
-    scored = p.crossJoin(F.broadcast(q)).select("item_id", "conv_id", "turn", F.round(retrieval.token_overlap(F.col("q"), F.col("p")), 6).alias("score"))
-    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "conv_id", "turn")
-    return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 5")
+    q = table("benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    p = table("conversations").select("conv_id", "turn", F.col("text").alias("p"))
+    score = F.round(retrieval.token_overlap(F.col("q"), F.col("p")), 6)
+    return retrieval.best_by_score(q, p, score, 5, "conv_id", "turn").select(F.col("query_id").alias("item_id"), "conv_id", "turn", "score", "rank")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
@@ -42,7 +43,7 @@ class Ids:
         """parts with the space that was before them."""
         whole, halves = [], []
         for p in parts:
-            if (m := _TAIL.fullmatch(p)) and not (m[2][0] == "'"):
+            if (m := _TAIL.fullmatch(p)) and (p.isascii() or unicodedata.normalize("NFC", m[1].lower()).isalpha()):
                 halves.append((p, m[1], m[2]))
             else:
                 whole.append(p)

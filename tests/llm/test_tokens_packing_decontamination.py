@@ -168,3 +168,12 @@ def test_items_of_one_word_and_no_items(spark):
 
 def test_crc_of_ids(spark):
     assert spark.sql("select crc32(unhex('0100000002000000')) as c").first().c == zlib.crc32(np.array([1, 2], "<u4").tobytes())
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_odd_texts(name):
+    """Letters that become a letter and a mark, newlines and other white space between parts: as the tokenizer has them."""
+    ids = Ids(public_tokenizers.path(name))
+    texts = ["İ. İ.", "x क़. y", "a\nb c\nd.\ne", "\na\n b", "a \nb", "'s\n's it'\n's", "a\t b\t\nc d", "x\x1c y\x85z", "", " ", "a ", " a", "a  b \n", "one\ntwo\nthree!\n!four", "中文\né ß!\n"]
+    for some in (texts, [" ".join(texts)], texts[::-1]):
+        assert ids.encode_all(some) == [ids.encode(t) for t in some]

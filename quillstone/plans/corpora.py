@@ -10,15 +10,16 @@ from quillstone.streaming import audit as stream
 
 from .catalog import query
 
-_OLD = "SELECT CAST(doc_id AS VARCHAR) AS article_id, lang AS language, 'sha256:' || sha256(text) AS hash FROM documents WHERE doc_id % 10 <> 1"
-_NEW = "SELECT CAST(doc_id AS VARCHAR) AS article_id, lang AS language, 'sha256:' || sha256(CASE WHEN doc_id % 10 = 3 THEN text || ' ' ELSE text END) AS hash FROM documents WHERE doc_id % 10 <> 2"
+_OLD = "SELECT CASE WHEN doc_id % 10 = 1 THEN 'was-' ELSE '' END || doc_id AS article_id, lang AS language, 'sha256:' || sha256(text) AS hash FROM documents"
+_NEW = "SELECT CASE WHEN doc_id % 10 = 2 THEN 'new-' ELSE '' END || doc_id AS article_id, lang AS language, 'sha256:' || sha256(CASE WHEN doc_id % 10 = 3 THEN text || ' ' ELSE text END) AS hash FROM documents"
 
 
 def _entries(table, old: bool):
-    """Two states of a manifest: each lacks some documents, and some have changed."""
-    d = table("documents").where(F.col("doc_id") % 10 != (1 if old else 2))
+    """Two states of a manifest, of all documents: some have another id in one of them, and some have changed."""
+    d = table("documents")
+    other = F.when(F.col("doc_id") % 10 == (1 if old else 2), "was-" if old else "new-").otherwise("")
     text = F.col("text") if old else F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
-    return d.select(F.col("doc_id").cast("string").alias("article_id"), F.col("lang").alias("language"), content_hash(text).alias("hash"), text.alias("text"))
+    return d.select(F.concat(other, F.col("doc_id").cast("string")).alias("article_id"), F.col("lang").alias("language"), content_hash(text).alias("hash"), text.alias("text"))
 
 
 @query(f"""

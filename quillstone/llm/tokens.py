@@ -2,9 +2,10 @@
 
 Both vocabularies split a text before a single space that other characters surround, and no merge crosses such
 a split; so the ids of a text are those of its parts, one after the other. A newline between two characters that
-aren't white space is a piece of its own in one vocabulary and leaves no id in the other, so that parts are cut
-there as well. Parts recur, and their ids are kept. Arrow splits the texts, so that Python sees each different part
-of a batch once. Texts with other runs of white space beside a space go to the tokenizer whole.
+aren't white space is a piece of its own in one vocabulary, so that parts are cut there as well; in the other all white
+space only parts words and leaves no id, so that a newline is as good as a space. Parts recur, and their ids are kept.
+Arrow splits the texts, so that Python sees each different part of a batch once. Where white space has ids, texts with
+other runs of it beside a space go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -99,7 +100,10 @@ class Ids:
             self.bare = {}
         if len(self.ends) > self.keep:
             self.ends = {}
-        whole = [_BESIDE.search(t) is not None for t in texts]
+        if self.newline:
+            whole = [_BESIDE.search(t) is not None for t in texts]
+        else:  # white space only parts words, whatever it is
+            whole, texts = [False] * len(texts), [t.replace("\n", " ") for t in texts]
         cut = [("", "", "") if w else t.partition(" ") for t, w in zip(texts, whole, strict=True)]
         if firsts := {first for first, _, _ in cut}.difference(self.bare):
             self._learn(firsts, self.bare, "")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import first_by_hash, ship
+from .common import first_by_hash, ship, slices
 from .tokens import Ids, ids_of
 
 BLOCK = "shard long, block long, first_id long, last_id long, n_docs long, n_tokens long, n_null long, start_in_shard long, dict_hash string, doc_ids binary, lengths binary, offsets binary, data binary"
@@ -81,10 +81,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id
 
         held = 0
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            texts = batch.column(1)
-            for i in range(0, len(own), 64):
-                for d, b in zip(own[i : i + 64], tokens.encode_all([t or "" for t in texts.slice(i, 64).to_pylist()]), strict=True):
+            for part, texts in slices(batch, batch.column(1).cast(pa.string()).fill_null(""), 2 << 20):
+                for d, b in zip(part.column(0).to_pylist(), tokens.encode_all(texts.to_pylist()), strict=True):
                     ids.append(d)
                     lengths.append(len(b) // 4 + 1)
                     frames.append(press.compress(b + end))

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,3 +133,21 @@ def map_texts(docs: DataFrame, text: str, fields: list[T.StructField], make: Cal
                 yield pa.RecordBatch.from_arrays([*piece.columns, *work(texts)], names=names)
 
     return kept.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in kept.schema), *fields]))
+
+
+def ranked(df: DataFrame, group: str, order: list[Column], rank: str, size: str, name: str) -> DataFrame:
+    """df, stored, with the place of each row in its group (from 0, nulls first, in the order given) and the group's number of rows.
+
+    A group may be any share of df: rows are dealt out by ranges of (group, order), equal ones at random, and numbered where
+    they lie; what each group has in the tasks before is a sum over a row for each task and group. The rank that a row gets is
+    fixed once it's stored. df should be cheap to read: ranges are sampled first.
+    """
+    keys = [F.col(f"`{group}`").asc_nulls_first(), *order]
+    dealt = df.repartitionByRange(*keys, F.rand(17)).sortWithinPartitions(*keys)
+    put = stored(dealt.withColumn("__q_at", F.monotonically_increasing_id()), name)
+    in_task = put.groupBy(F.col(f"`{group}`").alias("__q_g"), F.shiftright("__q_at", 33).alias("__q_t")).agg(F.min("__q_at").alias("__q_first"), F.count("*").alias("__q_n"))
+    own = Window.partitionBy("__q_g")
+    before = F.coalesce(F.sum("__q_n").over(own.orderBy("__q_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = in_task.select("__q_g", "__q_t", "__q_first", before.alias("__q_before"), F.sum("__q_n").over(own).alias("__q_size"))
+    met = put.join(places, F.col(f"`{group}`").eqNullSafe(F.col("__q_g")) & (F.shiftright("__q_at", 33) == F.col("__q_t")))
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__q_at") - F.col("__q_first") + F.col("__q_before")).alias(rank), F.col("__q_size").alias(size))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, near, packing, pii, secrets, token_store, topk, toxicity, urls
-from .common import fold, scratch
+from . import decontamination, langid, manifest, near, packing, pii, runs, secrets, sharding, token_store, topk, toxicity, urls
+from .common import fold, let, scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -92,13 +92,66 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_pii_surrogates, op3_secret_scans, op4_url_filters, op5_exact_top_k, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_best_fit_packing, op9_language_id, op10_token_binary_output)}
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, in which by the contract a tenth of the documents repeat p words from the word a on: both follow from the crc32 of the id."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, at(i))), " ")).otherwise("")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, planted)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(_with_planted_runs(_read(spark, sf_dir, "documents")))
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    found = found.withColumn("longest", F.when(F.size("runs") > 0, longest))
+    length = -F.col("longest.less")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        length.alias("length"),
+        F.col("longest.period").alias("period"),
+        F.expr("-longest.less * 1000 div longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("collapsed_text", F.lit("")).cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    fields = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
+    leaf, cut = manifest.leaf(*fields(F.col("text"))), F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    tampered = (fold("doc_id", 2) == 0) & F.contains(F.col("text"), F.lit("\n"))
+    docs = docs.withColumn("tampered", F.when(tampered, manifest.leaf(*fields(cut))))
+    made = manifest.build(docs, leaf, keep=("tampered",)).withColumn("folded_root", manifest.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    siblings = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(_read(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_pii_surrogates, op3_secret_scans, op4_url_filters, op5_exact_top_k, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_best_fit_packing, op9_language_id, op10_token_binary_output, op11_periodic_runs, op12_merkle_manifest, op13_sharding)}
 
 _BASE = " UNION ALL ".join(
     f"SELECT r, doc_id, {i} AS place, '{kind}' AS kind, {group} AS grp, {least} AS least, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS gaps FROM d"
     for i, (kind, p, group, least) in enumerate((k, p.replace("'", "''"), g, n) for k, p, g, n in [*secrets.BASE, ("candidate", secrets.CANDIDATE, 0, 20)])
 )
 
+#: A field of a leaf.
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -180,4 +233,42 @@ ORACLE_SQL: dict[str, str] = {
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_periodic_runs": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, CAST(doc_id AS VARCHAR) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             c AS (SELECT *, len(w) AS n, xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(id, ''), lambda x: [CAST(ord(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) AS h FROM d),
+             g AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM c),
+             p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM g),
+             t AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w FROM p),
+             x AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM t WHERE n > 0),
+             e AS (SELECT a.r, b.i - a.i AS q, a.i AS i FROM x a JOIN x b ON a.r = b.r AND a.w = b.w AND b.i > a.i),
+             k AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS grp FROM e),
+             s AS (SELECT r, q, min(i) AS s, max(i) + q + 1 AS e FROM k GROUP BY r, q, grp HAVING count(*) + q >= greatest(12, 2 * q)),
+             u AS (SELECT r, s, e, min(q) AS q FROM s GROUP BY r, s, e),
+             cut AS (SELECT DISTINCT r, unnest(range(s + q, e)) AS i FROM u),
+             o AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS left_over FROM x ANTI JOIN cut USING (r, i) GROUP BY r),
+             f AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS runs, first(s ORDER BY s - e, s, q) AS s, first(e ORDER BY s - e, s, q) AS e, first(q ORDER BY s - e, s, q) AS q FROM u GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, e - s AS length, q AS period, (e - s) * 1000 // q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(left_over, '')) AS collapsed_sha256
+        FROM t LEFT JOIN f USING (r) LEFT JOIN o USING (r)
+    """,
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE c AS (SELECT *, xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) AS h FROM documents),
+             b AS (SELECT doc_id, source, {" || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars"))} AS head, text, CASE WHEN h % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered FROM c),
+             l AS (SELECT doc_id, source, sha256(head || {_FIELD.format("text")}) AS leaf, sha256(head || {_FIELD.format("tampered")}) AS tampered FROM b),
+             d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM l),
+             v AS (SELECT source, 0 AS h, i, n, leaf AS node FROM d
+                   UNION ALL SELECT source, h + 1, i // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM v WHERE n > 1 GROUP BY source, h, i // 3, n),
+             s AS (SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n, (SELECT max(h) FROM v) AS deep FROM v WHERE n = 1),
+             u AS (SELECT deep, 0 AS h, i, n, subroot AS node FROM s
+                   UNION ALL SELECT deep, h + 1, i // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY deep, h, i // 3, n),
+             a AS (SELECT d.source, d.i, h, string_agg(node, '' ORDER BY v.i) FILTER (v.i < own) AS before, string_agg(node, '' ORDER BY v.i) FILTER (v.i > own) AS after
+                   FROM (SELECT source, i, h, i // CAST(pow(3, h) AS BIGINT) AS own FROM d, (SELECT DISTINCT h FROM v)) d JOIN v USING (h) WHERE d.source IS NOT DISTINCT FROM v.source AND v.i // 3 = own // 3 AND v.n > 1 GROUP BY ALL),
+             z AS (SELECT s.source, h + deep + 1 AS h, string_agg(node, '' ORDER BY u.i) FILTER (u.i < own) AS before, string_agg(node, '' ORDER BY u.i) FILTER (u.i > own) AS after
+                   FROM (SELECT source, deep, h, i // CAST(pow(3, h) AS BIGINT) AS own FROM s, (SELECT DISTINCT h FROM u)) s JOIN u USING (deep, h) WHERE u.i // 3 = own // 3 AND u.n > 1 GROUP BY ALL),
+             w AS (SELECT d.source, d.i, list(struct_pack(b := coalesce(before, ''), e := coalesce(after, '')) ORDER BY h) AS way
+                   FROM d JOIN (SELECT * FROM a UNION ALL SELECT d.source, d.i, z.h, z.before, z.after FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source) a ON d.source IS NOT DISTINCT FROM a.source AND d.i = a.i GROUP BY d.source, d.i),
+             p AS (SELECT d.*, coalesce(way, []) AS way FROM d LEFT JOIN w ON d.source IS NOT DISTINCT FROM w.source AND d.i = w.i),
+             f AS (SELECT source, i, way, tampered AS node, 1 AS k FROM p UNION ALL SELECT source, i, way, sha256(way[k].b || node || way[k].e), k + 1 FROM f WHERE k <= len(way))
+        SELECT p.doc_id, p.leaf, s.subroot, r.node AS root, sha256(array_to_string(list_transform(p.way, lambda x: x.b || x.e), '')) AS proof_sha256, f.node AS folded_root, f.node = r.node AS verified
+        FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source JOIN f ON p.source IS NOT DISTINCT FROM f.source AND p.i = f.i AND f.k = len(f.way) + 1 JOIN u r ON r.n = 1
+    """,
 }

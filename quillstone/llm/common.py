@@ -97,11 +97,28 @@ def hash_limit(n: int, of: int) -> int:
     return min(2**63 - 1, int(-(2**63) + min(1.0, (4 * n + 100) / max(of, 1)) * 2**64))
 
 
-def first_by_hash(df: DataFrame, by: Column, n: int, of: int) -> DataFrame:
-    """The n rows of df with the smallest hash of `by`. of: about how many rows df has; rows that can't be among the
-    first go before anything is sorted or sent, so that what moves doesn't grow with df."""
-    near = df.withColumn("__q_hash", F.xxhash64(by)).where(F.col("__q_hash") <= F.lit(hash_limit(n, of)))
-    return near.orderBy("__q_hash", by).limit(n).drop("__q_hash")
+def first_by_hash(df: DataFrame, by: Column, n: int) -> list:
+    """Up to n rows of df with different values of `by`, those of the smallest hashes, in their order; of rows that share a value the least.
+
+    Rows whose hash is too high to be among them go before anything is sorted or sent, by an estimate of how many values there are; where
+    too few are left, all rows are ranked. Copies are counted once, so that they can't fill the sample or empty it.
+    """
+    keyed = df.withColumn("__q_hash", F.xxhash64(by))
+    limit = hash_limit(n, keyed.agg(F.approx_count_distinct("__q_hash").alias("n")).first()["n"])
+
+    def first(rows: DataFrame) -> list:
+        one = rows.groupBy("__q_hash").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row"))
+        return one.orderBy("__q_hash").limit(n).select("row.*").collect()
+
+    rows = first(keyed.where(F.col("__q_hash") <= F.lit(limit)))
+    return rows if len(rows) == n or limit == 2**63 - 1 else first(keyed)
+
+
+def whole_ids(df: DataFrame, column: str) -> None:
+    """Raises TypeError unless the column holds whole numbers of 64 bits at most."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
+        raise TypeError(f"{column}: ids must be whole numbers, not {kind.simpleString()}; number the rows first")
 
 
 def slices(batch: pa.RecordBatch, column: pa.Array, max_bytes: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

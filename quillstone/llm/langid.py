@@ -147,15 +147,21 @@ class CrossParser:
         return pred.tolist(), score
 
 
-def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", chars: int = 40_000, longest: int = 8_000, per_language: int = 60, total: int = 4_000_000) -> dict[str, list[str]]:
-    """Labelled texts, `per_language` different ones of each language in order of a hash, cut off after about `chars` in all: whole ones of at most `longest` characters, and if they are too few the first `longest` of longer ones."""
+def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", chars: int = 40_000, longest: int = 8_000, per_language: int = 60, total: int = 4_000_000, languages: int = 4_000) -> dict[str, list[str]]:
+    """Labelled texts, `per_language` different ones of each language in order of a hash, cut off after about `chars` in all: whole ones of at most `longest` characters, and if they are too few the first `longest` of longer ones.
+
+    No more than `total` characters in all: where languages are many their shares are smaller, and no text of theirs is longer than a share. Of more than
+    `languages` values of lang, those with the most texts are learned."""
     own = docs.where(learn).select(F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t")).where("l is not null and l <> 'und'").where(F.length("t") > 0)
     own = own.select("l", (F.length("t") > longest).alias("cut"), F.substring("t", 1, longest).alias("t")).withColumn("h", F.xxhash64("t"))
     # copies share a hash: n rows, d different whole texts and e beginnings
-    counts = own.groupBy("l", "cut", "h").agg(F.count("*").alias("n")).groupBy("l").agg(F.sum("n").alias("n"), F.count_if(~F.col("cut")).alias("d"), F.count_if("cut").alias("e")).orderBy("l").collect()
+    counts = own.groupBy("l", "cut", "h").agg(F.count("*").alias("n")).groupBy("l").agg(F.sum("n").alias("n"), F.count_if(~F.col("cut")).alias("d"), F.count_if("cut").alias("e")).orderBy(F.desc("n"), "l").limit(languages).collect()
     if not counts:
         return {}
+    counts.sort()
     chars = min(chars, total // len(counts))
+    if chars < longest:
+        own = own.withColumn("t", F.substring("t", 1, chars))
 
     def first(near: DataFrame) -> list:
         order = Window.partitionBy("l").orderBy("cut", "h", "t")

@@ -12,7 +12,7 @@ leave a block, so that a group of n near copies makes no n * n rows.
 With 32 bands of 4 values, a pair at the threshold of 0.8 shares none with a probability of 5e-8.
 
 Edge cases: texts without words, null ones too, have no copies and no links; rows without an id get a null class and no
-links; rows that share an id are one document, with the texts of all; long texts count in full. Input columns beside
+links; rows that share an id count one by one, and of those whose grams are equal too keep_one keeps one; long texts count in full. Input columns beside
 id and text are left out of the result, whatever their names.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, release, ship, stored
+from .common import map_texts, release, ship, stored, whole_ids
 from .words import Words, mix, words
 
 BANDS, ROWS = 32, 4
@@ -185,8 +185,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels.select("node", "label")
 
 
-def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, text: str = "text", doc_id: str = "doc_id", block_docs: int = 512, block_grams: int = 1_000_000) -> DataFrame:
-    """doc_id, class_id (the smallest id connected by links) and n_links (other documents of this similarity, copies included), a row for each row of docs."""
+def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, text: str = "text", doc_id: str = "doc_id", block_docs: int = 512, block_grams: int = 1_000_000, digests: bool = False) -> DataFrame:
+    """doc_id, class_id (the smallest id connected by links), n_links (other documents of this similarity, copies included), a row for each row of docs; with digests also digest (of the set of grams, null without one). Ids must be whole numbers (TypeError else)."""
+    whole_ids(docs, doc_id)
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
@@ -207,7 +208,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float =
 
     kept = map_texts(own, "text", fields, make).select("doc", *(f.name for f in fields))
     signed = stored(kept, "signatures")
-    alone = signed.where("doc is null or digest is null").select(F.col("doc").alias("doc_id"), F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    alone = signed.where("doc is null or digest is null").select(F.col("doc").alias("doc_id"), F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "digest")
     sets = signed.where("doc is not null and digest is not null")
     reps = stored(sets.groupBy("digest", "sig", "grams").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "sets")
 
@@ -270,15 +271,29 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float =
     over = components(results.where("split and doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("doc"), "label")
     classes = reps.select("doc", "digest", "copies").join(linked, "doc", "left").join(over, "doc", "left").groupBy("digest").agg(F.min(F.coalesce("label", "root", "doc")).alias("class_id"), F.min(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # stored, so that both sides of the join are dealt out for it and Spark can split a set that a third of all documents have
-    return sets.select(F.col("doc").alias("doc_id"), "digest").join(stored(classes, "classes"), "digest").select("doc_id", "class_id", "n_links").unionByName(alone)
+    return sets.select(F.col("doc").alias("doc_id"), "digest").join(stored(classes, "classes"), "digest").select("doc_id", "class_id", "n_links", "digest").unionByName(alone).drop(*([] if digests else ["digest"]))
 
 
-def keep_one(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """docs without all but the first document of each class; of rows that share an id, the first in order of their columns stays. Rows without an id stay."""
-    stay = members.where("doc_id = class_id").select(F.col("doc_id").alias(doc_id)).distinct()
+def keep_one(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
+    """docs without all but the first document of each class. Of rows that share an id and their grams, the first in order of their columns stays; rows that share an id alone are judged apart. Rows without an id stay.
+
+    members: what join gave for docs and n, with digests.
+    """
+    first_ones = members.where("doc_id = class_id").select(F.col("doc_id").alias(doc_id), "digest")
     own = docs.where(F.col(f"`{doc_id}`").isNotNull())
     repeated = stored(own.groupBy(doc_id).count().where("count > 1").select(doc_id), "repeated")
-    own = own.join(stay, doc_id, "left_semi")
-    first = own.join(repeated, doc_id, "left_semi").groupBy(doc_id).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__q_row")).select("__q_row.*")
-    known = own.join(repeated, doc_id, "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
-    return known.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
+    once = own.join(first_ones.select(doc_id).distinct(), doc_id, "left_semi").join(repeated, doc_id, "left_anti").select(*docs.columns)
+
+    def make():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            gram, begin = grams(words(texts), n)
+            return [pa.array([_digest(np.unique(gram[x:y])) if y > x else None for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())]
+
+        return work
+
+    # only rows that share an id are read again for what their grams are
+    again = own.join(repeated, doc_id, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__q_row"), F.col(f"`{doc_id}`").cast("long").alias("__q_id"), F.col(f"`{text}`").alias("__q_text"))
+    again = map_texts(again, "__q_text", [T.StructField("__q_digest", T.BinaryType())], make).drop("__q_text")
+    firsts = again.groupBy("__q_id", "__q_digest").agg(F.min("__q_row").alias("__q_row"))
+    kept = firsts.join(first_ones, (F.col("__q_id") == first_ones[doc_id]) & F.col("__q_digest").eqNullSafe(F.col("digest")), "left_semi")
+    return once.unionByName(kept.select("__q_row.*").select(*docs.columns)).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))

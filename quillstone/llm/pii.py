@@ -9,21 +9,24 @@ case and number, check digits fit, a name keeps its gender (by its title; none f
 for: of parts with the same surrogate all but the first, and parts whose surrogate occurs in the corpus as an original,
 try again with the next attempt until none is left. Formats with few surrogates run out, as those of one-letter local
 parts do: after `EXACT` attempts a draw is longer than its part by `PADS` once more with each attempt, so that every
-part finds one. A local part without an ASCII letter or digit is longer from the first attempt on, as nothing else in
+part finds one. A local part without a letter or digit is longer from the first attempt on, as nothing else in
 it can change; an IPv4 address moves from 240.0.0.0/4 to the IPv6 addresses for documentation, 2001:db8::/32.
 
 Edge cases: null and empty texts stay as they are, as do texts without entities; digits that fail their check are no
-cards or IBANs; an IBAN has its country's length, so that what follows it isn't taken in (only those of countries
+cards or IBANs (a card inside of what looked like an IBAN is one); an IBAN has its country's length, so that what follows it isn't taken in (only those of countries
 without a known length are tried at their longest); repeated texts get equal results; very long texts are searched in full,
 and no pattern recurses on them. Input columns stay; a result
 column replaces one of its name.
+
+What isn't found: names without one of the titles below (two words after it, with initials, hyphens and apostrophes, are taken), names
+with a hyphen or an apostrophe where they stand alone, addresses of houses, dates of birth, numbers of other kinds. Initials become whole names.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, stored, without
@@ -53,17 +56,20 @@ def _iban(length: int, countries: str) -> str:
 
 
 _TITLES = "|".join(sorted([*MALE, *FEMALE, *NEUTRAL], key=len, reverse=True))
+#: A name's word: letters with hyphens and apostrophes, initials before it.
+_NAME = r"(?:\p{Lu}\. ?){0,3}(?=\p{Lu}['’\p{L}])\p{Lu}[\p{L}\p{M}]*+(?:['’]\p{Lu}[\p{L}\p{M}]*+|-[\p{L}\p{M}]++){0,4}"
 #: In order of precedence at one place.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
+    "email": r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "iban": r"(?=[A-Z]{2}[0-9]{2})(?:(?:" + "|".join(_iban(*x) for x in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))",
     "card": r"(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[.-][0-9]{2,4}){1,4}|\+[0-9]{1,3}(?: [0-9]{2,4}){2,5}(?![0-9.@-])|(?:1[ .-])?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?:1[ .-])?[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.)[0-9]{4})(?![0-9])",
-    "name": rf"(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
 }
-ENTITY = r"(?<![\p{L}0-9._%+-])(?:" + "|".join(KINDS.values()) + ")"
+#: Letters of scripts that put no space between words may stand before an entity.
+ENTITY = r"(?<![\p{IsLatin}\p{IsCyrillic}\p{IsGreek}0-9._%+-])(?:" + "|".join(KINDS.values()) + ")"
 #: Words and what lies between them.
 WORDS = r"[\p{L}\p{M}0-9_]+|[^\p{L}\p{M}0-9_]+"
 #: A text without any of these has no entity.
@@ -119,11 +125,15 @@ def parts_of(value: Column) -> Column:
     said = F.regexp_replace(title, "[. ]", "")
     gender = F.when(said.isin(FEMALE), "f").when(said.isin(MALE), "m").otherwise("n")
     names = F.split(F.substring(value, F.length(title) + 1, F.length(value)), " ")
-    many = F.size(names) > 1
+    given = F.flatten(F.transform(F.slice(names, F.lit(1), F.size(names) - 1), lambda w: F.array(part(F.concat(F.lit("given-"), gender), w), part(None, F.lit(" ")))))
     kind = kind_of(value)
+    # what looked like an IBAN and fails its check may hold a card that doesn't
+    inner = F.regexp_extract(value, rf"(?<![A-Za-z0-9])(?:{KINDS['card']})", 0)
+    before = F.instr(value, inner) - 1
     return (
         F.when(kind == "email", F.array(part("local", F.substring_index(value, "@", 1)), part(None, F.lit("@")), part("domain", F.substring_index(value, "@", -1))))
-        .when(kind == "name", F.concat(F.array(part(None, title)), F.when(many, F.array(part(F.concat(F.lit("given-"), gender), names[0]), part(None, F.lit(" ")))).otherwise(F.array().cast(f"array<{_PART}>")), F.array(part("surname", F.element_at(names, -1)))))
+        .when(kind == "name", F.concat(F.array(part(None, title)), given, F.array(part("surname", F.element_at(names, -1)))))
+        .when(kind.isNull() & (inner != "") & (F.length(inner) < F.length(value)) & (luhn(digits(inner)) % 10 == 0), F.array(part(None, F.substring(value, F.lit(1), before)), part("card", inner), part(None, F.substring(value, before + F.length(inner) + 1, F.length(value)))))
         .otherwise(F.array(part(kind, value)))
     )
 
@@ -137,7 +147,10 @@ def _alike(value: Column, seed: Column) -> Column:
 
     def one(c, i):
         letter = lambda base: F.char(F.lit(base) + _drawn(seed, i, 26))
-        return F.when(c.rlike("[0-9]"), _drawn(seed, i, 10).cast("string")).when(c.rlike("[a-z]"), letter(97)).when(c.rlike("[A-Z]"), letter(65)).otherwise(c)
+        of = lambda letters: F.substring(F.lit(letters), _drawn(seed, i, len(letters)) + 1, F.lit(1))
+        other = F.when(c.rlike(r"\p{IsCyrillic}"), of("абвгдежзиклмнопрстуфхцчшэюя")).when(c.rlike(r"\p{IsGreek}"), of("αβγδεζηθικλμνξοπρστυφχψω")).otherwise(letter(97))
+        other = F.when(c.rlike(r"\p{Lu}"), F.upper(other)).otherwise(other)
+        return F.when(c.rlike("[0-9]"), _drawn(seed, i, 10).cast("string")).when(c.rlike("[a-z]"), letter(97)).when(c.rlike("[A-Z]"), letter(65)).when(c.rlike(r"\p{L}"), other).otherwise(c)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -183,7 +196,7 @@ def _longer(pad: str, attempt: Column) -> Column:
 def _drawn_as(kind: Column, value: Column, attempt: Column, seed: Column) -> Column:
     octet = lambda i, n: _drawn(seed, F.lit(i), n).cast("string")
     pad = {k: _longer(v, attempt) for k, v in PADS.items()}
-    local = F.concat(value, F.when(value.rlike("[A-Za-z0-9]"), pad["local"]).otherwise(F.repeat(F.lit(PADS["local"]), attempt + 1)))
+    local = F.concat(value, F.when(value.rlike(r"[\p{L}0-9]"), pad["local"]).otherwise(F.repeat(F.lit(PADS["local"]), attempt + 1)))
     ip = F.concat_ws(".", (_drawn(seed, F.lit(0), 15) + 240).cast("string"), octet(1, 256), octet(2, 256), octet(3, 256))
     documentation = F.concat_ws(":", F.lit("2001:db8"), *(F.lower(F.hex(_drawn(seed, F.lit(i), 1 << 16))) for i in range(6)))
     checked = lambda n: F.concat(n, F.pmod(F.lit(10) - luhn(F.concat(n, F.lit("0"))) % 10, F.lit(10)).cast("string"))
@@ -208,6 +221,14 @@ def _drawn_as(kind: Column, value: Column, attempt: Column, seed: Column) -> Col
     )
 
 
+def configured_key(spark: SparkSession) -> str:
+    """The setting spark.quillstone.pii.key. A local master, as in tests, does without; elsewhere surrogates that anyone can compute would hide nothing: an error."""
+    own = spark.conf.get("spark.quillstone.pii.key", None)
+    if own is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.quillstone.pii.key must be set to a secret")
+    return own or "pipeline-key"
+
+
 def assign(parts: DataFrame, key: str, rounds: int = 60) -> DataFrame:
     """kind, value and surrogate of distinct parts (kind, value): surrogates are distinct, and none is an original. Draws get longer, so that `rounds` only ends a draw that doesn't."""
     original = parts.select(F.col("value").alias("s")).distinct()

@@ -24,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get("spark.quillstone.pii.key", "pipeline-key")).select("doc_id", "n_entities", F.col("surrogate_text").alias("text"))
+    return pii.replace(_read(spark, sf_dir, "documents").select("doc_id", "text"), pii.configured_key(spark)).select("doc_id", "n_entities", F.col("surrogate_text").alias("text"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ blocks      shard, block: documents come in ascending order of id, shard by shar
             unsigned 32-bit integers. All integers are little-endian.
 
 Edge cases: a null text is an empty one, and any text ends with the end id; rows of equal id lie in order of text,
-rows without an id come first and their id is read back as null; an empty table gives no blocks.
+rows without an id come first and their id is read back as null; ids must be whole numbers (TypeError else); an empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -31,17 +31,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import first_by_hash, ship, slices
+from .common import first_by_hash, ship, slices, whole_ids
 from .tokens import Ids, ids_of
 
 BLOCK = "shard long, block long, first_id long, last_id long, n_docs long, n_tokens long, n_null long, start_in_shard long, dict_hash string, doc_ids binary, lengths binary, offsets binary, data binary"
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 2, sample: int = 512, longest: int = 16_384, size: int = 65_536) -> bytes:
-    """A dictionary trained on `sample` documents of at most `longest` characters, taken in order of a hash of the text; empty where there is too little to train on."""
+    """A dictionary trained on `sample` different documents of at most `longest` characters, taken in order of a hash of the text; where they are too few, on
+    the beginnings of longer ones too. Empty where there is too little to train on."""
     of = F.col(f"`{text}`")
-    short = docs.where(F.length(of).between(1, longest)).select(of.alias("t"))
-    rows = first_by_hash(short, F.col("t"), sample, short.count()).collect()
+    rows = first_by_hash(docs.where(F.length(of).between(1, longest)).select(of.alias("t")), F.col("t"), sample)
+    if len(rows) < sample:
+        rows += first_by_hash(docs.where(F.length(of) > longest).select(F.substring(of, 1, longest).alias("t")), F.col("t"), sample - len(rows))
     end = np.array([end_id], "<u4").tobytes()
     arrays = [b + end for b in Ids(tokenizer).encode_all([r.t for r in rows])]
     try:
@@ -54,6 +56,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id
     """Encode every text and write the folder."""
     spark = docs.sparkSession
     ship(spark)
+    whole_ids(docs, doc_id)
     raw = train_dictionary(docs, tokenizer, text, end_id)
     dict_hash = hashlib.sha256(raw).hexdigest() if raw else ""
     spark.createDataFrame([(dict_hash, bytearray(raw), end_id, os.path.basename(tokenizer))], "dict_hash string, dict binary, end_id long, tokenizer string").coalesce(1).write.parquet(f"{path}/dictionary")

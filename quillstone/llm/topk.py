@@ -9,10 +9,10 @@ find is merged by a grouping: at most k rows a query and shard.
 
 Queries are a stated set and meet every shard. Vectors and queries of a shard come to its task in this order, so that the
 tree is made once a wave and a task holds a shard and a block of queries only.
-Scores are exact: where products could reach 2**53 they are worked out in 64-bit integers, and where they could pass those
-in Python's, the result cut to 62 bits.
+Scores are exact: where products could reach 2**53 they are worked out in 64-bit integers, and where they could reach 2**62
+in Python's, which have no end. A score among a shard's k best that no 64-bit integer holds raises OverflowError.
 
-Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; queries only meet vectors of
+Edge cases: ids must be whole numbers (TypeError else); vectors that are null, empty, or hold null or non-finite components take no part; queries only meet vectors of
 their own length; equal scores go to smaller ids, and rows with the same id are distinct candidates but for those
 with a query's own id; of queries that share an id the least vector asks; fewer than k candidates give fewer rows; empty tables give no rows.
 """
@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import ship, stored, whole_ids
 
 LEAF = 128
+#: No score yet, where all are less than 2**62 away from 0.
 _NEVER = -(1 << 62)
 
 
@@ -71,15 +72,17 @@ class BallTree:
             return (q @ self.x[a:b].T).astype(np.int64)
         if most < 2**62:
             return whole @ self.whole[a:b].T
-        return np.clip(whole.astype(object) @ self.whole[a:b].T.astype(object), _NEVER + 1, -_NEVER - 1).astype(np.int64)
+        return whole.astype(object) @ self.whole[a:b].T.astype(object)
 
     def search(self, q_ids: np.ndarray, whole: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query index, id and score of up to k best a query, of those that reach its floor."""
+        """Query index, id and score of up to k best a query, of those that reach its floor, a double: -inf without one."""
         q = whole.astype(np.float64)
         n = len(q)
         most = self.most * float(np.abs(q).max(initial=0.0)) * q.shape[1]
+        large = most >= 2**62  # then scores are Python's integers, in lists by query
         score = np.full((n, k), _NEVER, np.int64)
         which = np.full((n, k), np.iinfo(np.int64).max)
+        lists: list[list[tuple[int, int]]] = [[] for _ in range(n if large else 0)]
         norm = np.sqrt((q**2).sum(1))
         kth = floor.copy()
 
@@ -104,12 +107,22 @@ class BallTree:
                 continue
             s = self.products(q[at], whole[at], a, b, most)
             ids = self.ids[a:b]
+            if large:
+                for row, products in zip(at.tolist(), s.tolist(), strict=True):
+                    met = [(-x, i) for x, i in zip(products, ids.tolist(), strict=True) if i != q_ids[row]]
+                    lists[row] = heapq.nsmallest(k, lists[row] + met)
+                    if len(lists[row]) == k:
+                        kth[row] = max(kth[row], -float(lists[row][-1][0]))
+                continue
             s[ids[None, :] == q_ids[at, None]] = _NEVER
             s = np.concatenate([score[at], s], 1)
             i = np.concatenate([which[at], np.broadcast_to(ids, (len(at), b - a))], 1)
             best = np.lexsort((i, -s), axis=1)[:, :k] if s.shape[1] <= 4 * k else _best(s, i, k)
             score[at], which[at] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
-            kth[at] = np.maximum(kth[at], score[at, k - 1])
+            kth[at] = np.maximum(kth[at], np.where(score[at, k - 1] > _NEVER, score[at, k - 1], -np.inf))
+        if large:
+            flat = [(row, i, -x) for row, own in enumerate(lists) for x, i in own]
+            return np.array([r for r, _, _ in flat], np.int64), np.array([i for _, i, _ in flat], np.int64), np.array([x for _, _, x in flat], object)
         row, col = np.nonzero(score > _NEVER)
         return row, which[row, col], score[row, col]
 
@@ -129,13 +142,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     """query_id, rank, vec_id, score. vector: an array of integers. per_shard and per_block: about how many vectors and queries a task holds."""
     spark = vectors.sparkSession
     ship(spark)
+    whole_ids(vectors, vec_id)
     v = F.col(f"`{vector}`")
     good = vectors.where(v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull()) & F.col(f"`{vec_id}`").isNotNull())
     good = good.select(F.col(f"`{vec_id}`").cast("long").alias("i"), F.transform(v, lambda x: x.cast("long")).alias("v"), is_query.alias("is_query"))
     # stored, as rows are dealt by their number, which is only right for one run; ids may repeat without end
     dealt = stored(good.select("i", "v", "is_query", F.size("v").alias("dim"), F.xxhash64(F.monotonically_increasing_id()).alias("deal")), "vectors")
     shards = max(1, -(-dealt.count() // per_shard))
-    held = dealt.select("dim", F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"), "i", "v", F.lit(_NEVER).alias("floor"))
+    held = dealt.select("dim", F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"), "i", "v", F.lit(None).cast("double").alias("floor"))
     queries = dealt.where("is_query").groupBy("i").agg(F.min("v").alias("v"))
     queries = queries.select("i", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("i"), F.lit(shards)).cast("int").alias("first"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -144,10 +158,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
         wave = min(wave, shards - met)
         if not wave:
             break
-        asked = queries.withColumn("floor", F.lit(_NEVER))
+        asked = queries.withColumn("floor", F.lit(None).cast("double"))
         if found is not None:
             kth = found.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("i"), "low")
-            asked = queries.join(kth, "i", "left").withColumn("floor", F.coalesce("low", F.lit(_NEVER)))
+            asked = queries.join(kth, "i", "left").withColumn("floor", F.col("low").cast("double"))
         to = F.explode(F.sequence(F.lit(met), F.lit(met + wave - 1)))
         asked = asked.withColumn("to", to).select("dim", F.pmod(F.col("first") + F.col("to"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("role"), "i", "v", "floor")
         rows = held.unionByName(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "role")
@@ -172,12 +186,13 @@ def _searcher(k: int, per_block: int):
                 tree = tree or BallTree(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 ids, q, floor = (np.concatenate(x) for x in zip(*asked, strict=True))
                 row, which, score = tree.search(ids, q, k, floor)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(which), pa.array(score)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(which), pa.array(score.tolist(), pa.int64())], names=["query_id", "vec_id", "score"])
             asked.clear()
             waiting = 0
 
         for batch in batches:
-            dim, shard, role, i, floor = (batch.column(c).to_numpy() for c in ("dim", "shard", "role", "i", "floor"))
+            dim, shard, role, i = (batch.column(c).to_numpy() for c in ("dim", "shard", "role", "i"))
+            floor = batch.column("floor").fill_null(-np.inf).to_numpy()
             new = np.flatnonzero((np.diff(dim) != 0) | (np.diff(shard) != 0) | (np.diff(role) != 0)) + 1
             for a, b in zip([0, *new.tolist()], [*new.tolist(), len(i)], strict=True):
                 if a == b:

@@ -189,7 +189,7 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = 2500, max_chars: int = 10_000, **how) -> Model:
-    """A model of the rows where learn holds. Ids and labels of the sample are chosen without the texts, in order of a hash of the id, and only its texts are sent then."""
+    """A model of the rows where learn holds. Ids and labels of the sample are chosen without the texts, in order of a hash of the id, and only its texts are sent then, one for each id."""
     texts = docs.where(learn).select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
     known = labels.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1)")
     known = texts.select("d", F.length("t").alias("n")).join(known, "d")
@@ -198,9 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     chosen = []
     for y, c in counts.items():
         of_class = known.where(F.col("y") == y).select("d", "y", "n")
-        own = first_by_hash(of_class.where(short), F.col("d"), per_class, c.short).collect()
+        own = first_by_hash(of_class.where(short), F.col("d"), per_class)
         if len(own) < per_class and c.long:
-            own += first_by_hash(of_class.where(F.col("n") > max_chars), F.col("d"), per_class - len(own), c.long).collect()
+            own += first_by_hash(of_class.where(F.col("n") > max_chars), F.col("d"), per_class - len(own))
         size = 0
         for r in own:
             if r.n > max_chars and size > per_class * max_chars // 2:
@@ -208,7 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
             size += min(r.n, 10 * max_chars)
             chosen.append((r.d, r.y))
     ids = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("d", texts.schema["d"].dataType), T.StructField("y", T.IntegerType())]))
-    rows = texts.join(F.broadcast(ids.distinct()), "d").where(F.length("t") > 0).select(F.substring("t", 1, 10 * max_chars).alias("t"), "y").collect()
+    # 2 * per_class ids at most, and one text of each
+    rows = texts.join(F.broadcast(ids.distinct()), "d").where(F.length("t") > 0).groupBy("d", "y").agg(F.min(F.substring("t", 1, 10 * max_chars)).alias("t")).select("t", "y").collect()
     rows.sort(key=lambda r: (zlib.crc32(r.t.encode()), r.t, r.y))
     held = [zlib.crc32(r.t.encode()) % 5 == 4 for r in rows]
     part = lambda which: ([r.t for r, h in zip(rows, held, strict=True) if h == which], [r.y for r, h in zip(rows, held, strict=True) if h == which])

@@ -112,7 +112,9 @@ def found(text):
         elif kind == "name":
             title, *names = v.split(" ")
             gender = "f" if title.strip(".") in pii.FEMALE else "m" if title.strip(".") in pii.MALE else "n"
-            parts = [(None, title + " "), *([(f"given-{gender}", names[0]), (None, " ")] if len(names) > 1 else []), ("surname", names[-1])]
+            parts = [(None, title + " "), *(part for w in names[:-1] for part in ((f"given-{gender}", w), (None, " "))), ("surname", names[-1])]
+        elif kind is None and (card := regex.search(rf"(?<![A-Za-z0-9])(?:{pii.KINDS['card']})", v)) and card[0] != v and luhn(re.sub("[^0-9]", "", card[0])):
+            parts = [(None, v[: card.start()]), ("card", card[0]), (None, v[card.end() :])]
         else:
             parts = [(kind, v)]
         out.append((m.start(), m.end(), parts))

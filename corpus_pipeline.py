@@ -51,7 +51,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by similarities of 0.8 or more of word 5-grams, the one with the smallest id stays."""
-    return near.keep_one(docs, near.join(docs))
+    return near.keep_one(docs, near.join(docs, digests=True))
 
 
 @_apart
@@ -64,7 +64,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 @_apart
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to surrogates."""
-    return _with_text(docs, pii.replace(docs, "pipeline-key"), "surrogate_text")
+    return _with_text(docs, pii.replace(docs, pii.configured_key(spark)), "surrogate_text")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

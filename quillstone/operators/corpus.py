@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import content_hash
@@ -77,12 +77,16 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFra
     return existing.join(last.select(key), key, "left_anti").unionByName(last)
 
 
-def delete_article(chunks: DataFrame, article_id: str, language: str) -> DataFrame:
-    """chunks without an article's and its paragraphs' of a language. Ids hold a-z, 0-9, _, . and - only."""
+def of_article(article_id: str, language: str) -> Column:
+    """Whether a chunk_id is an article's or one of its paragraphs' in a language. Ids hold a-z, 0-9, _, . and - only."""
     if not article_id or any(c not in "abcdefghijklmnopqrstuvwxyz0123456789_.-" for c in article_id):
         raise ValueError(f"not an article id: {article_id!r}")
-    own = (F.col("chunk_id") == f"{article_id}.{language}") | (F.col("chunk_id").startswith(f"{article_id}.") & F.col("chunk_id").endswith(f".{language}"))
-    return chunks.where(~own)
+    return (F.col("chunk_id") == f"{article_id}.{language}") | (F.col("chunk_id").startswith(f"{article_id}.") & F.col("chunk_id").endswith(f".{language}"))
+
+
+def delete_article(chunks: DataFrame, article_id: str, language: str) -> DataFrame:
+    """chunks without an article's and its paragraphs' of a language."""
+    return chunks.where(~of_article(article_id, language))
 
 
 def stale(manifest: DataFrame, model: str, force: bool = False) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import collapse
-from quillstone.operators import evaluation, service
-from quillstone.sources import articles, tables
+from quillstone.operators import corpus, evaluation, service
+from quillstone.sources import articles, tables, versions
 
 from .catalog import query
 
@@ -94,23 +94,45 @@ def processed_articles(table):
 
 @query("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS v FROM customer UNION ALL SELECT -c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0 AND c_custkey > 0")
 def table_upsert(table):
-    """A table that isn't there is loaded as none, made, and brought up to date in place."""
+    """A table that isn't there is loaded as none, made, and brought up to date by a version that writes touched buckets only."""
     c = table("customer").select(F.col("c_custkey").alias("k"))
-    path = tables.fresh(c.sparkSession, "manifest")
-    assert tables.load(c.sparkSession, path) is None
-    tables.swap(c.withColumn("v", F.lit("old")), path)
+    spark, path = c.sparkSession, tables.fresh(c.sparkSession, "manifest")
+    assert versions.read(spark, path) is None
+    versions.create(c.withColumn("v", F.lit("old")), path, "k")
     new = c.where("k % 3 = 0")
     new = new.unionByName(new.where("k % 2 = 0").select((-F.col("k")).alias("k"))).withColumn("v", F.lit("new"))
-    return tables.upsert(path, new, "k", "v")
+    versions.upsert(path, new, "v")
+    return versions.read(spark, path)
 
 
-@query("SELECT 'docs.' || (doc_id % 90) || '.' || doc_id || '.' || lang AS chunk_id, (SELECT count(*) FROM documents WHERE doc_id % 90 = 12 AND lang = 'en') AS n_deleted FROM documents WHERE NOT (doc_id % 90 = 12 AND lang = 'en')")
+@query("SELECT 'docs.' || (doc_id % 90) || '.' || doc_id || '.' || lang AS chunk_id, (SELECT count(*) FROM documents WHERE doc_id % 90 = 12 AND lang = 'en') AS n_deleted, TRUE AS others_as_they_were FROM documents WHERE NOT (doc_id % 90 = 12 AND lang = 'en')")
 def table_delete(table):
+    """An article's chunks are deleted: its bucket alone is written again, all other folders are those of the version before."""
     chunks = table("documents").select(F.concat_ws(".", F.lit("docs"), (F.col("doc_id") % 90).cast("string"), F.col("doc_id").cast("string"), "lang").alias("chunk_id"))
-    path = tables.fresh(chunks.sparkSession, "chunks")
-    tables.swap(chunks, path)
-    n = tables.delete_article(chunks.sparkSession, path, "docs.12", "en")
-    return chunks.sparkSession.read.parquet(path).withColumn("n_deleted", F.lit(n).cast("long"))
+    spark, path = chunks.sparkSession, tables.fresh(chunks.sparkSession, "chunks")
+    before = versions.create(chunks, path, "substring_index(chunk_id, '.', 2)")
+    n = versions.delete(spark, path, ["docs.12"], corpus.of_article("docs.12", "en"))
+    after = versions.current(spark, path)
+    changed = [b for b in before.folders if after.folders.get(b) != before.folders[b]]
+    return versions.read(spark, path).select("chunk_id", F.lit(n).cast("long").alias("n_deleted"), F.lit(len(changed) == 1).alias("others_as_they_were"))
+
+
+@query("""
+    WITH c AS (SELECT conv_id, turn, length(text) AS n, CASE WHEN turn % 2 = 0 THEN 'a' ELSE 'b' END AS arm FROM conversations)
+    SELECT arm, count(*) AS n_cases, CAST(sum(CASE WHEN arm = 'b' THEN n + 1 ELSE n END) AS BIGINT) AS total, arm = 'a' AS same_files FROM c GROUP BY arm
+""")
+def run_scopes(table):
+    """Two arms of a run, of which one is run again: its cases are replaced, and the other's files are those of the first run."""
+    c = table("conversations").select("conv_id", "turn", F.length("text").alias("n"), F.when(F.col("turn") % 2 == 0, "a").otherwise("b").alias("arm"), F.lit("r1").alias("run_id"))
+    spark, path = c.sparkSession, tables.fresh(c.sparkSession, "runs")
+    written = lambda: spark.read.parquet(path)
+    files = lambda: {r.f for r in written().select(F.input_file_name().alias("f")).distinct().collect()}
+    versions.write_scopes(c, path, "run_id", "arm")
+    first = files()
+    versions.write_scopes(c.where("arm = 'b'").withColumn("n", F.col("n") + 1), path, "run_id", "arm")
+    kept = sorted(f for f in files() if f in first)
+    out = written().withColumn("kept", F.input_file_name().isin(kept) if kept else F.lit(False))
+    return out.groupBy("arm").agg(F.count("*").alias("n_cases"), F.sum("n").cast("long").alias("total"), F.every("kept").alias("same_files"))
 
 
 @query("SELECT page_id, 'https://eur-lex.europa.eu/legal-content/EN/TXT/?uri=CELEX:' || page_id AS source_url FROM pages")

@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import corpus
-
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path in the cluster's shared checkpoint folder; a temporary one where none is set and the master is local."""
@@ -21,6 +19,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder, and read from there: what follows neither works it out again nor depends on an executor."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _files(spark: SparkSession, path: str):
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
@@ -32,8 +37,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def swap(df: DataFrame, path: str) -> DataFrame:
-    """df in place of the table at path, which df may read: written beside it by a committed job, then renamed, so that
-    readers find the old rows or the new ones."""
+    """df in place of the table at path, which df may read: written beside it by a committed job, then renamed. Between two renames a reader may find
+    no table; sources.versions has tables whose readers always find one."""
     spark, tag = df.sparkSession, uuid.uuid4().hex
     df.write.parquet(f"{path}.new-{tag}")
     fs, own = _files(spark, path)
@@ -56,19 +61,6 @@ def load(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if exists(spark, path) else None
 
 
-def upsert(path: str, new: DataFrame, key: str, order: str) -> DataFrame:
-    """The table at path with rows of new in place of those of their keys."""
-    old = load(new.sparkSession, path)
-    return swap(new if old is None else corpus.upsert(old, new.select(*old.columns), key, order), path)
-
-
-def delete_article(spark: SparkSession, path: str, article_id: str, language: str) -> int:
-    """How many chunks of an article and its paragraphs were deleted from the table at path."""
-    old = spark.read.parquet(path)
-    before = old.count()
-    return before - swap(corpus.delete_article(old, article_id, language), path).count()
-
-
 def write_articles(articles: DataFrame, path: str) -> None:
     """Articles (articulo, title, text, paragraphs) as JSON lines, one folder a run of the job."""
     articles.select("articulo", "title", "text", "paragraphs").write.option("ignoreNullFields", "false").json(path)

@@ -167,9 +167,9 @@ def attack_outcome(attacks: DataFrame) -> DataFrame:
     return attacks.withColumns({"layer": layer, "blocked": F.coalesce(blocked, F.lit(False))})
 
 
-def all_safe(cases: DataFrame) -> DataFrame:
-    """One row: whether every case is blocked or emits nothing; an error where there are none."""
-    return cases.agg(F.when(F.count("*") == 0, F.raise_error(F.lit("no cases"))).otherwise(F.every(F.col("blocked") | (F.size("emitted") == 0))).alias("safe"))
+def all_safe(cases: DataFrame, *by: str) -> DataFrame:
+    """A row for each run (by) that has cases: whether every one is blocked or emits nothing. Without by one row for all, and an error where there are none."""
+    return cases.groupBy(*by).agg(F.when(F.count("*") == 0, F.raise_error(F.lit("no cases"))).otherwise(F.every(F.col("blocked") | (F.size("emitted") == 0))).alias("safe"))
 
 
 def judge_cache(lines: DataFrame) -> DataFrame:
@@ -209,12 +209,3 @@ def from_markdown(texts: DataFrame) -> DataFrame:
     field = lambda name: F.nullif(F.regexp_extract("b", rf"(?m)^- {name}: (.*)$", 1), F.lit(""))
     own = texts.select(F.explode(blocks).alias("b"))
     return own.select(F.regexp_extract("b", r"^(\S+)", 1).alias("case_id"), field("verdict").alias("verdict"), field("expected").alias("expected"), F.filter(F.split(F.coalesce(field("emitted"), F.lit("")), r",\s*"), lambda x: x != "").alias("emitted"), field("recall").cast("double").alias("recall"))
-
-
-def rewritten(table: DataFrame, path: str, column: str, value: Column) -> DataFrame:
-    """table with another value in a column, written to path; rows and their number are checked before it is handed back."""
-    table.withColumn(column, value).write.parquet(path)
-    out = table.sparkSession.read.parquet(path)
-    if out.count() != table.count():
-        raise RuntimeError(f"{path}: rows were lost")
-    return out

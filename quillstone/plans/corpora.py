@@ -39,8 +39,8 @@ def merge_languages(table):
 
 
 @query("""
-    WITH a AS (SELECT 'c' || p_size AS corpus, CAST(p_partkey % 60 + 1 AS VARCHAR) AS articulo, CASE WHEN p_partkey % 37 = 0 THEN ' ' ELSE p_name END AS text FROM part),
-         e AS (SELECT 'c' || s AS corpus, 50 AS expected FROM range(1, 53) t(s)),
+    WITH a AS (SELECT 'c' || (p_partkey // 50) AS corpus, CAST(CASE WHEN p_partkey % 89 = 88 THEN p_partkey % 50 ELSE p_partkey % 50 + 1 END AS VARCHAR) AS articulo, CASE WHEN p_partkey % 137 = 136 THEN ' ' ELSE p_name END AS text FROM part),
+         e AS (SELECT DISTINCT corpus, 50 AS expected FROM a UNION ALL SELECT 'd' || p_size, 50 FROM part GROUP BY p_size),
          n AS (SELECT corpus, articulo, count(*) AS n, count(*) FILTER (trim(coalesce(text, '')) = '') AS blank FROM a GROUP BY ALL),
          f AS (SELECT corpus, count(*) AS found, string_agg(articulo, ',' ORDER BY articulo) FILTER (n > 1) AS duplicates, string_agg(articulo, ',' ORDER BY articulo) FILTER (blank > 0) AS empty FROM n GROUP BY corpus),
          m AS (SELECT e.corpus, string_agg(i, ',' ORDER BY i) AS missing FROM e, range(1, 51) t(i) WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.corpus = e.corpus AND TRY_CAST(n.articulo AS INT) = i) GROUP BY e.corpus)
@@ -48,8 +48,9 @@ def merge_languages(table):
 """)
 def coverage_validate(table):
     p = table("part")
-    a = p.select(F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("corpus"), (F.col("p_partkey") % 60 + 1).cast("string").alias("articulo"), F.when(F.col("p_partkey") % 37 == 0, F.lit(" ")).otherwise(F.col("p_name")).alias("text"))
-    e = p.sparkSession.range(1, 53).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("corpus"), F.lit(50).alias("expected_articles"))
+    k = F.col("p_partkey")
+    a = p.select(F.concat(F.lit("c"), F.floor(k / 50).cast("string")).alias("corpus"), F.when(k % 89 == 88, k % 50).otherwise(k % 50 + 1).cast("string").alias("articulo"), F.when(k % 137 == 136, F.lit(" ")).otherwise(F.col("p_name")).alias("text"))
+    e = a.select("corpus").distinct().unionByName(p.select(F.concat(F.lit("d"), F.col("p_size").cast("string")).alias("corpus")).distinct()).withColumn("expected_articles", F.lit(50))
     out = corpus.coverage(a, e)
     return out.select("corpus", "expected", "found", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("duplicates", "missing", "empty")], "ok")
 

@@ -66,23 +66,31 @@ def _gate(source: str, k: int, threshold: float, extra: str = "") -> str:
     """
 
 
-@query(f"WITH {_KNN}, {_gate('ranked', 5, 0.6)} SELECT query_id, id, grp, collapsed, CAST(place AS INTEGER) AS rank, (SELECT string_agg(DISTINCT grp, ',' ORDER BY grp) FROM o x WHERE x.query_id = o.query_id) AS resolved FROM o")
+#: For every other query the ten labels are two groups, of eight and two, so that one dominates.
+_TWO = "two AS (SELECT * REPLACE (CASE WHEN query_id % 200 = 0 THEN grp // 8 ELSE grp END AS grp) FROM ranked)"
+
+
+def _grouped(table):
+    return _pool(table).withColumn("grp", F.when(F.col("query_id") % 200 == 0, F.floor(F.col("grp") / 8).cast("int")).otherwise(F.col("grp")))
+
+
+@query(f"WITH {_KNN}, {_TWO}, {_gate('two', 5, 0.6)} SELECT query_id, id, grp, collapsed, CAST(place AS INTEGER) AS rank, (SELECT string_agg(DISTINCT grp, ',' ORDER BY grp) FROM o x WHERE x.query_id = o.query_id) AS resolved FROM o")
 def purity_gate(table):
-    return retrieval.purity_gate(_pool(table), 5, 0.6).select("query_id", "id", "grp", "collapsed", "rank", F.array_join("resolved", ",").alias("resolved"))
+    return retrieval.purity_gate(_grouped(table), 5, 0.6).select("query_id", "id", "grp", "collapsed", "rank", F.array_join("resolved", ",").alias("resolved"))
 
 
-@query(f"WITH {_KNN}, {_CAPPED.format(articles=10**9, groups=2)}, {_gate('b', 12, 0.6)} SELECT query_id, id, grp, collapsed, CAST(place AS INTEGER) AS rank FROM o")
+@query(f"WITH {_KNN}, {_TWO}, {_CAPPED.format(articles=10**9, groups=8).replace('FROM ranked', 'FROM two')}, {_gate('b', 12, 0.6)} SELECT query_id, id, grp, collapsed, CAST(place AS INTEGER) AS rank FROM o")
 def retrieve_auto(table):
-    return retrieval.retrieve_auto(_pool(table), RetrievalConfig()).select("query_id", "id", "grp", "collapsed", "rank")
+    return retrieval.retrieve_auto(_grouped(table), RetrievalConfig(max_per_group=8)).select("query_id", "id", "grp", "collapsed", "rank")
 
 
 _CONFIGS = [(a, g, k, t) for a in (1, 10**9) for g in (2, 10**9) for k, t in ((5, 0.6), (12, 0.5), (4, 0.75))]
 
 
 def _sweep() -> str:
-    parts = [_KNN]
+    parts = [_KNN, _TWO]
     for i, (a, g, k, t) in enumerate(_CONFIGS):
-        parts.append(_CAPPED.format(articles=a, groups=g).replace("a AS", f"a{i} AS").replace("FROM a ", f"FROM a{i} ").replace("    b AS", f"    b{i} AS"))
+        parts.append(_CAPPED.format(articles=a, groups=g).replace("FROM ranked", "FROM two").replace("a AS", f"a{i} AS").replace("FROM a ", f"FROM a{i} ").replace("    b AS", f"    b{i} AS"))
         parts.append(_gate(f"b{i}", k, t, str(i)))
     return "WITH " + ",".join(parts) + " UNION ALL ".join(f"SELECT {i} AS config, query_id, count(*) AS n, count(DISTINCT grp) AS n_groups, bool_or(collapsed) AS collapsed FROM o{i} GROUP BY query_id" for i in range(len(_CONFIGS)))
 
@@ -91,7 +99,7 @@ def _sweep() -> str:
 def config_sweep(table):
     """Twelve configurations over one ranked list."""
     configs = [RetrievalConfig(top_k=k, top_k_auto=k, purity_threshold=t, max_per_article=None if a > 1 else 1, max_per_group=None if g > 2 else 2) for a, g, k, t in _CONFIGS]
-    return retrieval.sweep(_pool(table), configs).groupBy("config", "query_id").agg(F.count("*").alias("n"), F.count_distinct("grp").alias("n_groups"), F.bool_or("collapsed").alias("collapsed"))
+    return retrieval.sweep(_grouped(table), configs).groupBy("config", "query_id").agg(F.count("*").alias("n"), F.count_distinct("grp").alias("n_groups"), F.bool_or("collapsed").alias("collapsed"))
 
 
 @query(f"WITH {_KNN} SELECT query_id, CAST(coalesce(min(rank) FILTER (grp = 3), -1) AS INTEGER) AS first_rank FROM ranked GROUP BY query_id")

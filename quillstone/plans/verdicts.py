@@ -9,22 +9,27 @@ from quillstone.operators import citation, evaluation, verdict
 from .catalog import query
 from .texts import _NORM
 
+
 def _audited(table):
-    """Each item cites the documents whose id is its own modulo 40; those of ids divisible by 7 name an article that doesn't exist, by 11 a paragraph."""
-    docs = table("documents")
-    cites = table("benchmark").select("item_id", "text", (F.col("item_id") % 40).alias("slot"))
-    cites = cites.join(docs.select("doc_id", (F.col("doc_id") % 40).alias("slot")), "slot")
-    gone = F.col("doc_id") % 7 == 0
-    cites = cites.select("item_id", "doc_id", F.lit("docs").alias("norma"), F.when(gone, F.concat(F.lit("x"), F.col("doc_id"))).otherwise(F.col("doc_id").cast("string")).alias("articulo"), F.when(F.col("doc_id") % 11 == 0, "9").when(F.col("doc_id") % 5 == 0, "1").alias("apartado"), F.lit("en").alias("language"), F.when(F.col("doc_id") % 13 == 0, F.left("text", F.lit(12))).when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("text")).alias("text"))
-    own = docs.select(F.lit("docs").alias("norma"), F.col("doc_id").cast("string").alias("articulo"), F.lit("en").alias("language"), "text")
-    cites = cites.join(own.select("articulo", F.col("text").alias("whole")), "articulo", "left").withColumn("text", F.coalesce("text", F.substring("whole", 5, 40))).drop("whole")
-    return citation.audit(cites, own, own.withColumn("apartado", F.lit("1")))
+    """Each document is cited by one item, that of its number modulo the number of items. Items by their number modulo 6: 0 quotes documents, 1 names articles
+    that don't exist, 2 paraphrases; of the others' citations those of documents divisible by 7 name an article that doesn't exist, by 11 a paragraph."""
+    docs, items = table("documents"), table("benchmark")
+    n, d, m = items.agg(F.count("*").alias("n_items")), F.col("doc_id"), F.col("item_id") % 6
+    keyed = docs.join(F.broadcast(n), F.lit(True)).withColumn("item_id", d % F.col("n_items"))  # one row with a count
+    cites = keyed.select("doc_id", "item_id", F.col("text").alias("whole")).join(items.select("item_id", "text"), "item_id")
+    gone = F.when(m == 0, False).when(m == 1, True).when(m == 2, False).otherwise(d % 7 == 0)
+    paragraph = F.when(m.isin(0, 2), F.when(d % 5 == 0, "1")).otherwise(F.when(d % 11 == 0, "9").when(d % 5 == 0, "1"))
+    own = F.when(~gone, F.substring("whole", 5, 40))
+    quote = F.when(m == 0, own).when(m == 2, F.col("text")).when(d % 13 == 0, F.left("text", F.lit(12))).when(d % 3 == 0, own).otherwise(F.col("text"))
+    cites = cites.select("item_id", "doc_id", F.lit("docs").alias("norma"), F.when(gone, F.concat(F.lit("x"), d.cast("string"))).otherwise(d.cast("string")).alias("articulo"), paragraph.alias("apartado"), F.lit("en").alias("language"), quote.alias("text"))
+    articles = docs.select(F.lit("docs").alias("norma"), d.cast("string").alias("articulo"), F.lit("en").alias("language"), "text")
+    return citation.audit(cites, articles, articles.withColumn("apartado", F.lit("1")))
 
 
 _AUDIT_SQL = f"""
-    cites AS (SELECT b.item_id, d.doc_id, d.doc_id % 7 <> 0 AS there, CASE WHEN d.doc_id % 11 = 0 THEN '9' WHEN d.doc_id % 5 = 0 THEN '1' END AS apartado,
-                     {_NORM.format("coalesce(CASE WHEN d.doc_id % 13 = 0 THEN left(b.text, 12) WHEN d.doc_id % 3 = 0 THEN NULL ELSE b.text END, CASE WHEN d.doc_id % 7 <> 0 THEN substr(d.text, 5, 40) END)")} AS c, {_NORM.format("d.text")} AS t
-              FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
+    linked AS (SELECT b.item_id, d.doc_id, b.item_id % 6 AS m, b.text AS said, d.text, CASE b.item_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE d.doc_id % 7 <> 0 END AS there FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+    cites AS (SELECT item_id, doc_id, there, CASE WHEN m IN (0, 2) THEN CASE WHEN doc_id % 5 = 0 THEN '1' END WHEN doc_id % 11 = 0 THEN '9' WHEN doc_id % 5 = 0 THEN '1' END AS apartado, {_NORM.format("text")} AS t,
+                     {_NORM.format("CASE WHEN m = 0 THEN substr(text, 5, 40) WHEN m = 2 THEN said WHEN doc_id % 13 = 0 THEN left(said, 12) WHEN doc_id % 3 = 0 THEN CASE WHEN there THEN substr(text, 5, 40) END ELSE said END")} AS c FROM linked),
     audited AS (SELECT item_id, doc_id, CASE WHEN NOT there THEN 1 WHEN apartado = '9' THEN 2 WHEN length(c) < 20 THEN 4 WHEN NOT coalesce(contains(t, c), false) THEN 3 END AS failed_check, there, apartado FROM cites)
 """
 

@@ -27,6 +27,13 @@ def targets(spark, corpus: str = "all", languages: list[str] | None = None) -> D
     return own.select("corpus", F.explode(F.array(*map(F.lit, languages or LANGUAGES))).alias("language"))
 
 
+def targets_of(requests: DataFrame) -> DataFrame:
+    """requests (…, wanted: a corpus or all, languages: an array or null for all of them) with a row for each corpus of the registry and language that they mean; unknown corpora mean none."""
+    own = registry(requests.sparkSession).select("corpus")
+    met = requests.join(F.broadcast(own), (F.col("wanted") == "all") | (F.col("wanted") == F.col("corpus")))  # the registry's few rows
+    return met.withColumn("language", F.explode(F.coalesce("languages", F.array(*map(F.lit, LANGUAGES))))).drop("wanted", "languages")
+
+
 def manifest_diff(old: DataFrame | None, new: DataFrame) -> DataFrame:
     """article_id and status (added, removed, changed, unchanged), of entries (article_id, language, hash): an article is unchanged if its hashes are, language for language."""
     whole = lambda df, name: df.groupBy("article_id").agg(F.sort_array(F.collect_set(F.struct("language", "hash"))).alias(name))

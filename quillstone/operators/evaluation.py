@@ -212,3 +212,13 @@ def merged(header: DataFrame, *reports: DataFrame) -> DataFrame:
     for r in every[1:]:
         out = out.unionByName(r, allowMissingColumns=True)
     return out.crossJoin(F.broadcast(header.limit(1)))
+
+
+def with_judged(cases: DataFrame, scores: DataFrame, metrics: list[str], key: str = "case_id", skip: bool = False) -> DataFrame:
+    """cases with a judge's scores (key, metric, score) as columns, 0 where there is none, where it isn't a number or isn't from 0 to 1, and everywhere if the judge is skipped: an optional
+    instrument that is down never takes a case away. Of repeated scores the last by score counts."""
+    if skip:
+        return cases.withColumns({m: F.lit(0.0) for m in metrics})
+    own = F.nanvl(F.col("score"), F.lit(None).cast("double"))
+    wide = scores.groupBy(key).agg(*[F.max(F.when((F.col("metric") == m) & own.between(0, 1), own)).alias(m) for m in metrics])
+    return cases.join(wide, key, "left").withColumns({m: F.coalesce(m, F.lit(0.0)) for m in metrics})

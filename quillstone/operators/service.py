@@ -124,6 +124,29 @@ def config_of(text: str | None) -> RetrievalConfig:
         return RetrievalConfig()
 
 
+def config_columns(text: Column) -> Column:
+    """config_of as a column: pre_rerank, top_k, purity_threshold, max_per_article, max_per_group and top_k_auto of a JSON text."""
+    default = RetrievalConfig()
+    whole = {"pre_rerank", "top_k", "max_per_article", "max_per_group", "top_k_auto"}
+    v = F.try_parse_json(F.when(F.coalesce(text, F.lit("")) == "", F.lit("{}")).otherwise(text))
+    names = [*whole, "purity_threshold"]
+    kind = lambda name: F.schema_of_variant(F.variant_get(v, f"$.{name}", "variant"))
+    fits = lambda name: kind(name).isin("BIGINT", "VOID") if name.startswith("max_") else kind(name) == "BIGINT" if name in whole else kind(name).rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    given = lambda name: F.array_contains(F.json_object_keys(text), name)
+    known = F.size(F.array_except(F.json_object_keys(text), F.array(*map(F.lit, names)))) == 0
+    good = F.schema_of_variant(v).startswith("OBJECT") & known
+    for name in names:
+        good = good & (~given(name) | fits(name))
+    good = F.coalesce(good, F.lit(False))
+
+    def of(name: str) -> Column:
+        type_ = "double" if name == "purity_threshold" else "int"
+        own = F.lit(getattr(default, name)).cast(type_)
+        return F.when(good & given(name), F.try_variant_get(v, f"$.{name}", type_)).otherwise(own).alias(name)
+
+    return F.struct(*[of(n) for n in ("pre_rerank", "top_k", "purity_threshold", "max_per_article", "max_per_group", "top_k_auto")])
+
+
 def quarantine(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
     """Rows that hold, and those that don't or whose answer is null."""
     ok = F.coalesce(valid, F.lit(False))
@@ -203,6 +226,26 @@ def markdown(rows: DataFrame, title: str) -> str:
     return "\n".join([*lines, *(f"| {' | '.join(str(v) for v in r)} |" for r in rows.collect())]) + "\n"
 
 
+def to_markdown(cases: DataFrame) -> Column:
+    """A case's block of a report, which from_markdown reads: of case_id, mode, verdict, expected, emitted (array) and recall."""
+    line = lambda name, value: F.concat(F.lit(f"- {name}: "), F.coalesce(value, F.lit("")))
+    head = F.format_string("### %s (%s)", F.col("case_id"), F.col("mode"))
+    return F.concat(F.concat_ws("\n", head, line("verdict", cases["verdict"]), line("expected", cases["expected"]), line("emitted", F.array_join(cases["emitted"], ", ")), line("recall", cases["recall"].cast("string"))), F.lit("\n"))
+
+
+def write_report(headline: DataFrame, cases: DataFrame, path: str, title: str, by: str) -> None:
+    """A report in Markdown: summary.md, a table of the headline's few rows, and cases, a table of text with the blocks of each part (by) of the cases, in their order."""
+    spark = headline.sparkSession
+    spark.createDataFrame([(markdown(headline, title),)], "value string").coalesce(1).write.text(f"{path}/summary.md")
+    cases.select(F.col(by).alias("part"), F.col("case_id"), to_markdown(cases).alias("value")).repartition("part").sortWithinPartitions("part", "case_id").write.parquet(f"{path}/cases")
+
+
+def read_report(spark, path: str) -> tuple[str, DataFrame]:
+    """The summary and the cases of a report."""
+    summary = "".join(r.value for r in spark.read.text(f"{path}/summary.md", wholetext=True).collect())
+    return summary, from_markdown(spark.read.parquet(f"{path}/cases"))
+
+
 def from_markdown(texts: DataFrame) -> DataFrame:
     """case_id, verdict, expected, emitted (array) and recall of per-case blocks (### id, then - name: value) of reports (value)."""
     blocks = F.regexp_extract_all("value", F.lit(r"(?ms)^### (.*?)(?=^### |\z)"), F.lit(1))

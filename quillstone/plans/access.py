@@ -129,12 +129,20 @@ def council_triggers(table):
     return table("events").select("event_id", why.alias("reason"), notice.alias("notice"))
 
 
-@query("SELECT * FROM (VALUES (0, 50, 5, 0.6::DOUBLE), (1, 20, 3, 0.6::DOUBLE), (2, 50, 5, 0.75::DOUBLE), (3, 50, 5, 0.6::DOUBLE), (4, 50, 5, 0.6::DOUBLE), (5, 50, 5, 0.6::DOUBLE), (6, 50, 5, 0.6::DOUBLE)) t(i, pre_rerank, top_k, purity_threshold)")
+@query("""
+    SELECT event_id, CAST(CASE WHEN k IN (1, 8) THEN user_id ELSE 50 END AS INTEGER) AS pre_rerank, CAST(CASE WHEN k = 1 THEN 3 ELSE 5 END AS INTEGER) AS top_k, CASE WHEN k = 2 THEN user_id / 1000.0::DOUBLE ELSE 0.6 END AS purity_threshold, CAST(CASE WHEN k = 8 THEN NULL ELSE 2 END AS INTEGER) AS max_per_group
+    FROM (SELECT event_id, user_id, event_id % 10 AS k FROM events)
+""")
 def config_overrides(table):
-    """Settings as JSON: known keys of the right kind, or the defaults for all of them."""
-    given = [None, '{"pre_rerank": 20, "top_k": 3}', '{"purity_threshold": 0.75}', '{"top_k": 3, "unknown": 1}', '{"top_k": "3"}', "{not json", '{"top_k": true}']
-    rows = [(i, c.pre_rerank, c.top_k, float(c.purity_threshold)) for i, c in enumerate(map(service.config_of, given))]
-    return table("region").sparkSession.createDataFrame(rows, "i int, pre_rerank int, top_k int, purity_threshold double")
+    """Settings as JSON text: known keys of the right kind, or the defaults for all of them."""
+    u, k = F.col("user_id").cast("string"), F.col("event_id") % 10
+    said = (
+        F.when(k == 1, F.concat(F.lit('{"pre_rerank": '), u, F.lit(', "top_k": 3}'))).when(k == 2, F.concat(F.lit('{"purity_threshold": '), (F.col("user_id") / 1000).cast("string"), F.lit("}")))
+        .when(k == 3, F.concat(F.lit('{"top_k": 3, "unknown": '), u, F.lit("}"))).when(k == 4, F.concat(F.lit('{"top_k": "'), u, F.lit('"}'))).when(k == 5, F.concat(F.lit("{not json "), u))
+        .when(k == 6, F.lit('{"top_k": true}')).when(k == 7, F.lit("[1]")).when(k == 8, F.concat(F.lit('{"pre_rerank": '), u, F.lit(', "max_per_group": null}'))).when(k == 9, "")
+    )
+    own = table("events").select("event_id", service.config_columns(said).alias("c"))
+    return own.select("event_id", "c.pre_rerank", "c.top_k", "c.purity_threshold", "c.max_per_group")
 
 
 @query("""
@@ -172,6 +180,28 @@ def tenant_requests(table):
     return met.select("event_id", "tenant_id", "known", (F.col("known") & audit.allowed(F.array("event_type"), F.col("corpora"))).alias("allowed"))
 
 
+@query("""
+    WITH n AS (SELECT n_nationkey AS k, 'n' || n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ['BUILDING', 'MACHINERY'] ELSE [] END AS corpora, CASE WHEN n_nationkey % 2 = 0 THEN '5/minute' END AS rate_limit FROM nation)
+    SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN id END AS tenant_id, c_custkey % 5 > 0 AND (k % 3 = 0 OR coalesce(list_contains(corpora, c_mktsegment), false)) AS allowed, CASE WHEN c_custkey % 5 > 0 THEN rate_limit END AS rate_limit, CASE WHEN c_custkey % 2 = 0 THEN 'default' END AS single FROM customer JOIN n ON k = c_nationkey
+""")
+def tenants_of_file(table):
+    """A registry from a JSON file, and one of a single token, for the same requests."""
+    from quillstone.operators import audit
+    from quillstone.sources import tables
+
+    n = F.col("n_nationkey")
+    corpora = F.when(n % 3 == 1, F.array(F.lit("BUILDING"), F.lit("MACHINERY"))).when(n % 3 == 2, F.array().cast("array<string>"))
+    own = F.struct(F.concat(F.lit("n"), n.cast("string")).alias("id"), F.format_string("token-of-nation-%d", n).alias("token"), corpora.alias("corpora"), F.when(n % 2 == 0, "5/minute").alias("rate_limit"))
+    spark, path = table("nation").sparkSession, tables.fresh(table("nation").sparkSession, "tenants")
+    table("nation").agg(F.to_json(F.collect_list(own)).alias("value")).coalesce(1).write.text(path)  # a registry is one file
+    k = F.col("c_custkey")
+    requests = table("customer").select(k, "c_mktsegment", F.when(k % 5 > 0, F.format_string("token-of-nation-%d", "c_nationkey")).otherwise("nobody").alias("token"))
+    met = access.with_tenant(requests, access.tenants(spark, path=path))
+    met = met.select("c_custkey", "tenant_id", (F.col("known") & audit.allowed(F.array("c_mktsegment"), F.col("corpora"))).alias("allowed"), "rate_limit")
+    alone = access.with_tenant(table("customer").select(k, F.when(k % 2 == 0, "the-only-token-there-is").otherwise("another").alias("token")), access.tenants(spark, token="the-only-token-there-is"))
+    return met.join(alone.select("c_custkey", F.col("tenant_id").alias("single")), "c_custkey")
+
+
 def _articles(table):
     k = F.col("doc_id")
     return table("documents").select((k % 3).cast("string").alias("norma"), k.cast("string").alias("articulo"), F.col("lang").alias("language"), F.col("source").alias("title"), F.concat(F.lit("t"), k.cast("string")).alias("text"))

@@ -76,9 +76,16 @@ def delete_by_article(table):
     return corpus.delete_article(chunks, "docs.12", "en")
 
 
-@query("SELECT c AS corpus, l AS language FROM (SELECT unnest(['ai_act', 'gdpr', 'nis2', 'dora', 'dora_rts_incident', 'dora_rts_class', 'amlr', 'mica', 'tfr']) AS c), (SELECT unnest(['es', 'en']) AS l)")
+@query("""
+    WITH r AS (SELECT unnest(['ai_act', 'gdpr', 'nis2', 'dora', 'dora_rts_incident', 'dora_rts_class', 'amlr', 'mica', 'tfr']) AS corpus), c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'gdpr' WHEN 2 THEN 'mica' ELSE 'other' END AS wanted, CASE c_custkey % 3 WHEN 0 THEN ['es', 'en'] WHEN 1 THEN ['en'] ELSE [] END AS ls FROM customer)
+    SELECT c_custkey, corpus, unnest(ls) AS language FROM c JOIN r ON wanted = 'all' OR wanted = corpus
+""")
 def expand_targets(table):
-    return corpus.targets(table("region").sparkSession)
+    """What each request means: a corpus or all of them, in the languages asked for or in all."""
+    k = F.col("c_custkey")
+    wanted = F.when(k % 4 == 0, "all").when(k % 4 == 1, "gdpr").when(k % 4 == 2, "mica").otherwise("other")
+    languages = F.when(k % 3 == 1, F.array(F.lit("en"))).when(k % 3 == 2, F.array().cast("array<string>"))
+    return corpus.targets_of(table("customer").select(k, wanted.alias("wanted"), languages.alias("languages")))
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n_articles, CAST(sum(n) AS BIGINT) AS n_chunks, count(*) FILTER (embedded) AS n_embedded, count(*) FILTER (NOT embedded OR n = 0) AS n_stale FROM (SELECT o_orderkey, o_orderstatus, count(l_orderkey) AS n, o_orderpriority LIKE '1%' AS embedded FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) GROUP BY ALL")

@@ -318,6 +318,49 @@ def knn_by_language(table):
     return retrieval.with_header(retrieval.knn(q, rows, 10, F.col("lang") == F.col("language")), headers).select("query_id", "id", "header", "rank")
 
 
+@query(f"""
+    WITH RECURSIVE sections AS (SELECT doc_id, 1 AS sec, NULL AS title, 'lost words' || chr(10) || 'chapter a' || chr(10) || text || chr(10) || 'chapter b' || chr(10) || 'the end' AS body FROM documents WHERE doc_id % 4 = 0
+        UNION ALL SELECT doc_id, 1, 'chapter a', 'chapter a' || chr(10) || text || chr(10) FROM documents WHERE doc_id % 4 > 0 UNION ALL SELECT doc_id, 2, 'chapter b', 'chapter b' || chr(10) || 'the end' FROM documents WHERE doc_id % 4 > 0), {_PACKED.format(cap=80)}
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, part) AS segment_id, title, md5(text) AS text_md5, token_count, part > 1 AS is_continuation FROM s
+""")
+def outline_segments(table):
+    """Documents cut at the titles of a given outline, each looked for after the one before; titles that don't occur there are left out. Where the outline is empty, nothing is cut."""
+    k = F.col("doc_id")
+    body = F.concat(F.lit("lost words\nchapter a\n"), F.col("text"), F.lit("\nchapter b\nthe end"))
+    outline = F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(*map(F.lit, ["chapter a", "no such chapter", "chapter b", "chapter a"])))
+    cut = document.segments(table("documents").select("doc_id", body.alias("text"), outline.alias("toc")), 80, "text", outline="toc", units="\n")
+    return cut.select("doc_id", F.col("segment_id").cast("long").alias("segment_id"), "title", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("token_count").cast("long").alias("token_count"), "is_continuation")
+
+
+@query(f"""
+    WITH {_GOLD}, h AS (SELECT count(*) AS n, round(avg(CAST(ok AS INT)), 3) AS share FROM m)
+    SELECT 'case-' || case_id AS case_id, verdict, n_emitted, r AS recall, '| ' || n || ' | ' || share || ' |' AS summary FROM m, h
+""")
+def report_written(table):
+    """A report in Markdown, written and read back: its summary and the block of each case."""
+    r = _results(table)
+    headline = r.agg(F.count("*").alias("n"), F.round(F.avg(F.col("verdict_match").cast("double")), 3).alias("share"))
+    cases = r.select(F.format_string("case-%d", "case_id").alias("case_id"), F.lit("chat").alias("mode"), "verdict", F.array_join("expected", " or ").alias("expected"), "emitted", F.col("citation_recall").alias("recall"), (F.col("case_id") % 16).alias("part"))
+    spark, path = r.sparkSession, tables.fresh(r.sparkSession, "report")
+    service.write_report(headline, cases, path, "Run", "part")
+    summary, found = service.read_report(spark, path)
+    return found.select("case_id", "verdict", F.size("emitted").cast("long").alias("n_emitted"), "recall", F.lit(summary.splitlines()[4]).alias("summary"))
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey AS case_id, l_linenumber % 4 AS m, CASE WHEN l_partkey % 7 = 0 THEN 'NaN'::DOUBLE WHEN l_partkey % 7 = 1 THEN 1.5 WHEN l_partkey % 7 = 2 THEN NULL ELSE l_quantity / 50 END AS score FROM lineitem WHERE l_suppkey % 3 > 0),
+         w AS (SELECT case_id, max(score) FILTER (m = 0 AND score BETWEEN 0 AND 1) AS faithfulness, max(score) FILTER (m = 1 AND score BETWEEN 0 AND 1) AS answer_relevancy, max(score) FILTER (m = 2 AND score BETWEEN 0 AND 1) AS context_precision, max(score) FILTER (m = 3 AND score BETWEEN 0 AND 1) AS context_recall FROM s GROUP BY case_id)
+    SELECT o_orderkey AS case_id, coalesce(faithfulness, 0.0) AS faithfulness, coalesce(answer_relevancy, 0.0) AS answer_relevancy, coalesce(context_precision, 0.0) AS context_precision, coalesce(context_recall, 0.0) AS context_recall FROM orders LEFT JOIN w ON case_id = o_orderkey
+""")
+def judged_metrics(table):
+    """A judge's four scores a case, 0 where it gave none or none that counts."""
+    names = ["faithfulness", "answer_relevancy", "context_precision", "context_recall"]
+    li, p = table("lineitem").where("l_suppkey % 3 > 0"), F.col("l_partkey") % 7
+    score = F.when(p == 0, F.lit(float("nan"))).when(p == 1, 1.5).when(p > 2, F.col("l_quantity") / 50)
+    scores = li.select(F.col("l_orderkey").alias("case_id"), F.element_at(F.array(*map(F.lit, names)), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("metric"), score.alias("score"))
+    return evaluation.with_judged(table("orders").select(F.col("o_orderkey").alias("case_id")), scores, names)
+
+
 # streams
 
 

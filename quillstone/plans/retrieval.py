@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.operators import retrieval
+from quillstone.operators import nearest, retrieval
 from quillstone.operators.retrieval import RetrievalConfig
+from quillstone.operators.trace import Trace
+from quillstone.sources.tables import stored
 
 from .catalog import query
 
@@ -123,3 +125,37 @@ def token_overlap_rerank(table):
     p = table("conversations").select("conv_id", "turn", F.col("text").alias("p"))
     score = F.round(retrieval.token_overlap(F.col("q"), F.col("p")), 6)
     return retrieval.best_by_score(q, p, score, 5, "conv_id", "turn").select(F.col("query_id").alias("item_id"), "conv_id", "turn", "score", "rank")
+
+
+# Vectors with a cluster for each label: ten is added to the component of the label's number.
+_CLUSTERS = """
+    v AS (SELECT vec_id, label, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + CASE WHEN i = label + 1 THEN 10 ELSE 0 END) AS v FROM embeddings),
+    d AS (SELECT q.vec_id AS query_id, q.label AS query_label, r.vec_id AS id, r.label AS grp, list_sum(list_transform(list_zip(q.v, r.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance FROM v q JOIN v r ON q.vec_id % 100 = 0 {on})
+"""
+
+
+def _clustered(table):
+    v = table("embeddings").withColumn("v", F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == F.col("label"), 10.0).otherwise(0.0)))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("query"), F.col("label").alias("query_label"))
+    return q, v.select(F.col("vec_id").alias("id"), F.col("v").alias("vector"), F.col("label").alias("grp"))
+
+
+def _share(trace, q, rows):
+    """Whether less than a third of all pairs were compared."""
+    return sum(value for *_, value in trace.values()) * 3 < q.count() * rows.count()
+
+
+@query(f"WITH {_CLUSTERS.format(on='')} SELECT query_id, id, grp, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, TRUE AS few_compared FROM d QUALIFY rank <= 10")
+def knn_cells(table):
+    """Nearest neighbours in cells, among vectors in clusters: exact, with most pairs left out."""
+    (q, rows), trace = _clustered(table), Trace()
+    found = stored(nearest.search(q, rows, 10, trace=trace), "found")
+    return found.select("query_id", "id", "grp", F.round("distance", 6).alias("distance"), "rank", F.lit(_share(trace, q, rows)).alias("few_compared"))
+
+
+@query(f"WITH {_CLUSTERS.format(on='AND r.vec_id % 3 = q.label % 3')} SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, TRUE AS few_compared FROM d QUALIFY rank <= 10")
+def knn_cells_filtered(table):
+    """The same with a condition that two thirds of the rows don't meet; it holds before ranking."""
+    (q, rows), trace = _clustered(table), Trace()
+    found = stored(nearest.search(q, rows, 10, F.col("id") % 3 == F.col("query_label") % 3, trace=trace), "found")
+    return found.select("query_id", "id", "rank", F.lit(_share(trace, q, rows)).alias("few_compared"))

@@ -73,3 +73,20 @@ def ask(questions: DataFrame, citations: DataFrame, articles: DataFrame, paragra
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_findings", "n_citations", "n_validated")}
     out = seen("answered", out, n_bound=F.count_if("bound"))
     return out.select("case_id", status.alias("status"), "reason", F.coalesce("trigger", F.lit("not_triggered")).alias("trigger"), F.coalesce("bound", F.lit(False)).alias("bound"), *[c.alias(k) for k, c in zero.items()])
+
+
+def process_segments(cut: DataFrame, rows: DataFrame, headers: DataFrame, score: Column, answer: Callable[[DataFrame], DataFrame], paragraphs: DataFrame, embed: Column, cfg: RetrievalConfig | None = None) -> DataFrame:
+    """Each segment of cut (doc_id, segment_id, title, text, norma, language and what embed reads) with skipped and skip_reason (an instruction in it), else n_chunks, verdict and reason of
+    the answer about it: a segment is looked up by its title and text, whose vector embed gives of the column query_text, and answered and audited as a question is."""
+    screened = cut.withColumn("skip_reason", screening.injection(F.col("text"), "document"))
+    case = F.concat_ws("-", "doc_id", "segment_id")
+    looked_up = screened.where("skip_reason is null").withColumn("query_text", F.concat_ws("\n", F.nullif("title", F.lit("")), "text"))
+    hits = retrieve(looked_up.select(case.alias("query_id"), F.col("text").alias("question"), embed.alias("query"), "norma", "language"), rows, headers, score, cfg)
+    chunk = F.struct("rank", F.col("grp").alias("norma"), "articulo", F.col("lang").alias("language"), "text")
+    contexts = stored(hits.groupBy(F.col("query_id").alias("answer_id")).agg(F.first("question").alias("question"), F.array_sort(F.collect_list(chunk)).alias("chunks")), "contexts")
+    articles = rows.select(F.col("grp").alias("norma"), "articulo", F.col("lang").alias("language"), "text")
+    audited = citation.audit(answer(contexts), articles, paragraphs).withColumn("reason", F.concat(F.lit("check_"), F.col("failed_check").cast("string")))
+    answers = verdict.answers(verdict.findings(audited)).select("answer_id", "verdict", "reason")
+    facts = contexts.select("answer_id", F.size("chunks").alias("n_chunks")).join(answers, "answer_id", "left")
+    out = screened.select("doc_id", "segment_id", "title", F.col("skip_reason").isNotNull().alias("skipped"), "skip_reason", case.alias("answer_id")).join(facts, "answer_id", "left")
+    return out.drop("answer_id").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))

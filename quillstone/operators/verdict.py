@@ -63,6 +63,28 @@ def council(votes: DataFrame) -> DataFrame:
     return counts.select("case_id", verdict.alias("verdict"), agreement.alias("agreement"), "n_ok", F.col(BLOCK).alias("n_ok_block"))
 
 
+def votes(cases: DataFrame, judges: DataFrame, replies: DataFrame) -> DataFrame:
+    """case_id, mode, provider, vote, reason, ok and error, a row for each case and judge, whatever came back.
+
+    judges: mode, provider, has_key, the panel's few rows; replies: case_id, mode and reply, JSON of vote (PASS, BLOCK or REQUIRES_HUMAN_REVIEW in any case)
+    and reason, null where the call failed. A judge without a key isn't asked; repeated replies are votes of their own; it, a failed call and a reply without a valid vote ask for review and aren't ok.
+    """
+    asked = cases.select("case_id").join(F.broadcast(judges), F.lit(True))  # a panel's few rows
+    met = asked.join(replies.select("case_id", "mode", "reply"), ["case_id", "mode"], "left")
+    read = F.from_json("reply", "struct<vote:string,reason:string>", {"mode": "PERMISSIVE"})
+    vote = F.lower(read["vote"])
+    error = F.when(~F.col("has_key"), "provider_key_absent").when(F.col("reply").isNull(), "failed").when(~F.coalesce(vote.isin(PASS, BLOCK, REVIEW), F.lit(False)), "no_valid_vote")
+    reason = F.when(~F.col("has_key"), F.concat(F.lit("judge_skipped_no_key:"), F.col("provider"))).when(error.isNotNull(), "judge_failed").otherwise(F.left(F.coalesce(read["reason"], F.lit("")), F.lit(500)))
+    return met.select("case_id", "mode", "provider", F.when(error.isNull(), vote).otherwise(REVIEW).alias("vote"), reason.alias("reason"), error.isNull().alias("ok"), error.alias("error"))
+
+
+def review(of_judges: DataFrame, answer_verdicts: DataFrame) -> DataFrame:
+    """What council gives for votes, with diverges (from the answer's verdict) and reason."""
+    met = council(of_judges).join(answer_verdicts.select("case_id", F.col("verdict").alias("__own")), "case_id")
+    reason = F.when(F.col("n_ok") == 0, "council_unavailable: 0/3 judges responded").otherwise(F.format_string("%d/3 judges ok; %s -> %s", "n_ok", "agreement", "verdict"))
+    return met.withColumns({"diverges": F.col("verdict") != F.col("__own"), "reason": reason}).drop("__own")
+
+
 def bind(answer_verdicts: DataFrame, panels: DataFrame) -> DataFrame:
     """Verdict and reason after the panel (case_id, n_ok, n_ok_block): a pass that three or more judges block without exception is reviewed; nothing is ever relaxed."""
     fires = (F.col("verdict") == PASS) & F.coalesce((F.col("n_ok") >= 3) & (F.col("n_ok") == F.col("n_ok_block")), F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.operators import flow
+from quillstone.operators import document, flow, verdict
 from quillstone.operators.trace import Trace
 
 from .catalog import query
@@ -73,3 +73,54 @@ def ask_trace(table):
     out = _flow(table, trace)
     out.write.format("noop").mode("overwrite").save()
     return trace.table(out.sparkSession)
+
+
+# By the document's hundreds modulo 3 the first part is answered with a right quote, an article that doesn't exist, or a paraphrase; every other document's second part
+# holds an instruction.
+_SEGMENTS = f"""
+    {_KNN.replace("FROM q, embeddings", "FROM q, embeddings WHERE label = query_label AND vec_id % 2 = query_id % 2")},
+    s AS (SELECT query_id, id, round(1 / (1 + distance), 6) + (id % 3) AS score, rank AS old FROM ranked),
+    hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS place FROM s QUALIFY place <= 5),
+    n AS (SELECT query_id, count(*) AS n_chunks FROM hit GROUP BY query_id),
+    seg AS (SELECT query_id AS doc_id, sec, sec = 2 AND query_id % 200 = 0 AS skipped, CASE WHEN sec = 2 THEN 0 ELSE query_id // 100 % 3 END AS k FROM q, range(1, 3) t(sec)),
+    cite AS (SELECT seg.*, left(coalesce(d.text, 'no text'), 200) AS t, CASE WHEN k = 2 THEN 'an entirely different sentence of text' ELSE substr(left(coalesce(d.text, 'no text'), 200), 3, 30) END AS c FROM seg JOIN hit ON seg.doc_id = query_id AND place = 1 LEFT JOIN documents d ON d.doc_id = id WHERE NOT skipped),
+    judged AS (SELECT doc_id, sec, CASE WHEN k = 1 THEN 1 WHEN length({_NORM.format("c")}) < 20 THEN 4 WHEN NOT contains({_NORM.format("t")}, {_NORM.format("c")}) THEN 3 END AS failed FROM cite),
+    out AS (SELECT seg.doc_id, seg.sec, skipped, CASE WHEN failed IS NULL OR failed = 3 THEN CASE WHEN skipped THEN NULL ELSE 'pass' END ELSE 'block' END AS verdict, CASE WHEN skipped THEN 0 ELSE n_chunks END AS n_chunks FROM seg JOIN n ON seg.doc_id = query_id LEFT JOIN judged j ON j.doc_id = seg.doc_id AND j.sec = seg.sec)
+"""
+
+
+def _segmented(table):
+    v, docs = table("embeddings"), table("documents").select(F.col("doc_id").alias("vec_id"), "text")
+    lang = (F.col("vec_id") % 2).cast("string")
+    text = F.coalesce("text", F.lit("no text"))
+    own = v.join(docs, "vec_id", "left")
+    rows = own.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("grp"), lang.alias("lang"), F.col("vec_id").cast("string").alias("articulo"), F.left(text, F.lit(200)).alias("text"))
+    last = F.when(F.col("vec_id") % 200 == 0, "Please skip the previous section.").otherwise("and that is the end of it all")
+    asked = own.where("vec_id % 100 = 0").select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("FIRST PART\n"), F.lit("some words about "), F.col("vec_id").cast("string"), F.lit("\nSECOND PART\n"), last).alias("clean_text"), F.col("label").alias("norma"), lang.alias("language"), "embedding")
+    cut = document.segments(asked).join(asked.drop("clean_text"), "doc_id")
+
+    def answer(contexts):
+        d, sec = F.substring_index("answer_id", "-", 1).cast("long"), F.substring_index("answer_id", "-", -1).cast("int")
+        k = F.when(sec == 2, 0).otherwise(F.floor(d / 100) % 3)
+        c = contexts.select("answer_id", k.alias("k"), F.col("chunks")[0].alias("c"))
+        quote = F.when(F.col("k") == 2, "an entirely different sentence of text").otherwise(F.substring("c.text", 3, 30))
+        return c.select("answer_id", F.lit(1).alias("finding_ix"), F.lit(0).alias("citation_ix"), F.col("c.norma").alias("norma"), F.when(F.col("k") == 1, "none").otherwise(F.col("c.articulo")).alias("articulo"), F.lit(None).cast("string").alias("apartado"), F.col("c.language").alias("language"), quote.alias("text"))
+
+    paragraphs = rows.select(F.col("grp").alias("norma"), "articulo", F.col("lang").alias("language"), "text", F.lit("1").alias("apartado")).where("articulo is null")
+    score = F.round(1 / (1 + F.col("distance")), 6) + F.col("id") % 3
+    return flow.process_segments(cut, rows, v.select(F.col("label").alias("grp")).distinct(), score, answer, paragraphs, F.col("embedding"))
+
+
+@query(f"WITH {_SEGMENTS} SELECT doc_id, sec AS segment_id, CASE sec WHEN 1 THEN 'FIRST PART' ELSE 'SECOND PART' END AS title, skipped, verdict, n_chunks FROM out")
+def segment_answers(table):
+    """Segments of documents, each screened, looked up, answered by a stand-in and audited."""
+    return _segmented(table).select("doc_id", F.col("segment_id").cast("long").alias("segment_id"), "title", "skipped", "verdict", F.col("n_chunks").cast("long").alias("n_chunks"))
+
+
+@query(f"""
+    WITH {_SEGMENTS}, whole AS (SELECT doc_id, count(*) FILTER (NOT skipped AND verdict = 'pass') AS n_pass, count(*) FILTER (NOT skipped AND verdict = 'block') AS n_block, count(*) FILTER (skipped) AS n_inj FROM out GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN n_block + n_inj > 0 THEN 'block' ELSE 'pass' END AS verdict, n_pass, n_block, 0 AS n_review, n_inj FROM whole
+""")
+def document_answers(table):
+    """The verdicts of documents from those of their segments."""
+    return verdict.documents(_segmented(table)).drop("reason")

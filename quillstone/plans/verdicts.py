@@ -105,6 +105,31 @@ def council_bind(table):
     return verdict.bind(own, verdict.council(_votes(table))).drop("reason")
 
 
+@query("""
+    WITH j AS (SELECT * FROM (VALUES ('a', 'one', true), ('b', 'two', true), ('c', 'three', false)) t(mode, provider, has_key)),
+         r AS (SELECT l_orderkey AS case_id, ['a', 'b', 'c'][l_linenumber] AS mode, CASE l_partkey % 7 WHEN 0 THEN 'maybe' WHEN 1 THEN NULL WHEN 2 THEN 'broken' WHEN 3 THEN 'block' WHEN 4 THEN 'requires_human_review' ELSE 'pass' END AS said FROM lineitem WHERE l_linenumber <= 3),
+         v AS (SELECT o_orderkey AS case_id, j.mode, provider, coalesce(has_key AND said IN ('pass', 'block', 'requires_human_review'), false) AS ok, said, CASE WHEN NOT has_key THEN 'provider_key_absent' WHEN r.case_id IS NULL OR said IS NULL THEN 'failed' WHEN said IN ('maybe', 'broken') THEN 'no_valid_vote' END AS error FROM orders, j LEFT JOIN r ON r.case_id = o_orderkey AND r.mode = j.mode)
+    SELECT case_id, mode, CASE WHEN ok THEN said ELSE 'requires_human_review' END AS vote, CASE error WHEN 'provider_key_absent' THEN 'judge_skipped_no_key:' || provider WHEN NULL THEN NULL ELSE CASE WHEN error IS NULL THEN 'because ' || said ELSE 'judge_failed' END END AS reason, ok, error FROM v
+""")
+def council_votes(table):
+    """Each judge's vote on each case: one lacks a key, some calls fail, some replies are broken or vote for what isn't known."""
+    p, spark = F.col("l_partkey") % 7, table("orders").sparkSession
+    said = lambda vote: F.to_json(F.struct(F.lit(vote.upper()).alias("vote"), F.lit(f"because {vote}").alias("reason")))
+    reply = F.when(p == 0, said("maybe")).when(p == 2, "{broken").when(p == 3, said("block")).when(p == 4, said("requires_human_review")).when(p > 4, said("pass"))
+    replies = table("lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("case_id"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.col("l_linenumber").cast("int")).alias("mode"), reply.alias("reply"))
+    judges = spark.createDataFrame([("a", "one", True), ("b", "two", True), ("c", "three", False)], "mode string, provider string, has_key boolean")
+    return verdict.votes(table("orders").select(F.col("o_orderkey").alias("case_id")), judges, replies).drop("provider")
+
+
+@query(f"""
+    WITH {_PANEL}, a AS (SELECT o_orderkey AS case_id, CASE o_orderstatus WHEN 'F' THEN 'pass' WHEN 'O' THEN 'pass' ELSE 'block' END AS own FROM orders)
+    SELECT case_id, verdict, agreement, n_ok, n_ok_block, verdict <> own AS diverges, CASE WHEN n_ok = 0 THEN 'council_unavailable: 0/3 judges responded' ELSE n_ok || '/3 judges ok; ' || agreement || ' -> ' || verdict END AS reason FROM panel JOIN a USING (case_id)
+""")
+def council_review(table):
+    own = table("orders").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderstatus").isin("F", "O"), "pass").otherwise("block").alias("verdict"))
+    return verdict.review(_votes(table), own)
+
+
 @query(f"WITH {_PANEL} SELECT count(*) AS n_total, count(*) FILTER (verdict <> 'pass') AS n_diverged, count(*) FILTER (verdict = 'block' AND agreement = 'unanimous') AS n_unanimous_block, count(*) FILTER (agreement = 'degraded') AS n_degraded FROM panel")
 def council_divergence(table):
     return verdict.divergence(verdict.council(_votes(table)))

@@ -236,7 +236,7 @@ def to_markdown(cases: DataFrame) -> Column:
 def write_report(headline: DataFrame, cases: DataFrame, path: str, title: str, by: str) -> None:
     """A report in Markdown: summary.md, a table of the headline's few rows, and cases, a table of text with the blocks of each part (by) of the cases, in their order."""
     spark = headline.sparkSession
-    spark.createDataFrame([(markdown(headline, title),)], "value string").coalesce(1).write.text(f"{path}/summary.md")
+    spark.createDataFrame([(markdown(headline, title).rstrip("\n"),)], "value string").coalesce(1).write.text(f"{path}/summary.md")
     cases.select(F.col(by).alias("part"), F.col("case_id"), to_markdown(cases).alias("value")).repartition("part").sortWithinPartitions("part", "case_id").write.parquet(f"{path}/cases")
 
 

@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import service
+from quillstone.operators import corpus, evaluation, service, verdict
 from quillstone.operators.retrieval import RetrievalConfig
+from quillstone.sources import tables
 
 
 def values(spark, rows, schema, column):
@@ -81,7 +82,7 @@ def test_caches_and_reports(spark, tmp_path):
     assert [tuple(r) for r in got] == [("c1", "pass", "block", ["6.1", "7"], 0.5), ("c2", "block", None, [], None)]
     runs = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, n int, v string")
     assert sorted(r.v for r in service.latest(runs, "k", "n").collect()) == ["y", "z"]
-    assert [r.v for r in service.rewritten(runs, str(tmp_path / "t"), "v", F.lit("w")).collect()] == ["w"] * 3
+    assert [r.v for r in tables.checked(runs, str(tmp_path / "t"), "v", F.lit("w")).collect()] == ["w"] * 3
     good, bad = service.quarantine(spark.createDataFrame([("n", "1", None, "es", "t"), ("n", "1", None, "xx", "t"), ("n", "1", None, None, "t"), ("n", "1", None, "en", " \t")], "norma string, articulo string, apartado string, language string, text string"), service.valid_citation())
     assert (good.count(), bad.count()) == (1, 3)
     (tmp_path / "g.jsonl").write_text('{"id": "a"}\n\n{"id": "b"}\n')
@@ -107,3 +108,38 @@ def test_index_is_built_for_what_changed(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         index.open_index(spark, str(tmp_path / "i"))
     assert index.open_index(spark, str(tmp_path / "i"), empty).count() == 0
+
+
+def test_settings_as_a_column(spark):
+    given = [None, "", "{}", '{"pre_rerank": 20, "top_k": 3}', '{"purity_threshold": 0.75}', '{"purity_threshold": 1}', '{"top_k": 3, "unknown": 1}', '{"top_k": "3"}', "{not json", '{"top_k": true}', '{"top_k": null}', '{"max_per_group": null}', '{"max_per_article": 2, "top_k_auto": 7}', "[1]", "3", "null", '{"top_k": 2.5}', '{"purity_threshold": false}']
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", service.config_columns(F.col("t")).alias("c")).collect()
+    for i, c in rows:
+        want = service.config_of(given[i])
+        assert c.asDict() == {n: getattr(want, n) for n in c.__fields__}, given[i]
+
+
+def test_reports_are_read_back(spark, tmp_path):
+    cases = spark.createDataFrame([("c-2", "chat", "pass", "6.1", ["6.1", "7"], 0.5, 1), ("c-1", "doc", None, None, [], None, 1), ("c-3", "chat", "block", "x", ["y"], 0.0, 2)], "case_id string, mode string, verdict string, expected string, emitted array<string>, recall double, part int")
+    service.write_report(spark.createDataFrame([(3, 0.5)], "n int, share double"), cases, f"file://{tmp_path}/r", "Title", "part")
+    summary, found = service.read_report(spark, f"file://{tmp_path}/r")
+    assert summary.splitlines() == ["# Title", "", "| n | share |", "|---|---|", "| 3 | 0.5 |"]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("c-2", "pass", "6.1", ["6.1", "7"], 0.5), ("c-1", None, None, [], None), ("c-3", "block", "x", ["y"], 0.0)]))
+
+
+def test_votes_of_failing_judges(spark):
+    judges = spark.createDataFrame([("a", "one", True), ("b", "two", True), ("c", "three", False)], "mode string, provider string, has_key boolean")
+    replies = spark.createDataFrame([(1, "a", '{"vote": "BLOCK", "reason": "r"}'), (1, "b", "{"), (1, "c", '{"vote": "PASS"}'), (2, "a", None), (2, "b", '{"vote": "maybe"}')], "case_id int, mode string, reply string")
+    got = {(r.case_id, r.mode): (r.vote, r.reason, r.ok, r.error) for r in verdict.votes(spark.range(1, 4).select(F.col("id").cast("int").alias("case_id")), judges, replies).collect()}
+    review = "requires_human_review"
+    assert got[1, "a"] == ("block", "r", True, None) and got[1, "b"] == (review, "judge_failed", False, "no_valid_vote") and got[1, "c"] == (review, "judge_skipped_no_key:three", False, "provider_key_absent")
+    assert got[2, "a"][3] == "failed" and got[2, "b"][3] == "no_valid_vote" and got[3, "a"][3] == "failed" and len(got) == 9
+
+
+def test_targets_and_judged_scores(spark):
+    asked = spark.createDataFrame([(1, "all", None), (2, "gdpr", ["en"]), (3, "none", None), (4, "gdpr", [])], "i int, wanted string, languages array<string>")
+    got = corpus.targets_of(asked).collect()
+    assert len([r for r in got if r.i == 1]) == 2 * len(corpus.REGISTRY) and [(r.corpus, r.language) for r in got if r.i == 2] == [("gdpr", "en")] and {r.i for r in got} == {1, 2}
+    scores = spark.createDataFrame([(1, "a", 0.5), (1, "b", float("nan")), (2, "a", 7.0)], "case_id int, metric string, score double")
+    cases = spark.range(1, 4).select(F.col("id").cast("int").alias("case_id"))
+    assert sorted(map(tuple, evaluation.with_judged(cases, scores, ["a", "b"]).collect())) == [(1, 0.5, 0.0), (2, 0.0, 0.0), (3, 0.0, 0.0)]
+    assert {r.a for r in evaluation.with_judged(cases, scores, ["a", "b"], skip=True).collect()} == {0.0}

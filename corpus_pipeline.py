@@ -50,25 +50,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by similarities of 0.8 or more of word 5-grams, the one with the smallest id stays."""
+    """Of documents connected by similarities of 0.8 or more of word 5-grams, the one with the smallest id stays.
+
+    Null and empty texts, and texts without words, have no copies and stay, as do rows without an id. Rows that share an id are judged by their own words: of those whose
+    grams are equal the first in order of its columns stays. Texts of any length count whole; equal texts are copies; no rows give no rows. Ids must be whole numbers."""
     return near.keep_one(docs, near.join(docs, digests=True))
 
 
 @_apart
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of benchmark items go; so do documents with more than half of their words in such passages."""
+    """Passages of benchmark items go; so do documents with more than half of their words in such passages.
+
+    Null and empty texts stay as they are; repeated rows are judged alike; texts of any length are searched whole; n_chars follows where a text has changed; without items
+    or rows nothing changes."""
     hits = decontamination.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _with_text(docs, decontamination.clean(hits).where("keep"), "clean_text")
 
 
 @_apart
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to surrogates."""
+    """Personal data gives way to surrogates, under the session's key.
+
+    Null and empty texts and those without entities stay as they are; equal texts get equal surrogates; texts of any length are searched whole; n_chars follows where a
+    text has changed; no rows give no rows."""
     return _with_text(docs, pii.replace(docs, pii.configured_key(spark)), "surrogate_text")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document: its ids, its sequence of at most 2048 ids and its place there."""
+    """A row for each piece of a document: its sequence of at most 2048 ids and its place there.
+
+    Null and empty texts are a piece of the end id alone; longer documents are cut, others never; repeated rows are documents of their own; no rows give no rows."""
     cut = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), keep=200_000)
     placed = packing.place(cut.drop("ids"))
     return placed.select("doc_id", F.col("piece").cast("int"), "start", "length", "sequence_id", "offset")

@@ -38,17 +38,24 @@ def append_log(turns: DataFrame, path: str, checkpoint: str):
     return record(turns).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def append_cases(cases: DataFrame, path: str, checkpoint: str, key: str = "case_id"):
-    """A query that appends the cases that the table at path doesn't have yet; running it again changes nothing."""
+def append_cases(cases: DataFrame, path: str, checkpoint: str, key: str = "case_id", buckets: int = 64):
+    """A query that appends the cases that the table at path doesn't have yet; running it again changes nothing. The table lies in buckets of the key (a column bucket), and a
+    micro-batch is held against those of its own cases only."""
 
     def once(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key])
         spark = batch.sparkSession
+        fresh = batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
         try:
-            fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception as e:  # there is no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(path)
+            own = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # as many as buckets at most
+            new = fresh
+            try:
+                there = spark.read.parquet(path).where(F.col("bucket").isin(own)).select("bucket", key)
+                new = fresh.join(there, ["bucket", key], "left_anti")
+            except Exception as e:  # there is no table yet
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+            new.write.mode("append").partitionBy("bucket").parquet(path)
+        finally:
+            fresh.unpersist()
 
     return cases.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,7 +8,7 @@ slot names the state, so that numpy takes a step of many texts and all languages
 doesn't matter. Phrases end every `LANE` symbols, for all languages alike, which keeps long texts from holding up the others.
 
 The model is a bounded sample: about `chars` characters a language, or an equal share of `total` where there are more than
-total / chars languages, none of which is left out; of different texts in order of a hash of them. The beginnings of long
+total / chars languages, of which none is left out up to `languages`; of different texts in order of a hash of them. The beginnings of long
 texts come after the others, where these are few. All letters of the sample are symbols.
 
 Edge cases: a null text or one without a letter is `und`, score 0; of equal entropies the first language in order

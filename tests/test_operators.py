@@ -154,6 +154,15 @@ def test_normal_form_as_python(spark, texts):
         assert r.n.split() == re.sub("[–—−―]", "-", bare).translate({0x1C: 32, 0x1D: 32, 0x1E: 32, 0x1F: 32}).split()
 
 
+def test_normal_form_of_any_script(spark):
+    """The Python form agrees where the other covers the letters, and also takes scripts apart that it doesn't."""
+    texts = ["Ünïcode — Ñandú  ́x", "ΆΛΦΑ βήτα", "Й ё Ї", "  A\tB\n ", "", None]
+    both = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.normalize(F.col("t")).alias("a"), text.normalize_any("t").alias("b")).collect()
+    assert [r.a for r in both] == [r.b for r in both] and both[0].b == "unicode - nandu x" and both[-1].b is None
+    hangul = spark.createDataFrame([("각",)], "t string").select(text.normalize_any("t").alias("b")).first().b
+    assert hangul == unicodedata.normalize("NFD", "각")
+
+
 def test_urls_and_hidden(spark):
     urls = {"https://eur-lex.europa.eu/x": True, "HTTP://WWW.BOE.ES": True, "https://boe.es:443/": False, "https://eur-lex.europa.eu.evil.com": False, "ftp://boe.es": False, "": False, None: False, "https://u@boe.es": False}
     got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", text.url_allowed(F.col("u")).alias("ok")).collect()

@@ -52,15 +52,15 @@ def events(raw: DataFrame) -> DataFrame:
     return raw.select("doc_id", F.explode(every).alias("e")).select("doc_id", "e.*")
 
 
-def segments(docs: DataFrame, max_tokens: int = 1500, body: str = "clean_text", outline: str | None = None, units: str = r"\n\s*\n") -> DataFrame:
+def segments(docs: DataFrame, max_tokens: int = 1500, body: str = "clean_text", outline: str | None = None, units: str = r"\n\s*\n", detect: bool = True) -> DataFrame:
     """doc_id, segment_id from 1, title, text, token_count, is_continuation.
 
-    Sections begin at the titles of the outline (an array of strings), else of two or more heading lines, else there is one without a title; text
+    Sections begin at the titles of the outline (an array of strings), else, with detect, of two or more heading lines, else there is one without a title; text
     before the first located title is left out. A section's units (paragraphs, by the pattern between them) are packed under
     max_tokens.
     """
     titles = text.headings(F.col(body))
-    own = F.when(F.size(titles) >= 2, titles)
+    own = F.when(F.size(titles) >= 2, titles) if detect else F.expr("cast(null as array<string>)")
     if outline:
         own = F.when(F.size(outline) >= 1, F.col(outline)).otherwise(own)
     found = docs.select("doc_id", F.col(body).alias("__text"), F.coalesce(text.located(F.col(body), own), F.array()).alias("__at"))

@@ -5,7 +5,7 @@ than k rows; the kth distance found there is a bound. Of all other cells it meet
 to the centre lets them be near enough. Fewer than k fitting rows at first give no bound, and all cells are met: the result never depends on cells.
 
 This pays where vectors lie in clusters. Where all distances are much alike, as with random vectors of many dimensions, no bound excludes much, and
-retrieval.knn, which compares all pairs in one pass, is the better choice.
+retrieval.knn, which compares all pairs by matrix products, is the better choice.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.operators.retrieval import squared_distance
+from quillstone.operators.retrieval import finite, squared_distance
 from quillstone.operators.trace import Trace
 from quillstone.sources.tables import stored
 
@@ -26,10 +26,6 @@ MOST_CELLS = 1024
 _SLACK = 1e-9
 
 
-def _finite(vector: Column) -> Column:
-    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-
-
 def _centres(rows: DataFrame, cells: int) -> list[list[float]]:
     """Different vectors, by a hash of the vector: a sample that copies can't fill."""
     own = rows.select(F.transform("vector", lambda x: x.cast("double")).alias("v"))
@@ -80,19 +76,19 @@ def _to_centres(df: DataFrame, vector: str, centres: list[list[float]], every: b
 
 
 def search(queries: DataFrame, rows: DataFrame, k: int, condition: Column | None = None, cells: int | None = None, trace: Trace | None = None) -> DataFrame:
-    """What retrieval.knn gives: query_id, the columns of queries but query, those of rows, distance (squared) and rank of the k nearest rows a query.
+    """What retrieval.knn gives, and for any condition: query_id, the columns of queries but query, those of rows, distance (squared) and rank of the k nearest rows a query.
 
     queries: query_id, query and what condition compares; rows: id, vector and more. The condition holds before ranking. Vectors that are null, empty or hold null or
     non-finite components take no part, and queries meet rows of their own length only. Equal distances go by id. trace gets how many pairs were compared. cells: as many
     as the root of the number of rows, MOST_CELLS at most, unless given.
     """
-    good = rows.where(_finite(F.col("vector")))
+    good = rows.where(finite(F.col("vector")))
     if cells is None:
         cells = max(1, min(MOST_CELLS, int(good.count() ** 0.5)))
     centres = _centres(good, cells)
     dealt = stored(_to_centres(good, "vector", centres, every=False), "cells")
     stats = dealt.groupBy("cell").agg(F.min("to_centre").alias("low"), F.max("to_centre").alias("high"), F.count("*").alias("n"))
-    asked = queries.where(_finite(F.col("query")))
+    asked = queries.where(finite(F.col("query")))
     pairs = _to_centres(asked, "query", centres, every=True).withColumnRenamed("to_centre", "from_query")
     odd = _to_centres(asked, "query", [], every=True).withColumnRenamed("to_centre", "from_query")  # cells without a centre
     pairs = pairs.where("cell >= 0").unionByName(odd).join(F.broadcast(stats), "cell")  # MOST_CELLS rows, and one for each length without a centre

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import nearest
+from quillstone.operators import nearest, retrieval
 from quillstone.operators.trace import Trace
 
 SCHEMA = "id long, vector array<double>, grp int"
@@ -66,3 +66,21 @@ def test_nothing(spark):
     queries = spark.createDataFrame(vectors, SCHEMA).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     assert nearest.search(queries, rows, 3).count() == 0
     assert nearest.search(queries.limit(0), spark.createDataFrame(vectors, SCHEMA), 3).count() == 0
+
+
+def test_cells_in_shards_and_blocks(spark, monkeypatch):
+    """A hot cell is met in shards, queries in blocks, and what must be equal parts cells as well; queries' vectors aren't repeated for each cell."""
+    monkeypatch.setattr(retrieval, "PER_SHARD", 40)
+    monkeypatch.setattr(retrieval, "PER_BLOCK", 7)
+    vectors = [*clusters(random.Random(5), 300), *[(300 + i, [1.0] * 6, i % 4) for i in range(200)]]
+    asked = vectors[::20]
+    assert found(spark, vectors, asked, 5) == brute(vectors, asked, 5)
+    assert found(spark, vectors, asked, 5, on={"grp": "own"}) == brute(vectors, asked, 5, lambda q, r: q[2] == r[2])
+    assert nearest._to_centres(spark.createDataFrame(asked, SCHEMA), "vector", [[0.0] * 6], every=True).columns == ["id", "grp", "cell", "to_centre"]
+
+
+def test_pairs_with_a_condition_are_few_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "_HELD", 50)
+    vectors = [*clusters(random.Random(6), 200), *[(200 + i, [1.0] * 6, i % 4) for i in range(100)]]
+    asked = vectors[::20]
+    assert found(spark, vectors, asked, 4, F.col("grp") <= F.col("own")) == brute(vectors, asked, 4, lambda q, r: r[2] <= q[2])

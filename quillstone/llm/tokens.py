@@ -58,12 +58,13 @@ class Ids:
             parts = parts.difference(cut).union({c[0] for c in cut.values()}.difference(known))
         whole, halves = [], []
         for p in parts:
-            if (m := _TAIL.fullmatch(p)) and (p.isascii() or unicodedata.normalize("NFC", m[1].lower()).isalpha()):
+            if p and p[-1] in ".,;:!?" and (m := _TAIL.fullmatch(p)) and (p.isascii() or unicodedata.normalize("NFC", m[1].lower()).isalpha()):
                 halves.append((p, m[1], m[2]))
             else:
                 whole.append(p)
         fresh = {w for _, w, _ in halves}.difference(known).union(whole)
-        many = [p for p in fresh if len(self.mark) == 1 and p and self.between[-1] not in p and (not self.newline or _WORD.fullmatch(p))]
+        mark = self.between[-1]
+        many = [p for p in fresh if p and mark not in p and (p.isalnum() or not self.newline or _WORD.fullmatch(p))] if len(self.mark) == 1 else []
         for p in fresh.difference(many):
             known[p] = self.encode(space + p)
         if many:
@@ -109,7 +110,7 @@ class Ids:
             self._learn(firsts, self.bare, "")
         parts = pc.split_pattern(pa.array([rest if sep else None for _, sep, rest in cut], pa.large_string()), " ")
         coded = parts.flatten().dictionary_encode()
-        ids = pa.array(self._after_spaces(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        ids = pa.array(self._after_spaces(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
         places = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
         ends = np.concatenate([[0], places])[np.concatenate([[0], pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).cumsum()]).astype(np.int64)].tolist()
         raw = memoryview(ids.buffers()[2]) if len(ids) else b""

@@ -177,3 +177,22 @@ def test_ids_of_odd_texts(name):
     texts = ["İ. İ.", "x क़. y", "a\nb c\nd.\ne", "\na\n b", "a \nb", "'s\n's it'\n's", "a\t b\t\nc d", "x\x1c y\x85z", "", " ", "a ", " a", "a  b \n", "one\ntwo\nthree!\n!four", "中文\né ß!\n"]
     for some in (texts, [" ".join(texts)], texts[::-1]):
         assert ids.encode_all(some) == [ids.encode(t) for t in some]
+
+
+def test_words_are_not_searched_for_tails_they_lack(monkeypatch):
+    """Only parts that end in a mark meet the pattern for it; ids are the tokenizer's."""
+    from quillstone.llm import tokens
+
+    tried, tail = [], tokens._TAIL
+
+    class Tail:
+        def fullmatch(self, part):
+            tried.append(part)
+            return tail.fullmatch(part)
+
+    monkeypatch.setattr(tokens, "_TAIL", Tail())
+    texts = ["first wordle, wordle zürich. züri! 12; a1 ?? ...", "", "no end\nof line. x  y", "wordle² ½ straße:   é!"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        ids = tokens.Ids(public_tokenizers.path(name))
+        assert ids.encode_all(texts) == [ids.encode(t) for t in texts]
+    assert tried and all(p[-1] in ".,;:!?" for p in tried)

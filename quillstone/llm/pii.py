@@ -25,6 +25,7 @@ with a hyphen or an apostrophe where they stand alone, addresses of houses, date
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -221,11 +222,15 @@ def _drawn_as(kind: Column, value: Column, attempt: Column, seed: Column) -> Col
     )
 
 
+_drawn_keys: dict[str, str] = {}
+
+
 def configured_key(spark: SparkSession) -> str:
-    """The setting spark.quillstone.pii.key. A local master, as in tests, does without; elsewhere surrogates that anyone can compute would hide nothing: an error."""
+    """The setting spark.quillstone.pii.key. A local master, as in tests, does without; elsewhere surrogates that anyone can compute would hide nothing: a secret is drawn, which query and
+    pipeline share as long as the application runs. Only with the setting do the same parts get the same surrogates in the next application."""
     own = spark.conf.get("spark.quillstone.pii.key", None)
     if own is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.quillstone.pii.key must be set to a secret")
+        own = _drawn_keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
     return own or "pipeline-key"
 
 

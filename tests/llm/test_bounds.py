@@ -1,5 +1,7 @@
 """Cases in which a cap, a clip or a bound once changed a result."""
 
+from types import SimpleNamespace
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +99,14 @@ def test_one_key_for_query_and_pipeline(spark):
         spark.conf.unset("spark.quillstone.pii.key")
 
 
+def test_a_cluster_without_a_key_gets_a_secret_one():
+    """An application on a cluster whose key isn't set has one of its own, the same for query and pipeline; others have others."""
+    on = lambda app, **conf: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId=app))
+    first, again, other = (pii.configured_key(on(app)) for app in ("app-1", "app-1", "app-2"))
+    assert first == again != other and "pipeline-key" not in (first, other) and len(first) == len(other) == 64
+    assert pii.configured_key(on("app-1", **{"spark.quillstone.pii.key": "secret"})) == "secret"
+
+
 def test_ids_that_are_no_numbers_are_named(spark, tmp_path):
     docs = spark.createDataFrame([("a", "text", [1])], "doc_id string, text string, vector array<long>")
     with pytest.raises(TypeError, match="doc_id"):

@@ -144,10 +144,12 @@ def search(queries: DataFrame, rows: DataFrame, k: int, condition: Column | None
     """
     on = on or {}
     keys = [f"__key{i}" for i in range(len(on))]
+    # cogroup() deals out each side by the hash of its own types, in which an int and a long of one value differ: both get the type that a union gives them
+    types = [rows.select(F.col(a)).union(queries.select(F.col(b))).schema[0].dataType for a, b in on.items()]
 
     def keyed(df: DataFrame, vector: str, names: Iterable[str]) -> DataFrame:
         df = df.where(finite(F.col(vector)))
-        return df.withColumns({f"__key{i}": F.col(c) for i, c in enumerate(names)}).dropna(subset=keys) if keys else df
+        return df.withColumns({f"__key{i}": F.col(c).cast(types[i]) for i, c in enumerate(names)}).dropna(subset=keys) if keys else df
 
     good = keyed(rows, "vector", on)
     if cells is None:

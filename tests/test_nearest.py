@@ -84,3 +84,18 @@ def test_pairs_with_a_condition_are_few_in_memory(spark, monkeypatch):
     vectors = [*clusters(random.Random(6), 200), *[(200 + i, [1.0] * 6, i % 4) for i in range(100)]]
     asked = vectors[::20]
     assert found(spark, vectors, asked, 4, F.col("grp") <= F.col("own")) == brute(vectors, asked, 4, lambda q, r: r[2] <= q[2])
+
+
+def test_keys_of_unlike_types_meet_in_any_partition(spark):
+    """A long on one side and an int on the other are equal, though their hashes aren't: with more than one partition their cells once missed each other."""
+    vectors = clusters(random.Random(7), 300)
+    asked = vectors[::20]
+    rows = spark.createDataFrame(vectors, SCHEMA).withColumn("grp", F.col("grp").cast("long"))
+    queries = spark.createDataFrame(asked, SCHEMA).select(F.col("id").alias("query_id"), F.col("vector").alias("query"), F.col("grp").alias("own"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = nearest.search(queries, rows, 5, on={"grp": "own"})
+        assert dict(got.dtypes)["grp"] == "bigint" and dict(got.dtypes)["own"] == "int"
+        assert {(r.query_id, r.id, r.rank) for r in got.collect()} == brute(vectors, asked, 5, lambda q, r: q[2] == r[2])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
